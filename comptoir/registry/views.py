@@ -195,9 +195,9 @@ FROM events e CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 AS side) s
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = table(spark, sf_dir, "events")
     key, kind = F.col("event_id"), F.col("event_type")
-    # Every fifth event has no receipt: the statement of the other system never covers everything.
-    return event.where(key % 5 != 0).select(
-        F.when(kind == "click", _text("G2-", key)).otherwise(_text("TX", key)).alias("receipt_no"),
+    # Every fifth receipt carries a number the ledger does not know.
+    return event.select(
+        F.when((kind == "click") | (key % 5 == 0), _text("RC", key)).otherwise(_text("TX", key)).alias("receipt_no"),
         _text("243", 810000000 + F.col("user_id")).alias("phone"),
         F.when((key % 2 == 0) | (key % 97 == 0), "CDF").otherwise("USD").alias("currency_code"),
         F.when(key % 41 == 0, F.col("value") + 1.0).otherwise(F.col("value")).alias("montant"),
@@ -209,27 +209,28 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECEIPTS_SQL = """
-SELECT CASE WHEN e.event_type = 'click' THEN concat('G2-', CAST(e.event_id AS VARCHAR)) ELSE concat('TX', CAST(e.event_id AS VARCHAR)) END AS receipt_no,
+SELECT concat(CASE WHEN e.event_type = 'click' OR e.event_id % 5 = 0 THEN 'RC' ELSE 'TX' END, CAST(e.event_id AS VARCHAR)) AS receipt_no,
        concat('243', CAST(810000000 + e.user_id AS VARCHAR)) AS phone,
        CASE WHEN e.event_id % 2 = 0 OR e.event_id % 97 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code,
        CASE WHEN e.event_id % 41 = 0 THEN e.value + 1.0 ELSE e.value END AS montant,
        CASE WHEN e.event_type = 'click' THEN 'Sortie' ELSE 'Entree' END AS sens_flux,
        CASE WHEN e.event_id % 37 = 0 THEN 'Declined' ELSE 'Completed' END AS statut,
        e.ts + CASE WHEN e.event_id % 53 = 0 THEN INTERVAL '90' MINUTE ELSE INTERVAL '2' MINUTE END AS completion_time
-FROM events e WHERE e.event_id % 5 <> 0
+FROM events e
 """
 
 
 def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").withColumn("fixed", F.explode(F.array(F.lit(0), F.lit(1))))
     key, balance, fixed = F.col("c_custkey"), F.col("c_acctbal"), F.col("fixed") == 1
-    return customer.where(~fixed | (key % 3 == 0)).select(
+    return customer.select(
         (key * 2 + F.col("fixed")).alias("savings_id"),
         key.alias("customer_id"),
         _text("243", 810000000 + key).alias("msisdn"),
         F.when(key % 2 == 0, "CDF").otherwise("USD").alias("currency_code"),
         F.when(fixed, "FIXED SAVINGS").otherwise("NORMAL SAVINGS").alias("account_type"),
-        F.when(balance < 0, F.lit(0.0)).when(fixed, balance * 0.375).otherwise(balance).alias("balance"),
+        F.when((balance < 0) | (fixed & (key % 3 != 0)), F.lit(0.0)).when(fixed, balance * 0.375).otherwise(balance)
+        .alias("balance"),
         F.lit("2001-02-01").cast("date").alias("date_approved"),
         F.when(fixed, F.date_add(F.lit("2001-08-01").cast("date"), (key % 150 - 20).cast("int"))).alias("maturity_date"),
     )
@@ -240,11 +241,10 @@ SELECT c.c_custkey * 2 + k.fixed AS savings_id, c.c_custkey AS customer_id,
        concat('243', CAST(810000000 + c.c_custkey AS VARCHAR)) AS msisdn,
        CASE WHEN c.c_custkey % 2 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code,
        CASE WHEN k.fixed = 1 THEN 'FIXED SAVINGS' ELSE 'NORMAL SAVINGS' END AS account_type,
-       CASE WHEN c.c_acctbal < 0 THEN CAST(0 AS DOUBLE) WHEN k.fixed = 1 THEN c.c_acctbal * CAST(0.375 AS DOUBLE) ELSE c.c_acctbal END AS balance,
+       CASE WHEN c.c_acctbal < 0 OR (k.fixed = 1 AND c.c_custkey % 3 <> 0) THEN CAST(0 AS DOUBLE) WHEN k.fixed = 1 THEN c.c_acctbal * CAST(0.375 AS DOUBLE) ELSE c.c_acctbal END AS balance,
        DATE '2001-02-01' AS date_approved,
        CASE WHEN k.fixed = 1 THEN DATE '2001-08-01' + CAST(c.c_custkey % 150 - 20 AS INTEGER) END AS maturity_date
 FROM customer c CROSS JOIN (SELECT 0 AS fixed UNION ALL SELECT 1 AS fixed) k
-WHERE k.fixed = 0 OR c.c_custkey % 3 = 0
 """
 
 
@@ -330,12 +330,31 @@ SELECT operation_id AS ligne_id,
 FROM v_operations
 """
 
+STANDARD_SQL = """
+SELECT *, revenu_mensuel - charge_mensuelle AS capacite_remboursement,
+       charge_mensuelle / nullif(revenu_mensuel, 0) AS taux_endettement,
+       montant_accorde / nullif(duree_credit_mois, 0) AS mensualite_estimee,
+       CASE WHEN score_credit >= 80 THEN 'Faible' WHEN score_credit >= 50 THEN 'Moyen' ELSE 'Élevé' END AS niveau_risque_calcule,
+       strftime(date_demande, '%Y-%m') AS mois_demande
+FROM v_dossiers
+"""
+
+
+def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan files with the derived columns of the standardised table."""
+    from comptoir.operators.standardize import with_risk
+
+    return with_risk(dossiers(spark, sf_dir))
+
+
 VIEW_SQL = {
+    "v_std": STANDARD_SQL,
     "v_clients": CLIENTS_SQL, "v_dossiers": DOSSIERS_SQL, "v_ledger": LEDGER_SQL, "v_operations": OPERATIONS_SQL,
     "v_journal": JOURNAL_SQL, "v_receipts": RECEIPTS_SQL, "v_savings": SAVINGS_SQL, "v_loans": LOANS_SQL,
     "v_conformite": COMPLIANCE_SQL,
 }
 VIEW_USES = {
+    "v_std": ("v_dossiers",),
     "v_dossiers": ("v_clients",), "v_operations": ("v_clients",), "v_loans": ("v_dossiers",),
     "v_conformite": ("v_operations",),
 }
