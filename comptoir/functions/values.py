@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.functions.text import clear_na_like, squeeze, strip, strip_accents
@@ -68,74 +69,81 @@ def _full_year(token: Column, reference_year: int) -> Column:
 
 
 def _stamp(year: Column, month: Column, day: Column, clock: list[Column]) -> Column:
-    hour, minute, second = [F.coalesce(F.nullif(c, F.lit("")).try_cast("int"), F.lit(0)) for c in clock]
-    made = F.try_make_timestamp_ntz(
-        year, month.try_cast("int"), day.try_cast("int"), hour, minute, second.cast("decimal(16,6)")
-    )
+    hour, minute, second = [F.coalesce(c, F.lit(0)) for c in clock]
+    made = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
     return F.when(year.between(1678, 2261), made)
 
 
-def to_timestamp_mixed(col: Column, lang: str = "en", output: str = "datetime",
-                       reference_year: int | None = None) -> Column:
-    """Heterogeneous dates to a timestamp: day- or month-first numbers, ISO, spreadsheet serials, month names.
+NUMERIC_DATE = "^([0-9]{1,4})[./-]([0-9]{1,2})[./-]([0-9]{1,4})(?:[ t]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
+CLOCK_TAIL = "(?:[ t]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
+
+
+def parse_dates(df: DataFrame, columns: Mapping[str, str], lang: str = "en", output: str = "datetime",
+                reference_year: int | None = None) -> DataFrame:
+    """Heterogeneous dates to timestamps, for each ``target: source`` of ``columns``.
 
-    ``lang="all"`` accepts both orders and leaves a date null when day and month could be swapped.
+    Reads day- or month-first numbers, ISO, spreadsheet serials and French or English month names.
+    ``lang="all"`` accepts both orders and leaves a date null when day and month could be swapped. The work is
+    done in stages, so that each pattern is matched once per cell.
     """
     if lang not in ("fr", "en", "all"):
         raise ValueError("lang must be 'fr', 'en' or 'all'")
     if output not in ("datetime", "pandas_date", "date"):
         raise ValueError("output must be 'datetime', 'pandas_date' or 'date'")
     reference_year = reference_year or dt.date.today().year
-    raw = clear_na_like(strip(col.cast("string")))
-    text = F.regexp_replace(squeeze(F.lower(strip_accents(raw))), "\\b1er\\b", "1")
-
-    serial = F.when(raw.rlike(NUMBER), raw.try_cast("double"))
-    from_serial = F.when(
-        serial.between(20000, 80000),
-        F.lit(EXCEL_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(serial * 86400, 6)),
-    )
-
-    numeric = "^([0-9]{1,4})[./-]([0-9]{1,2})[./-]([0-9]{1,4})(?:[ t]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
-    a, b, c, hh, mm, ss = [F.regexp_extract(text, numeric, i) for i in range(1, 7)]
-    clock = [hh, mm, ss]
-    year_first = (F.length(a) >= 3) & (F.length(c) <= 2)
-    day_first = _stamp(_full_year(c, reference_year), b, a, clock)
-    month_first = _stamp(_full_year(c, reference_year), a, b, clock)
-    if lang == "fr":
-        ordered = F.coalesce(day_first, month_first)
-    elif lang == "en":
-        ordered = F.coalesce(month_first, day_first)
-    else:
-        first, second = a.try_cast("int"), b.try_cast("int")
-        ordered = (F.when((first > 12) & (second <= 12), day_first)
-                   .when((second > 12) & (first <= 12), month_first))
-    from_numbers = F.when(
-        text.rlike(numeric),
-        F.when(year_first, _stamp(_full_year(a, reference_year), b, c, clock)).otherwise(ordered),
-    )
-
     months = {**MONTHS_EN, **MONTHS_FR}
     names = "|".join(sorted(months, key=len, reverse=True))
     lookup = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
-    tail = "(?:[ t]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
-    day_name = f"^(?:[a-z]+\\.? )?([0-9]{{1,2}})[ -]({names})\\.?,?[ -]([0-9]{{2,4}}){tail}"
-    name_day = f"^({names})\\.? ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ([0-9]{{4}}){tail}"
-
-    def named(pattern: str, day: int, month: int) -> Column:
-        parts = [F.regexp_extract(text, pattern, i) for i in range(1, 7)]
-        return F.when(
-            text.rlike(pattern),
-            _stamp(_full_year(parts[2], reference_year), F.try_element_at(lookup, parts[month]).cast("string"),
-                   parts[day], parts[3:]),
-        )
-
-    general = F.when(raw.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & ~text.rlike(numeric),
-                     F.try_to_timestamp(raw).cast("timestamp_ntz"))
-    stamp = F.coalesce(from_serial, from_numbers, named(day_name, 0, 1), named(name_day, 1, 0), general)
-    if output == "datetime":
-        return stamp
-    day = F.to_date(stamp)
-    return day if output == "date" else day.cast("timestamp_ntz")
+    day_name = f"^(?:[a-z]+\\.? )?([0-9]{{1,2}})[ -]({names})\\.?,?[ -]([0-9]{{2,4}}){CLOCK_TAIL}"
+    name_day = f"^({names})\\.? ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ([0-9]{{4}}){CLOCK_TAIL}"
+
+    out = df
+    for i, (target, source) in enumerate(columns.items()):
+        def c(name: str) -> Column:
+            return F.col(f"__{i}{name}")
+
+        def add(frame: DataFrame, **exprs: Column) -> DataFrame:
+            return frame.withColumns({f"__{i}{k}": v for k, v in exprs.items()})
+
+        out = add(out, raw=clear_na_like(strip(F.col(source).cast("string"))))
+        out = add(out, text=F.regexp_replace(squeeze(F.lower(strip_accents(c("raw")))), "\\b1er\\b", "1"))
+        pattern = (F.when(c("text").rlike(NUMERIC_DATE), 1).when(c("text").rlike(day_name), 2)
+                   .when(c("text").rlike(name_day), 3))
+        out = add(out, kind=pattern)
+        chosen = {n: (F.when(c("kind") == 1, F.regexp_extract(c("text"), NUMERIC_DATE, n))
+                      .when(c("kind") == 2, F.regexp_extract(c("text"), day_name, n))
+                      .when(c("kind") == 3, F.regexp_extract(c("text"), name_day, n))) for n in range(1, 7)}
+        out = add(out, **{f"g{n}": chosen[n] for n in chosen})
+        year = F.when((c("kind") == 1) & (F.length(c("g1")) >= 3) & (F.length(c("g3")) <= 2), c("g1")).otherwise(c("g3"))
+        out = add(
+            out, y=_full_year(year, reference_year), a=c("g1").try_cast("int"), b=c("g2").try_cast("int"),
+            d=c("g3").try_cast("int"), first=(F.length(c("g1")) >= 3) & (F.length(c("g3")) <= 2),
+            m=F.try_element_at(lookup, F.when(c("kind") == 2, c("g2")).otherwise(c("g1"))),
+            **{f"t{n}": F.nullif(c(f"g{n}"), F.lit("")).try_cast("int") for n in (4, 5, 6)})
+        clock = [c("t4"), c("t5"), c("t6")]
+        out = add(out, dm=F.when(c("kind") == 1, _stamp(c("y"), c("b"), c("a"), clock)),
+                  md=F.when(c("kind") == 1, _stamp(c("y"), c("a"), c("b"), clock)),
+                  ymd=F.when(c("first"), _stamp(c("y"), c("b"), c("d"), clock)),
+                  named=_stamp(c("y"), c("m"), F.when(c("kind") == 2, c("a")).otherwise(c("b")), clock),
+                  serial=F.when(c("raw").rlike(NUMBER), c("raw").try_cast("double")))
+        if lang == "fr":
+            ordered = F.coalesce(c("dm"), c("md"))
+        elif lang == "en":
+            ordered = F.coalesce(c("md"), c("dm"))
+        else:
+            ordered = (F.when((c("a") > 12) & (c("b") <= 12), c("dm")).when((c("b") > 12) & (c("a") <= 12), c("md")))
+        from_serial = F.lit(EXCEL_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(c("serial") * 86400, 6))
+        general = F.when(c("raw").rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), F.try_to_timestamp(c("raw")).cast("timestamp_ntz"))
+        stamp = (F.when(c("serial").between(20000, 80000), from_serial)
+                 .when(c("kind") == 1, F.when(c("first"), c("ymd")).otherwise(ordered))
+                 .when(c("kind").isNotNull(), c("named")).otherwise(general))
+        day = F.to_date(stamp)
+        value = {"datetime": stamp, "date": day, "pandas_date": day.cast("timestamp_ntz")}[output]
+        out = out.withColumn(f"__out{i}", value)
+    targets = list(columns)
+    kept = [F.col(f"__out{targets.index(n)}").alias(n) if n in columns else F.col(n) for n in df.columns]
+    extra = [F.col(f"__out{i}").alias(n) for i, n in enumerate(targets) if n not in df.columns]
+    return out.select(*kept, *extra)
 
 
 def to_clock(col: Column) -> Column:

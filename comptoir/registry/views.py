@@ -311,7 +311,7 @@ def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPLIANCE_SQL = """
 SELECT operation_id AS ligne_id,
-       ['150_ALERTES','039_FRACTIONNEMENT','057_GROS_MOUVEMENTS','149_REPORTING','152_PROFILS','155_QUALITE','036_MOUVEMENTS','151_DECLARATIONS','153_REACTIVATIONS'][CAST(operation_id % 9 AS INTEGER) + 1] AS analyse,
+       ['150_ALERTES','039_FRACTIONNEMENT','057_GROS_MOUVEMENTS','149_REPORTING','152_PROFILS','155_QUALITE','036_MOUVEMENTS','151_DECLARATIONS','153_REACTIVATIONS'][CAST(operation_id % 9 AS INTEGER) + 1] AS "analyse",
        ['Alerte','Fractionnement','Gros mouvement agrege','Reporting agrege','Profil de risque','Controle qualite','Mouvement','Declaration','Reactivation de compte'][CAST(operation_id % 9 AS INTEGER) + 1] AS type_element,
        CASE WHEN operation_id % 9 = 3 THEN CAST(144 + operation_id % 8 AS INTEGER) END AS ligne_reporting,
        concat('Rubrique ', CAST(operation_id % 5 AS VARCHAR)) AS rubrique,
