@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from comptoir.functions.text import contains_any, map_labels, none_if_blank, normalize_label, strip, title
+from comptoir.functions.text import contains_any, let, map_labels, none_if_blank, normalize_label, strip, title
 
 # Normalised label to canonical label.
 FILE_STATUS = {
@@ -62,34 +62,37 @@ def currency_code(id_devise: Column) -> Column:
 
 def credit_product(col: Column) -> Column:
     """Product class of a loan label; the order of the tests decides."""
-    text = normalize_label(col)
+    def classify(text: Column) -> Column:
+        def has(word: str) -> Column:
+            return F.contains(text, F.lit(word))
 
-    def has(word: str) -> Column:
-        return F.contains(text, F.lit(word))
+        return (
+            F.when(has("avance") & has("salaire"), "avance_salaire")
+            .when(has("likelemba"), "likelemba")
+            .when(has("lisungi"), "lisungi")
+            .when(has("dare"), "dare_dare")
+            .when(has("pepsi"), "pepsi")
+            .when(has("auto"), "auto")
+            .when(has("collectif"), "collectif")
+            .when(has("personnel"), "personnel")
+            .when(has("salaire"), "salaire")
+        )
 
-    return (
-        F.when(has("avance") & has("salaire"), "avance_salaire")
-        .when(has("likelemba"), "likelemba")
-        .when(has("lisungi"), "lisungi")
-        .when(has("dare"), "dare_dare")
-        .when(has("pepsi"), "pepsi")
-        .when(has("auto"), "auto")
-        .when(has("collectif"), "collectif")
-        .when(has("personnel"), "personnel")
-        .when(has("salaire"), "salaire")
-    )
+    return let(normalize_label(col), classify)
 
 
 def savings_product(col: Column) -> Column:
-    text = F.nullif(normalize_label(col), F.lit(""))
-    return (
-        F.when(contains_any(text, ["dat", "depot a terme"]), "dat")
-        .when(contains_any(text, ["maman"]), "femme")
-        .when(contains_any(text, ["elenge", "jeunesse"]), "jeunesse")
-        .when(contains_any(text, ["likelemba", "tontine"]), "likelemba")
-        .when(contains_any(text, ["courant"]), "courant")
-        .when(text.isNotNull(), "autre")
-    )
+    def classify(text: Column) -> Column:
+        return (
+            F.when(contains_any(text, ["dat", "depot a terme"]), "dat")
+            .when(contains_any(text, ["maman"]), "femme")
+            .when(contains_any(text, ["elenge", "jeunesse"]), "jeunesse")
+            .when(contains_any(text, ["likelemba", "tontine"]), "likelemba")
+            .when(contains_any(text, ["courant"]), "courant")
+            .when(F.length(text) > 0, "autre")
+        )
+
+    return let(normalize_label(col), classify)
 
 
 # Markers of a corporate client type (matched as substrings).
@@ -97,7 +100,7 @@ CORPORATE = ("personne morale", "pm", "societe", "pme", "institution", "entrepri
 
 
 def is_corporate(col: Column) -> Column:
-    return F.coalesce(contains_any(normalize_label(col), CORPORATE), F.lit(False))
+    return F.coalesce(let(normalize_label(col), lambda text: contains_any(text, CORPORATE)), F.lit(False))
 
 
 def risk_level(explicit: Column | None, score: Column | None, debt_ratio: Column | None,
@@ -227,14 +230,16 @@ def report_product(type_produit: Column, type_client: Column) -> Column:
 
 
 def regulatory_family(report_label: Column) -> Column:
-    text = normalize_label(report_label)
-    return (
-        F.when(F.contains(text, F.lit("bwakisa carte")), "Bwakisa Carte")
-        .when(F.contains(text, F.lit("garantie")), "Dépôts de garantie")
-        .when(F.startswith(text, F.lit("dat ")), "Dépôt à Terme")
-        .when(F.contains(text, F.lit("epargne ordinaire")) | F.startswith(text, F.lit("totines")), "Compte Epargne")
-        .otherwise("Compte Courant")
-    )
+    def classify(text: Column) -> Column:
+        return (
+            F.when(F.contains(text, F.lit("bwakisa carte")), "Bwakisa Carte")
+            .when(F.contains(text, F.lit("garantie")), "Dépôts de garantie")
+            .when(F.startswith(text, F.lit("dat ")), "Dépôt à Terme")
+            .when(F.contains(text, F.lit("epargne ordinaire")) | F.startswith(text, F.lit("totines")), "Compte Epargne")
+            .otherwise("Compte Courant")
+        )
+
+    return let(normalize_label(report_label), classify)
 
 
 def label_currency(type_produit: Column) -> Column:

@@ -45,6 +45,11 @@ def strip_accents(col: Column) -> Column:
     return F.regexp_replace(F.translate(col, accented, plain), "[\\u0300-\\u036f]", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(col: Column) -> Column:
     """Collapse runs of white space to one space and strip the ends."""
     return strip(F.regexp_replace(col, SPACE + "+", " "))

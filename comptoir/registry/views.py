@@ -155,68 +155,93 @@ FROM orders o JOIN v_clients v ON o.o_custkey = v.client_id
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = table(spark, sf_dir, "events").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    kind, value, wallet = F.col("event_type"), F.col("value"), F.col("side") == 0
-    debit = wallet == (kind != "click")
+    """Two ledger lines per event; failed events become loan payments and releases of term deposits."""
+    key, value = F.col("event_id"), F.col("value")
+    kind = (F.when((F.col("event_type") == "error") & (key % 3 == 0), "pret")
+            .when((F.col("event_type") == "error") & (key % 3 == 1), "deblocage").otherwise(F.col("event_type")))
+    event = table(spark, sf_dir, "events").withColumns({"k": kind, "side": F.explode(F.array(F.lit(0), F.lit(1)))})
+    k, first = F.col("k"), F.col("side") == 0
+    debit = first == ~k.isin("click", "pret")
+    dr = F.when(debit, value).otherwise(F.lit(0.0))
+    cr = F.when(debit, F.lit(0.0)).otherwise(value)
+    before = F.col("user_id").cast("double") * 10
+    first_account = (F.when(k == "deblocage", "FIXED SAVINGS").when((k == "purchase") & (key % 5 == 0), "NORMAL SAVINGS")
+                     .otherwise("MPESA ACCOUNT"))
+    second_account = (F.when(k == "signup", "FIXED SAVINGS").when((k == "purchase") & (key % 4 == 0), "LOAN PENALTY FEES")
+                      .when(k == "purchase", "LOAN ACCOUNT").when(k == "pret", "PRINCIPLE").otherwise("NORMAL SAVINGS"))
     return event.select(
-        (F.col("event_id") * 2 + F.col("side")).alias("id"),
+        (key * 2 + F.col("side")).alias("id"),
         F.col("user_id").alias("customer_id"),
         _text("243", 810000000 + F.col("user_id")).alias("msisdn1"),
-        F.when(wallet, "MPESA ACCOUNT").when(kind == "signup", "FIXED SAVINGS")
-        .when(kind == "purchase", "LOAN ACCOUNT").otherwise("NORMAL SAVINGS").alias("account_type"),
-        F.when(kind == "view", "Epargne depot").when(kind == "click", "Retrait Vers M-Pesa")
-        .when(kind == "signup", "Depot Bloque").when(kind == "purchase", "Remboursement du Pret")
-        .otherwise("Autre").alias("description"),
-        F.when(F.col("event_id") % 2 == 0, "CDF").otherwise("USD").alias("currency_code"),
-        F.when(debit, value).otherwise(F.lit(0.0)).alias("dr"),
-        F.when(debit, F.lit(0.0)).otherwise(value).alias("cr"),
-        _text("REF", F.col("user_id")).alias("reference_id"),
-        F.when(kind != "click", _text("TX", F.col("event_id"))).alias("ref_no"),
+        F.when(first, first_account).otherwise(second_account).alias("account_type"),
+        F.when(k == "view", "Epargne depot").when(k == "click", "Retrait Vers M-Pesa").when(k == "signup", "Depot Bloque")
+        .when((k == "purchase") & first & (key % 5 == 0), "Remboursement de compte epargne")
+        .when(k == "purchase", "Remboursement du Pret").when(k == "pret", "Montant pret")
+        .when(k == "deblocage", "Retrait Compte Bloque").otherwise("Autre").alias("description"),
+        F.when(key % 2 == 0, "CDF").otherwise("USD").alias("currency_code"),
+        dr.alias("dr"), cr.alias("cr"), before.alias("bal_before"),
+        (before + cr - dr + F.when(key % 23 == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("bal_after"),
+        F.when(k.isin("signup", "deblocage"), _text("SA", F.col("user_id") * 2 + 1)).otherwise(_text("REF", F.col("user_id")))
+        .alias("reference_id"),
+        F.when(~k.isin("click", "pret"), _text("TX", key)).alias("ref_no"),
         F.col("ts").alias("created_at"),
     )
 
 
 JOURNAL_SQL = """
-SELECT e.event_id * 2 + s.side AS id, e.user_id AS customer_id, concat('243', CAST(810000000 + e.user_id AS VARCHAR)) AS msisdn1,
-       CASE WHEN s.side = 0 THEN 'MPESA ACCOUNT' WHEN e.event_type = 'signup' THEN 'FIXED SAVINGS'
-            WHEN e.event_type = 'purchase' THEN 'LOAN ACCOUNT' ELSE 'NORMAL SAVINGS' END AS account_type,
-       CASE e.event_type WHEN 'view' THEN 'Epargne depot' WHEN 'click' THEN 'Retrait Vers M-Pesa' WHEN 'signup' THEN 'Depot Bloque'
-            WHEN 'purchase' THEN 'Remboursement du Pret' ELSE 'Autre' END AS description,
-       CASE WHEN e.event_id % 2 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code,
-       CASE WHEN (s.side = 0) = (e.event_type <> 'click') THEN e.value ELSE CAST(0 AS DOUBLE) END AS dr,
-       CASE WHEN (s.side = 0) = (e.event_type <> 'click') THEN CAST(0 AS DOUBLE) ELSE e.value END AS cr,
-       concat('REF', CAST(e.user_id AS VARCHAR)) AS reference_id,
-       CASE WHEN e.event_type = 'click' THEN NULL ELSE concat('TX', CAST(e.event_id AS VARCHAR)) END AS ref_no,
-       e.ts AS created_at
-FROM events e CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 AS side) s
+SELECT event_id * 2 + side AS id, user_id AS customer_id, concat('243', CAST(810000000 + user_id AS VARCHAR)) AS msisdn1,
+       CASE WHEN side = 0 THEN CASE WHEN k = 'deblocage' THEN 'FIXED SAVINGS' WHEN k = 'purchase' AND event_id % 5 = 0 THEN 'NORMAL SAVINGS' ELSE 'MPESA ACCOUNT' END
+            ELSE CASE WHEN k = 'signup' THEN 'FIXED SAVINGS' WHEN k = 'purchase' AND event_id % 4 = 0 THEN 'LOAN PENALTY FEES' WHEN k = 'purchase' THEN 'LOAN ACCOUNT'
+                      WHEN k = 'pret' THEN 'PRINCIPLE' ELSE 'NORMAL SAVINGS' END END AS account_type,
+       CASE WHEN k = 'view' THEN 'Epargne depot' WHEN k = 'click' THEN 'Retrait Vers M-Pesa' WHEN k = 'signup' THEN 'Depot Bloque'
+            WHEN k = 'purchase' AND side = 0 AND event_id % 5 = 0 THEN 'Remboursement de compte epargne' WHEN k = 'purchase' THEN 'Remboursement du Pret'
+            WHEN k = 'pret' THEN 'Montant pret' WHEN k = 'deblocage' THEN 'Retrait Compte Bloque' ELSE 'Autre' END AS description,
+       CASE WHEN event_id % 2 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code, dr, cr, bal_before,
+       bal_before + cr - dr + CASE WHEN event_id % 23 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS bal_after,
+       CASE WHEN k IN ('signup', 'deblocage') THEN concat('SA', CAST(user_id * 2 + 1 AS VARCHAR)) ELSE concat('REF', CAST(user_id AS VARCHAR)) END AS reference_id,
+       CASE WHEN k NOT IN ('click', 'pret') THEN concat('TX', CAST(event_id AS VARCHAR)) END AS ref_no, ts AS created_at
+FROM (SELECT *, CAST(user_id AS DOUBLE) * 10 AS bal_before, CASE WHEN (side = 0) = (k NOT IN ('click', 'pret')) THEN value ELSE CAST(0 AS DOUBLE) END AS dr,
+             CASE WHEN (side = 0) = (k NOT IN ('click', 'pret')) THEN CAST(0 AS DOUBLE) ELSE value END AS cr
+      FROM (SELECT *, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'pret' WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'deblocage' ELSE event_type END AS k
+            FROM events) CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 AS side))
 """
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = table(spark, sf_dir, "events")
     key, kind = F.col("event_id"), F.col("event_type")
+    loan = (kind == "error") & (key % 3 == 0)
+    out = (kind == "click") | loan
+    delay = F.when(key % 53 == 0, F.expr("INTERVAL '90' MINUTE")).otherwise(F.expr("INTERVAL '2' MINUTE"))
     # Every fifth receipt carries a number the ledger does not know.
-    return event.select(
-        F.when((kind == "click") | (key % 5 == 0), _text("RC", key)).otherwise(_text("TX", key)).alias("receipt_no"),
-        _text("243", 810000000 + F.col("user_id")).alias("phone"),
+    return table(spark, sf_dir, "events").select(
+        F.when(out | (key % 5 == 0), _text("RC", key)).otherwise(_text("TX", key)).alias("receipt_no"),
+        F.when(key % 43 == 0, _text("243", 820000000 + F.col("user_id"))).otherwise(_text("243", 810000000 + F.col("user_id")))
+        .alias("phone"),
+        _text("CLIENT ", F.col("user_id")).alias("nom_client"),
         F.when((key % 2 == 0) | (key % 97 == 0), "CDF").otherwise("USD").alias("currency_code"),
         F.when(key % 41 == 0, F.col("value") + 1.0).otherwise(F.col("value")).alias("montant"),
-        F.when(kind == "click", "Sortie").otherwise("Entree").alias("sens_flux"),
+        F.when(out, "Sortie").otherwise("Entree").alias("sens_flux"),
         F.when(key % 37 == 0, "Declined").otherwise("Completed").alias("statut"),
-        F.when(key % 53 == 0, F.col("ts") + F.expr("INTERVAL '90' MINUTE"))
-        .otherwise(F.col("ts") + F.expr("INTERVAL '2' MINUTE")).alias("completion_time"),
+        F.when(key % 29 == 0, "Super Transaction").when(kind == "click", "PaymentB2C").when(loan, "LoanRequest")
+        .when(kind == "purchase", "DepositC2BRepayment").otherwise("DepositC2B").alias("reason_type"),
+        (F.col("ts") + delay).alias("initiation_time"),
+        (F.col("ts") + delay + F.expr("INTERVAL '1' MINUTE")).alias("completion_time"),
     )
 
 
 RECEIPTS_SQL = """
-SELECT concat(CASE WHEN e.event_type = 'click' OR e.event_id % 5 = 0 THEN 'RC' ELSE 'TX' END, CAST(e.event_id AS VARCHAR)) AS receipt_no,
-       concat('243', CAST(810000000 + e.user_id AS VARCHAR)) AS phone,
-       CASE WHEN e.event_id % 2 = 0 OR e.event_id % 97 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code,
-       CASE WHEN e.event_id % 41 = 0 THEN e.value + 1.0 ELSE e.value END AS montant,
-       CASE WHEN e.event_type = 'click' THEN 'Sortie' ELSE 'Entree' END AS sens_flux,
-       CASE WHEN e.event_id % 37 = 0 THEN 'Declined' ELSE 'Completed' END AS statut,
-       e.ts + CASE WHEN e.event_id % 53 = 0 THEN INTERVAL '90' MINUTE ELSE INTERVAL '2' MINUTE END AS completion_time
-FROM events e
+SELECT concat(CASE WHEN event_type = 'click' OR (event_type = 'error' AND event_id % 3 = 0) OR event_id % 5 = 0 THEN 'RC' ELSE 'TX' END, CAST(event_id AS VARCHAR)) AS receipt_no,
+       concat('243', CAST(CASE WHEN event_id % 43 = 0 THEN 820000000 ELSE 810000000 END + user_id AS VARCHAR)) AS phone,
+       concat('CLIENT ', CAST(user_id AS VARCHAR)) AS nom_client,
+       CASE WHEN event_id % 2 = 0 OR event_id % 97 = 0 THEN 'CDF' ELSE 'USD' END AS currency_code,
+       CASE WHEN event_id % 41 = 0 THEN value + 1.0 ELSE value END AS montant,
+       CASE WHEN event_type = 'click' OR (event_type = 'error' AND event_id % 3 = 0) THEN 'Sortie' ELSE 'Entree' END AS sens_flux,
+       CASE WHEN event_id % 37 = 0 THEN 'Declined' ELSE 'Completed' END AS statut,
+       CASE WHEN event_id % 29 = 0 THEN 'Super Transaction' WHEN event_type = 'click' THEN 'PaymentB2C' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'LoanRequest'
+            WHEN event_type = 'purchase' THEN 'DepositC2BRepayment' ELSE 'DepositC2B' END AS reason_type,
+       ts + CASE WHEN event_id % 53 = 0 THEN INTERVAL '90' MINUTE ELSE INTERVAL '2' MINUTE END AS initiation_time,
+       ts + CASE WHEN event_id % 53 = 0 THEN INTERVAL '91' MINUTE ELSE INTERVAL '3' MINUTE END AS completion_time
+FROM events
 """
 
 
