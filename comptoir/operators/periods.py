@@ -87,8 +87,8 @@ def symmetry_summary(journal: DataFrame) -> DataFrame:
     """Entries, operations and the share whose debit equals credit, per currency."""
     return journal.groupBy("currency_code").agg(
         F.sum("nombre_lignes").alias("ecritures"), F.count_distinct("customer_id").alias("clients"), F.count("*").alias("operations"),
-        total("total_debit").alias("total_debit"), total("total_credit").alias("total_credit"), count_if("operation_symetrique").alias("operations_symetriques"),
-        (ratio(count_if("operation_symetrique"), F.count("*")) * 100).alias("taux_symetrie_pct"))
+        total("total_debit").alias("total_debit"), total("total_credit").alias("total_credit"), count_if(F.col("operation_symetrique")).alias("operations_symetriques"),
+        (ratio(count_if(F.col("operation_symetrique")), F.count("*")) * 100).alias("taux_symetrie_pct"))
 
 
 def balance_variation(ledger: DataFrame) -> DataFrame:
