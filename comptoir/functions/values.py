@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.functions.text import clear_na_like, squeeze, strip, strip_accents
+from comptoir.functions.text import clear_na_like, let, squeeze, strip, strip_accents
 
 NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TRUE_TEXTS = ("1", "true", "vrai", "oui")  # fixed values
@@ -180,7 +180,8 @@ def phone_numbers(col: Column, country_code: str = "243", add_prefix: bool = Fal
     numbers = F.array_distinct(numbers)
     if max_numbers is not None:
         numbers = F.slice(numbers, 1, max_numbers)
-    return F.when(F.size(numbers) > 0, numbers)
+    possible = col.cast("string").rlike("[0-9]{7}")
+    return F.when(possible, let(numbers, lambda found: F.when(F.size(found) > 0, found)))
 
 
 def _as_mode(values: Column, mode: str, separator: str) -> Column:
@@ -240,7 +241,11 @@ def email_addresses(col: Column, complete_domain: bool = False, max_emails: int
     emails = F.array_distinct(F.filter(cleaned, lambda e: e != ""))
     if max_emails is not None:
         emails = F.slice(emails, 1, max_emails)
-    return F.when(F.size(emails) > 0, emails)
+    # Texts that cannot hold an address skip the whole chain.
+    possible = F.contains(col.cast("string"), F.lit("@"))
+    if complete_domain:
+        possible = possible | F.contains(F.lower(col.cast("string")), F.lit("gmail"))
+    return F.when(possible, let(emails, lambda found: F.when(F.size(found) > 0, found)))
 
 
 def clean_email(col: Column, return_mode: str = "first", separator: str = "; ", complete_domain: bool = False,

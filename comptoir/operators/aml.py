@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.functions import labels as L
-from comptoir.functions.money import MONEY, amount, count_if, exact_sum, ratio, total
+from comptoir.functions.money import MONEY, count_if, exact_sum, ratio, total
 from comptoir.functions.text import blank, strip
 from comptoir.functions.values import to_flag
 from comptoir.operators.common import has, month_text, number, stamp
@@ -183,7 +183,7 @@ VALUE = "montant_reporting_cdf"
 def regulatory_lines(df: DataFrame, rate: float = DEFAULT_RATE) -> DataFrame:
     """Counts and CDF volumes of the regulatory report lines, from one conditional aggregation."""
     deposit, withdrawal = F.col("type_mouvement").isin(*L.DEPOSITS), F.col("type_mouvement").isin(*L.WITHDRAWALS)
-    size, mid, high = amount(VALUE), F.lit(rate * 5000).cast(MONEY), F.lit(rate * 10000).cast(MONEY)
+    size, mid, high = F.col(VALUE), F.lit(float(rate * 5000)), F.lit(float(rate * 10000))
     between = (size >= mid) & (size < high)
     product = "3. PRODUIT - SERVICE - OPERATIONS"
     channel = "4. CANAUX DE DISTRIBUTION"
@@ -215,7 +215,7 @@ def structuring(df: DataFrame, rate: float = DEFAULT_RATE, truncate_day: bool =
     rows = live(df, rate)
     when = F.to_date("date_operation") if truncate_day else F.col("date_operation")
     grouped = rows.groupBy(when.alias("date_operation"), "client_id", "nom_client", "type_mouvement", "code_devise").agg(
-        operation_count().alias("nb_operations"), exact_sum(VALUE).alias("s"), F.max(amount(VALUE)).alias("m"))
+        operation_count().alias("nb_operations"), exact_sum(VALUE).alias("s"), F.max(VALUE).cast(MONEY).alias("m"))
     found = grouped.where((F.col("nb_operations") >= 2) & (F.col("m") < high) & (F.col("s") >= high))
     return found.select("date_operation", "client_id", "nom_client", "type_mouvement", "code_devise", "nb_operations",
                         F.col("s").cast("double").alias("montant_cumule_cdf"),

@@ -76,7 +76,7 @@ def channel_totals(ops: DataFrame, reference: Column) -> DataFrame:
 
 
 def signed(value: str = "montant") -> Column:
-    return F.when(F.col("sens") == "D", amount(value)).when(F.col("sens") == "C", -amount(value)).otherwise(F.lit(0).cast(MONEY))
+    return F.when(F.col("sens") == "D", F.col(value)).when(F.col("sens") == "C", -F.col(value)).otherwise(0.0)
 
 
 def asymmetric_cancellations(ops: DataFrame, lines: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def asymmetric_cancellations(ops: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = ops.where(F.col("annule") & F.col("id_operation_annulee").isNotNull()).select(F.col("operation_id").alias("annulation"), "id_operation_annulee")
     members = pairs.select("annulation", F.col("annulation").alias("operation_id")).unionByName(
         pairs.select("annulation", F.col("id_operation_annulee").alias("operation_id")))
-    net = members.join(lines, "operation_id").groupBy("annulation", "compte_id", "id_devise").agg(F.sum(signed()).alias("net"))
+    net = members.join(lines, "operation_id").groupBy("annulation", "compte_id", "id_devise").agg(exact_sum(signed()).alias("net"))
     wrong = net.where(F.col("net") != 0)
     return wrong.groupBy("annulation").agg(F.count("*").alias("comptes_en_ecart"), F.sum(F.abs("net")).cast("double").alias("ecart_total"))
 
@@ -140,7 +140,7 @@ def month_end_balances(movements: DataFrame, groups: Sequence[str], date: str, v
 
     Movements are added up per month first; the running sum then runs over months, not over movements.
     """
-    monthly = movements.groupBy(*groups, F.last_day(date).alias("fin_mois")).agg(F.sum(value).alias("flux"))
+    monthly = movements.groupBy(*groups, F.last_day(date).alias("fin_mois")).agg(exact_sum(value).alias("flux"))
     spans = monthly.groupBy(*groups).agg(F.min("fin_mois").alias("a"), F.max("fin_mois").alias("b"))
     months = spans.select(*groups, F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m"))
     grid = months.select(*groups, F.last_day("m").alias("fin_mois")).join(monthly, [*groups, "fin_mois"], "left")
@@ -167,8 +167,7 @@ def wrong_side(ops: DataFrame, lines: DataFrame) -> DataFrame:
 
 def negative_after_debit(lines: DataFrame, openings: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Movements after which the account is below zero: opening plus all movements so far, in time order."""
-    net = -signed()
-    run = accumulate(lines, ["compte_id"], list(order), None, {"cumul": net})
+    run = accumulate(lines, ["compte_id"], list(order), amounts={"cumul": -signed()})
     joined = match_null_safe(run, openings.select("compte_id", "ouverture"), ["compte_id"], "left")
     balance = F.coalesce(amount("ouverture"), F.lit(0).cast(MONEY)) + F.col("cumul")
     return joined.withColumn("solde_apres", balance.cast("double")).where((balance < 0) & (F.col("sens") == "D"))
@@ -249,12 +248,12 @@ def vintages(loans: DataFrame, day: dt.date) -> DataFrame:
 
 def top_decile(loans: DataFrame, groups: Sequence[str] = ("agence", "type_produit", "devise")) -> DataFrame:
     """Share held by the largest tenth of the active loans of each group."""
-    active = loans.where(F.col("solde_final") > 0).withColumn("v", amount("solde_final"))
-    ranked = accumulate(active.select(*groups, "dossier_id", "v"), list(groups), [F.col("v").desc(), F.col("dossier_id").asc()], "rang")
+    active = loans.where(F.col("solde_final") > 0)
+    ranked = accumulate(active.select(*groups, "dossier_id", F.col("solde_final").alias("v")), list(groups), [F.col("v").desc(), F.col("dossier_id").asc()], "rang")
     sizes = active.groupBy(*groups).agg(F.count("*").alias("n"))
     joined = match_null_safe(ranked, sizes, list(groups), "inner")
     first = F.col("rang") <= F.ceil(F.col("n") / 10)
-    top, whole = F.sum(F.when(first, F.col("v"))), F.sum("v")
+    top, whole = exact_sum("v", first), exact_sum("v")
     return joined.groupBy(*groups).agg(
         F.count("*").alias("prets"), count_if(first).alias("prets_top_10"), whole.cast("double").alias("encours"), top.cast("double").alias("encours_top_10"),
         (ratio(top, whole) * 100).alias("part_top_10_pct"))
@@ -313,7 +312,7 @@ def late_repayments(schedule: DataFrame) -> DataFrame:
 
 def cash_differences(closings: DataFrame, counts: DataFrame) -> DataFrame:
     """Counted notes and coins against the declared closing balance of each desk and day."""
-    counted = counts.groupBy("caisse", "jour").agg(F.sum(amount("piece") * F.col("nombre").cast("decimal(10,0)")).alias("c"))
+    counted = counts.groupBy("caisse", "jour").agg(exact_sum(F.col("piece") * F.col("nombre")).alias("c"))
     joined = closings.join(counted, ["caisse", "jour"], "left")
     gap = amount("solde") - F.coalesce(F.col("c"), F.lit(0).cast(MONEY))
     return joined.select("caisse", "jour", "solde", F.col("c").cast("double").alias("billetage"), gap.cast("double").alias("ecart"), (gap == 0).alias("conforme"))
@@ -327,12 +326,12 @@ def missing_closings(closings: DataFrame, desks: DataFrame, start: dt.date, end:
 
 def review_movements(lines: DataFrame, threshold: float) -> DataFrame:
     """Movements without an amount, or at the review threshold, counted by reason."""
-    value = F.coalesce(amount("montant"), F.lit(0).cast(MONEY))
-    reason = F.when(value <= 0, "Montant nul ou negatif").when(F.col("sens").isNull(), "Sens absent").when(value >= F.lit(threshold).cast(MONEY), "Superieur au seuil")
+    value = F.coalesce("montant", F.lit(0.0))
+    reason = F.when(value <= 0, "Montant nul ou negatif").when(F.col("sens").isNull(), "Sens absent").when(value >= threshold, "Superieur au seuil")
     return lines.withColumn("motif", reason).where("motif IS NOT NULL").groupBy("id_devise", "motif").agg(F.count("*").alias("mouvements"), total("montant").alias("montant"))
 
 
 def large_movements(lines: DataFrame, threshold: float) -> DataFrame:
-    rows = lines.where(amount("montant") >= F.lit(threshold).cast(MONEY))
+    rows = lines.where(F.col("montant") >= threshold)
     return rows.groupBy(F.date_format("date_operation", "yyyy-MM").alias("mois"), "id_devise").agg(
         F.count("*").alias("mouvements"), F.count_distinct("operation_id").alias("operations"), total("montant").alias("montant"))

@@ -93,9 +93,10 @@ def symmetry_summary(journal: DataFrame) -> DataFrame:
 
 def balance_variation(ledger: DataFrame) -> DataFrame:
     """Share of entries whose balance changed by the size of the movement, per currency."""
-    change = F.abs(amount("bal_after") - amount("bal_before"))
-    move = F.abs(amount(F.coalesce("dr", F.lit(0.0)))) + F.abs(amount(F.coalesce("cr", F.lit(0.0))))
-    fine = F.abs(change - move) <= F.lit(0.01).cast(MONEY)
+    change = F.abs(F.col("bal_after") - F.col("bal_before"))
+    move = F.abs(F.coalesce("dr", F.lit(0.0))) + F.abs(F.coalesce("cr", F.lit(0.0)))
+    # A cent, with room for the rounding of the four doubles.
+    fine = F.abs(change - move) < 0.015
     return ledger.groupBy("currency_code").agg(
         F.count("*").alias("ecritures"), count_if(fine).alias("variations_conformes"), (ratio(count_if(fine), F.count("*")) * 100).alias("taux_conforme_pct"))
 
@@ -194,14 +195,14 @@ THRESHOLDS = {"CDF": {"fractionnement": 14_000_000.0, "important": 28_000_000.0}
 def transaction_alerts(journal: DataFrame, start: dt.date, end: dt.date, thresholds: Mapping[str, Mapping[str, float]] = THRESHOLDS) -> DataFrame:
     """Large single operations, and days on which several smaller ones reach the structuring threshold."""
     def limit(kind: str) -> Column:
-        table = F.create_map(*[x for c, t in thresholds.items() for x in (F.lit(c), F.lit(float(t[kind])).cast(MONEY))])
+        table = F.create_map(*[x for c, t in thresholds.items() for x in (F.lit(c), F.lit(float(t[kind])))])
         return F.try_element_at(table, F.col("currency_code"))
 
-    rows = journal.where(W.in_period(journal, start, end)).withColumn("v", amount("montant_operation"))
+    rows = journal.where(W.in_period(journal, start, end)).withColumn("v", F.col("montant_operation"))
     large = rows.where(F.col("v") >= limit("important")).groupBy("customer_id", "currency_code", F.to_date("created_at").alias("jour")).agg(
-        F.lit("Transaction importante").alias("alerte"), F.count("*").alias("operations"), F.sum("v").alias("s"))
+        F.lit("Transaction importante").alias("alerte"), F.count("*").alias("operations"), exact_sum("v").alias("s"))
     small = rows.where(F.col("v") < limit("fractionnement")).groupBy("customer_id", "currency_code", F.to_date("created_at").alias("jour")).agg(
-        F.lit("Fractionnement potentiel").alias("alerte"), F.count("*").alias("operations"), F.sum("v").alias("s"))
+        F.lit("Fractionnement potentiel").alias("alerte"), F.count("*").alias("operations"), exact_sum("v").alias("s"))
     small = small.where((F.col("operations") >= 2) & (F.col("s") >= limit("fractionnement")))
     return large.unionByName(small).withColumn("montant", F.col("s").cast("double")).drop("s")
 

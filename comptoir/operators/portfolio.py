@@ -605,6 +605,23 @@ def savings_ratios(df: DataFrame, rate: float) -> DataFrame:
     )
 
 
+def report_variation(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Line-by-line change between two savings reports; a product missing on one side counts as zero."""
+    values = ("nbre_de_compte", "CDF", "USD", "total_general_cdf", "total_general_usd")
+    before = previous.select("produits", *[F.col(v).alias(f"p_{v}") for v in values])
+    both = current.select("produits", *values).join(before, "produits", "full_outer")
+
+    def side(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit(0))
+
+    change = [(side(v) - side(f"p_{v}")).alias(v) for v in values]
+    return both.select(
+        "produits", *change,
+        F.coalesce(ratio(side("total_general_usd") - side("p_total_general_usd"), side("p_total_general_usd")),
+                   F.lit(0.0)).alias("proportion"),
+    )
+
+
 # --- cross tables and top exposures ---------------------------------------------------------------------------
 
 def cross_table(df: DataFrame, rows: str, columns: str, amount: str, values: Sequence[str]) -> DataFrame:

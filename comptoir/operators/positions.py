@@ -140,7 +140,7 @@ def reconciliation_status(compared: DataFrame, with_extract: bool = True) -> Dat
 
 
 def active_loans(loans: DataFrame) -> DataFrame:
-    return loans.where(amount(loan_balance(loans)) > 0)
+    return loans.where(loan_balance(loans) > 0)
 
 
 def deposits_without_loan(savings: DataFrame, loans: DataFrame) -> DataFrame:
@@ -219,11 +219,10 @@ def depositor_portfolio(savings: DataFrame, day: dt.date) -> DataFrame:
 def concentration(balances: DataFrame, value: str = "encours", groups: Sequence[str] = ("currency_code",)) -> DataFrame:
     """Rank, share and cumulative share of each customer inside its currency (and family)."""
     groups = list(groups)
-    valued = balances.withColumn("__v", amount(value))
-    ranked = accumulate(valued, groups, [F.col("__v").desc(), F.col("customer_id").asc()], "rang", {"__cum": F.col("__v")})
-    sums = valued.groupBy(*groups).agg(F.sum("__v").alias("__t"))
+    ranked = accumulate(balances, groups, [F.col(value).desc(), F.col("customer_id").asc()], "rang", amounts={"__cum": F.col(value)})
+    sums = balances.groupBy(*groups).agg(exact_sum(value).alias("__t"))
     joined = match_null_safe(ranked, sums, groups, "inner")
-    return joined.select(*balances.columns, "rang", ratio(F.col("__v"), F.col("__t")).alias("part"), ratio(F.col("__cum"), F.col("__t")).alias("part_cumulee"))
+    return joined.select(*balances.columns, "rang", ratio(amount(value), F.col("__t")).alias("part"), ratio(F.col("__cum"), F.col("__t")).alias("part_cumulee"))
 
 
 def concentration_summary(ranked: DataFrame, groups: Sequence[str] = ("currency_code",)) -> DataFrame:
@@ -269,7 +268,7 @@ def credit_detail(loans: DataFrame, day: dt.date) -> DataFrame:
     flags = [c for c in ("defaulted", "is_rollover", "is_grace_period", "status_name") if has(loans, c)]
     return loans.select(
         "loan_id", *KEY, F.col("loan_amount"), balance.alias("encours"), "created_at", "due_date", *flags, F.greatest(late, F.lit(0)).alias("jours_retard"),
-        level.otherwise("Sain").alias("niveau_risque"), maturity_band(-late).alias("tranche_echeance")).where(amount("encours") > 0)
+        level.otherwise("Sain").alias("niveau_risque"), maturity_band(-late).alias("tranche_echeance")).where(F.col("encours") > 0)
 
 
 def credit_risk(detail: DataFrame) -> DataFrame:
@@ -550,7 +549,7 @@ def report_of_clients(customers: DataFrame, journal: DataFrame, savings: DataFra
     held = keyed(savings, "msisdn").groupBy("client_key").agg(
         count_if(F.col("account_type") == W.OPEN).alias("comptes_ouverts"),
         count_if((F.col("account_type") == W.FIXED) & (F.col("balance") > 0)).alias("dat_positifs"))
-    owed = keyed(loans, "msisdn1").groupBy("client_key").agg(count_if(amount(loan_balance(loans)) > 0).alias("credits_actifs"))
+    owed = keyed(loans, "msisdn1").groupBy("client_key").agg(count_if(loan_balance(loans) > 0).alias("credits_actifs"))
     joined = people.withColumn("present_referentiel", F.lit(True))
     for part in (moved, held, owed):
         joined = joined.join(part, "client_key", "full_outer")

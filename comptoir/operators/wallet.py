@@ -161,7 +161,7 @@ def events(ledger: DataFrame) -> DataFrame:
         "o_repay": exact_sum("dr", open_ & repay), "principal_cr": exact_sum("cr", principal & repay),
         "penalty": exact_sum("cr", F.contains(account, F.lit("PENALTY"))), "interest": exact_sum("cr", account == INTEREST),
         "debt": exact_sum("cr", account == LOAN), "t_dr": exact_sum("dr"), "t_cr": exact_sum("cr"),
-        "m_dr": F.max(amount("dr")), "m_cr": F.max(amount("cr")),
+        "m_dr": F.max("dr").cast(MONEY), "m_cr": F.max("cr").cast(MONEY),
     }
     grouped = ledger.withColumn("event_key", event_key(ledger)).groupBy("customer_id", "currency_code", "event_key").agg(
         F.min("created_at").alias("created_at"), F.min("msisdn1").alias("telephone"), F.min("reference_id").alias("reference_id"),
@@ -241,9 +241,10 @@ def statement(journal: DataFrame, openings: DataFrame | None = None) -> DataFram
     balance is a net accumulation, and ``solde_reel`` says so.
     """
     rows = journal.where("passe_par_portefeuille")
-    net = amount("entree_portefeuille") - amount("sortie_portefeuille")
-    own = amount("montant_entree") - amount("montant_sortie")
-    lines = accumulate(rows, ["customer_id", "currency_code"], [F.col("created_at"), F.col("event_key")], "rang", {"cumul": net, "cumul_institution": own})
+    net = F.col("entree_portefeuille") - F.col("sortie_portefeuille")
+    own = F.col("montant_entree") - F.col("montant_sortie")
+    lines = accumulate(rows, ["customer_id", "currency_code"], [F.col("created_at"), F.col("event_key")], "rang",
+                       amounts={"cumul": net, "cumul_institution": own})
     if openings is not None:
         lines = match_null_safe(lines, openings.select("customer_id", "currency_code", "ouverture"), ["customer_id", "currency_code"], "left")
     else:
@@ -266,8 +267,8 @@ def statement_summary(journal: DataFrame) -> DataFrame:
 
 def cumulative_flow(lines: DataFrame, entry: str = "entree_portefeuille", output: str = "sortie_portefeuille") -> DataFrame:
     """Net flow accumulated over time in each currency, whatever the number of operations in a currency."""
-    net = amount(entry) - amount(output)
-    out = accumulate(lines, ["currency_code"], [F.col("created_at"), F.col("event_key"), F.col("customer_id")], None, {"cumul_net": net})
+    net = F.col(entry) - F.col(output)
+    out = accumulate(lines, ["currency_code"], [F.col("created_at"), F.col("event_key"), F.col("customer_id")], amounts={"cumul_net": net})
     return out.withColumn("cumul_net", F.col("cumul_net").cast("double"))
 
 

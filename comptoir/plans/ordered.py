@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from comptoir.functions.money import parts, whole_amount
 from comptoir.session import cut_lineage
 
 SLICE = "__slice"
@@ -33,9 +34,16 @@ def partition_count(df: DataFrame) -> int:
 
 
 def accumulate(df: DataFrame, by: Sequence[str], order: Sequence[Column], row_number: str | None = None,
-               sums: Mapping[str, Column] | None = None) -> DataFrame:
-    """Add the row number and inclusive running sums of each group, in the given order."""
+               sums: Mapping[str, Column] | None = None, amounts: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add the row number and inclusive running sums of each group, in the given order.
+
+    ``sums`` are running sums of numbers, ``amounts`` exact running sums of money.
+    """
     sums = dict(sums or {})
+    halves = {}
+    for name, value in (amounts or {}).items():
+        sums[f"__w_{name}"], sums[f"__f_{name}"] = parts(value)
+        halves[name] = (f"__w_{name}", f"__f_{name}")
     values = {f"__v{i}": value for i, value in enumerate(sums.values())}
     keyed = df.withColumns({"__one": F.lit(1).cast("bigint"), **values}) if values else \
         df.withColumn("__one", F.lit(1).cast("bigint"))
@@ -58,7 +66,9 @@ def accumulate(df: DataFrame, by: Sequence[str], order: Sequence[Column], row_nu
     added = {name: whole(m) for name, m in zip(sums, values)}
     if row_number:
         added[row_number] = whole("__one")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+    result = joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+    whole_sums = {name: whole_amount(F.col(w), F.col(f)) for name, (w, f) in halves.items()}
+    return result.withColumns(whole_sums).drop(*[c for pair in halves.values() for c in pair]) if halves else result
 
 
 def quantile_by(df: DataFrame, by: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:

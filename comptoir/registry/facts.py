@@ -303,8 +303,7 @@ WITH mo AS (SELECT agence, code_devise, last_day(CAST(date_operation AS DATE)) A
 g AS (SELECT agence, code_devise, last_day(CAST(unnest(generate_series(date_trunc('month', min(fin_mois)), date_trunc('month', max(fin_mois)), INTERVAL 1 MONTH)) AS DATE)) AS fin_mois FROM mo GROUP BY 1, 2)
 SELECT agence, code_devise, fin_mois, CAST(sum(coalesce(f, 0)) OVER (PARTITION BY agence, code_devise ORDER BY fin_mois ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS solde FROM g LEFT JOIN mo USING (agence, code_devise, fin_mois)""", OPS)
 def q13(spark, sf):
-    from comptoir.functions.money import amount
-    value = F.when(F.col("type_operation").endswith("DEPO"), amount("montant_operation")).otherwise(-amount("montant_operation"))
+    value = F.when(F.col("type_operation").endswith("DEPO"), F.col("montant_operation")).otherwise(-F.col("montant_operation"))
     return Q.month_end_balances(V.operations(spark, sf), ["agence", "code_devise"], "date_operation", value)
 
 
