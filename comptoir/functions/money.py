@@ -24,7 +24,7 @@ def parts(col: Column | str) -> tuple[Column, Column]:
     """Whole part and millionths of an amount."""
     col = F.col(col) if isinstance(col, str) else col
     whole = col.cast("bigint")
-    rest = (col - whole).cast("double") * SCALE
+    rest = col.cast("double") * SCALE - whole.cast("double") * SCALE
     # Halves away from zero, like a cast to a decimal.
     return whole, F.when(rest >= 0, F.floor(rest + 0.5)).otherwise(F.ceil(rest - 0.5)).cast("bigint")
 

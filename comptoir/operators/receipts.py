@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.functions.money import MONEY, amount, count_if, exact_sum, ratio, total
-from comptoir.functions.text import contains_any, none_if_blank, normalize_label, squeeze
+from comptoir.functions.text import contains_any, let, none_if_blank, normalize_label, squeeze
 from comptoir.functions.values import parse_dates, phone_key, to_number
 from comptoir.operators import wallet as W
 from comptoir.operators.common import has
@@ -35,16 +35,18 @@ NOT_APPLICABLE = "Non applicable - operation interne"
 
 def normalized_status(col: Column) -> Column:
     """Seven classes; a blank status is its own class."""
-    text = normalize_label(col)
-    return (
-        F.when(none_if_blank(col).isNull(), "Non renseigne")
-        .when(contains_any(text, ["complet", "success", "termine"]), COMPLETED)
-        .when(contains_any(text, ["declin", "fail", "reject", "echec"]), "Declined")
-        .when(contains_any(text, ["cancel", "annul", "revers"]), "Cancelled")
-        .when(contains_any(text, ["expir"]), "Expired")
-        .when(contains_any(text, ["pending", "attente", "initiat"]), "Pending")
-        .otherwise("Autre")
-    )
+    def classify(text: Column) -> Column:
+        return (
+            F.when(F.coalesce(text, F.lit("")) == "", "Non renseigne")
+            .when(contains_any(text, ["complet", "success", "termine"]), COMPLETED)
+            .when(contains_any(text, ["declin", "fail", "reject", "echec"]), "Declined")
+            .when(contains_any(text, ["cancel", "annul", "revers"]), "Cancelled")
+            .when(contains_any(text, ["expir"]), "Expired")
+            .when(contains_any(text, ["pending", "attente", "initiat"]), "Pending")
+            .otherwise("Autre")
+        )
+
+    return let(normalize_label(col), classify)
 
 
 def opposite_party(col: Column) -> tuple[Column, Column]:
@@ -56,20 +58,22 @@ def opposite_party(col: Column) -> tuple[Column, Column]:
 
 def receipt_class(label: Column, direction: Column) -> Column:
     """Class from the operation label and the direction of the flow."""
-    text = F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-z0-9]", "")
     entry, output = direction == "Entree", direction == "Sortie"
 
-    def says(*words: str) -> Column:
-        return contains_any(text, words)
-
-    return (
-        F.when(says("supertransaction"), INTERNAL)
-        .when(entry & says("repayment"), TO_LOAN)
-        .when(entry & says("c2b"), TO_DEPOSIT)
-        .when(output & says("loanrequest", "loanpayement", "loanpayment"), LOAN_REQUEST)
-        .when(output & says("b2c"), PAYOUT)
-        .when(entry, OTHER_IN).when(output, OTHER_OUT).otherwise(TO_CHECK)
-    )
+    def classify(text: Column) -> Column:
+        def says(*words: str) -> Column:
+            return contains_any(text, words)
+
+        return (
+            F.when(says("supertransaction"), INTERNAL)
+            .when(entry & says("repayment"), TO_LOAN)
+            .when(entry & says("c2b"), TO_DEPOSIT)
+            .when(output & says("loanrequest", "loanpayement", "loanpayment"), LOAN_REQUEST)
+            .when(output & says("b2c"), PAYOUT)
+            .when(entry, OTHER_IN).when(output, OTHER_OUT).otherwise(TO_CHECK)
+        )
+
+    return let(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-z0-9]", ""), classify)
 
 
 def prepare_receipts(raw: DataFrame, source: str | None = None) -> DataFrame:
