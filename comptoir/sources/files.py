@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from comptoir.functions.text import none_if_blank, strip
 from comptoir.sources.contracts import Contract, coalesce_named, header_key, normalize_headers, validate
 
-ENCODINGS = ("utf-8", "ISO-8859-1", "windows-1252")
+ENCODINGS = ("utf-8", "iso-8859-1")  # the second one reads any byte
 
 
 class LoadError(ValueError):
@@ -158,7 +158,7 @@ def promote_header(spark: SparkSession, path: str, first_field: str = "Receipt N
         body = lines.join(files, source_column, "left_semi").where(~is_header)
         fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator})
         enough = F.size(F.split("value", f"[{separator}]", -1)) >= len(names)
-        part = body.where(enough).select(fields.alias("f"), source_column).select("f.*", source_column)
+        part = body.where(enough).select(fields.alias("__fields"), source_column).select("__fields.*", source_column)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise LoadError(f"{path}: no line starts with {first_field!r}")
