@@ -46,7 +46,7 @@ MONTHS_EN = {
     "june": 6, "jun": 6, "july": 7, "jul": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "october": 10,
     "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
 }
-EXCEL_EPOCH = dt.datetime(1899, 12, 30)
+EXCEL_EPOCH = dt.date(1899, 12, 30)
 
 
 def _full_year(token: Column, reference_year: int) -> Column:

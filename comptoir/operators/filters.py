@@ -135,10 +135,10 @@ def filter_completion(df: DataFrame, start: dt.datetime | dt.date | None = None,
     time = stamp(df, column)
     out = df
     if start is not None:
-        out = out.where(time >= F.lit(start).cast("timestamp_ntz"))
+        out = out.where(time >= F.lit(str(start)).cast("timestamp_ntz"))
     if end is not None:
         if isinstance(end, dt.datetime):
-            out = out.where(time <= F.lit(end).cast("timestamp_ntz"))
+            out = out.where(time <= F.lit(str(end)).cast("timestamp_ntz"))
         else:
             out = out.where(time < F.lit(end + dt.timedelta(days=1)).cast("timestamp_ntz"))
     return out
@@ -162,10 +162,10 @@ def as_of(df: DataFrame, day: dt.date, columns: Sequence[str]) -> DataFrame:
 def scope_years(df: DataFrame, first_year: int, last_year: int, columns: Sequence[str], stock: bool) -> DataFrame:
     """Flows strictly inside the years; stock positions created before their end, or undated."""
     date = _first_of(df, columns)
-    before_end = date < F.lit(dt.datetime(last_year + 1, 1, 1)).cast("timestamp_ntz")
+    before_end = date < F.lit(dt.date(last_year + 1, 1, 1)).cast("timestamp_ntz")
     if stock:
         return df.where(date.isNull() | before_end)
-    return df.where((date >= F.lit(dt.datetime(first_year, 1, 1)).cast("timestamp_ntz")) & before_end)
+    return df.where((date >= F.lit(dt.date(first_year, 1, 1)).cast("timestamp_ntz")) & before_end)
 
 
 def latest_complete_day(*dates: tuple[DataFrame, Sequence[str]]) -> DataFrame:

@@ -116,11 +116,11 @@ def client_fact(spark, sf):
         F.count(F.when(blocked, 1)).alias("f"), exact_sum("balance", blocked & (F.col("maturity_date") <= F.lit(DAY))).alias("q"))
     base = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("client_id"))
     joined = base.join(last, "client_id", "left").join(owed, "client_id", "left").join(held, "client_id", "left")
-    d = F.coalesce("d", F.lit(dt.datetime(1900, 1, 1)).cast("timestamp_ntz"))
+    d = F.coalesce("d", F.lit(dt.date(1900, 1, 1)).cast("timestamp_ntz"))
     e, q = F.coalesce("e", F.lit(0)), F.coalesce("q", F.lit(0))
     return joined.select(
-        "client_id", (d >= F.lit(dt.datetime(2001, 1, 1)).cast("timestamp_ntz")).alias("client_actif"), F.lit(True).alias("avec_compte_ouvert"), (F.col("f") > 0).alias("avec_compte_bloque"),
-        (d < F.lit(dt.datetime(2000, 6, 1)).cast("timestamp_ntz")).alias("avec_compte_dormant"), (e > 0).alias("avec_credit"), (q > 0).alias("avec_dat_echeance"),
+        "client_id", (d >= F.lit(dt.date(2001, 1, 1)).cast("timestamp_ntz")).alias("client_actif"), F.lit(True).alias("avec_compte_ouvert"), (F.col("f") > 0).alias("avec_compte_bloque"),
+        (d < F.lit(dt.date(2000, 6, 1)).cast("timestamp_ntz")).alias("avec_compte_dormant"), (e > 0).alias("avec_credit"), (q > 0).alias("avec_dat_echeance"),
         e.cast("double").alias("montant_credit"), q.cast("double").alias("montant_dat_echeance"))
 
 

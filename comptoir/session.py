@@ -22,6 +22,8 @@ def build_session(app_name: str = "comptoir", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Checkpointed rows are removed once no plan refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Plans with many expressions are built much faster without a call site recorded for each of them.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -13,6 +13,9 @@ from comptoir.sources.contracts import Contract, coalesce_named, header_key, nor
 ENCODINGS = ("utf-8", "iso-8859-1")  # the second one reads any byte
 
 
+MAX_HEADERS = 1000
+
+
 class LoadError(ValueError):
     """A file is empty or cannot be read."""
 
@@ -150,7 +153,9 @@ def promote_header(spark: SparkSession, path: str, first_field: str = "Receipt N
     stripped = strip(F.replace(F.col("value"), F.lit("﻿"), F.lit("")))
     is_header = F.startswith(F.replace(stripped, F.lit('"'), F.lit("")), F.lit(first_field))
     headers = lines.where(is_header).select(source_column, stripped.alias("header")).distinct()
-    variants = [r["header"] for r in headers.select("header").distinct().limit(1000).collect()]
+    variants = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(variants) > MAX_HEADERS:
+        raise LoadError(f"{path}: more than {MAX_HEADERS} different headers start with {first_field!r}")
     out = None
     for variant in sorted(variants):
         names = [n.strip().strip('"') for n in variant.split(separator)]
