@@ -103,12 +103,11 @@ def monthly_requests(df: DataFrame, by_currency: bool = True) -> DataFrame:
 
 # --- one-row metrics ------------------------------------------------------------------------------------------
 
-def summary_metrics(df: DataFrame) -> DataFrame:
-    """Files, clients, amounts, approval and delay rates, mean delay and debt ratio, in one pass."""
+def summary_measures(df: DataFrame) -> list[Column]:
     none = F.first(F.lit(None).cast("double"))
     approved = F.col("statut_dossier").isin(*L.APPROVED) if has(df, "statut_dossier") else F.lit(False)
     rows = F.count("*")
-    return df.agg(
+    return [
         rows.alias("nombre_dossiers"),
         (F.count_distinct("client_id") if has(df, "client_id") else F.first(F.lit(None).cast("bigint")))
         .alias("nombre_clients"),
@@ -117,8 +116,13 @@ def summary_metrics(df: DataFrame) -> DataFrame:
         ratio(count_if(approved), rows).alias("taux_approbation"),
         ratio(count_if(delayed(df)), rows).alias("taux_retard"),
         (mean("retard_jours") if has(df, "retard_jours") else none).alias("retard_moyen_jours"),
-        (F.avg("taux_endettement") if has(df, "taux_endettement") else none).alias("taux_endettement_moyen"),
-    )
+        (mean("taux_endettement") if has(df, "taux_endettement") else none).alias("taux_endettement_moyen"),
+    ]
+
+
+def summary_metrics(df: DataFrame) -> DataFrame:
+    """Files, clients, amounts, approval and delay rates, mean delay and debt ratio, in one pass."""
+    return df.agg(*summary_measures(df))
 
 
 def top_label(df: DataFrame, column: str) -> Column:
@@ -135,7 +139,8 @@ def operational_snapshot(df: DataFrame) -> DataFrame:
     capacity = F.coalesce(F.col("capacite_remboursement"), F.lit(0.0)) if has(df, "capacite_remboursement") else F.lit(0.0)
     incomplete = (F.col("revenu_mensuel").isNull() | F.col("charge_mensuelle").isNull()) \
         if has(df, "revenu_mensuel", "charge_mensuelle") else F.lit(False)
-    counts = df.agg(
+    figures = df.agg(
+        *summary_measures(df),
         count_if(risk_is(df, "Élevé")).alias("high_risk_count"),
         count_if(risk_is(df, "Moyen")).alias("medium_risk_count"),
         count_if(capacity < 0).alias("negative_capacity_count"),
@@ -144,14 +149,12 @@ def operational_snapshot(df: DataFrame) -> DataFrame:
         count_if(delay > 30).alias("overdue_30_count"),
         (mean("montant_demande") if has(df, "montant_demande") else F.first(F.lit(None).cast("double")))
         .alias("montant_moyen_demande"),
-        F.lit(1).alias("k"),
     )
-    labelled = counts.select(
+    return figures.select(
         "*",
         top_label(df, "agence").alias("top_agence"), top_label(df, "type_produit").alias("top_produit"),
         top_label(df, "agent_credit").alias("top_agent"), top_label(df, "statut_dossier").alias("top_statut"),
     )
-    return summary_metrics(df).withColumn("k", F.lit(1)).join(labelled, "k").drop("k")
 
 
 # --- grouped sums and distributions ---------------------------------------------------------------------------

@@ -71,10 +71,7 @@ SELECT count(*) AS nombre_dossiers, count(DISTINCT client_id) AS nombre_clients,
   {div(cnt('retard_jours > 0'), 'count(*)')} AS taux_retard, {avg('retard_jours')} AS retard_moyen_jours, {avg('taux_endettement')} AS taux_endettement_moyen
 FROM v_std""", STD)
 def a19(spark, sf):
-    from comptoir.functions.money import mean
-    df = V.standard(spark, sf)
-    return P.summary_metrics(df.drop("taux_endettement")).drop("taux_endettement_moyen").withColumn(
-        "taux_endettement_moyen", df.agg(mean("taux_endettement").alias("m")).scalar())
+    return P.summary_metrics(V.standard(spark, sf))
 
 
 @register("A20_grouped_amounts", f"""
