@@ -13,7 +13,8 @@ def spark():
     session = build_session(
         "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "2", "spark.ui.enabled": "false",
-           "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
+           "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+           "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
