@@ -3,8 +3,10 @@
 Shingles are dealt into slices of their hash range; a slice holds the whole inverted lists of its shingles. Lists of one document cannot
 link anything, so only shingles of two or more documents return to their documents, with the length of their list. A document of n shingles
 needs an overlap of T = ceil(threshold * n) or more with any partner. Following DivideSkip, its T - 1 longest lists are skipped: a partner
-must stand in one of the remaining short lists. These are merged by a shuffle on the shingle; candidates are then probed in the long lists by
-binary search of sorted hashes, and kept when the whole overlap reaches what the threshold asks of the pair.
+must stand in one of the remaining short lists. These are merged by a shuffle on the shingle. Each posting carries its place in the
+document's order from rare to common: a pair is a candidate only if as many shingles as its sizes require can follow the shared one in both
+documents, which holds for the first shingle that a true pair shares. Candidates are then probed in the long lists by binary search of sorted
+hashes, and kept when the whole overlap reaches what the threshold asks of the pair.
 
 Hot lists are not expanded into all their pairs. A first round links every document with one leader of each of its short lists; the
 components of the verified links make most lists of a group of copies uniform. The second round pairs members of a list only across the
@@ -106,7 +108,7 @@ def _shared(table: pa.Table) -> pa.Table:
     length = np.diff(np.concatenate([starts, [len(hashes)]]))
     lists = np.repeat(length, length)
     some = lists > 1
-    hashes, owner, lists = hashes[some], owner[some], lists[some].astype(np.int32)
+    hashes, owner, lists = hashes[some], owner[some], np.minimum(lists[some], 65535).astype(np.uint16)
     order = np.argsort(owner, kind="stable")
     hashes, owner, lists = hashes[order], owner[order], lists[order]
     which, begin = np.unique(owner, return_index=True)
@@ -131,7 +133,7 @@ def _profiles(rows: DataFrame, num: int, den: int) -> DataFrame:
             out = [], []
             for size, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 hashes = np.concatenate([np.frombuffer(p["hashes"], dtype=np.uint64) for p in parts])
-                lists = np.concatenate([np.frombuffer(p["lists"], dtype=np.int32) for p in parts])
+                lists = np.concatenate([np.frombuffer(p["lists"], dtype=np.uint16) for p in parts])
                 rarest = np.lexsort((hashes, lists))[: len(hashes) - _required(size, num, den) + 1]
                 out[0].append(np.sort(hashes).tobytes())
                 out[1].append(hashes[rarest].tobytes())
@@ -141,13 +143,23 @@ def _profiles(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _short_lists(profiles: DataFrame) -> DataFrame:
+    """Rows (shingle, key, size, place): the short lists' postings; places count from 0, shingles of a single document first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(1)]
-            owner = np.repeat(np.asarray(batch.column(0)), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])), pa.array(owner)], names=["shingle", "key"])
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(3)]
+            count = np.array([len(p) for p in parts], dtype=np.int64)
+            key, size, alone = (np.repeat(np.asarray(batch.column(i)), count) for i in range(3))
+            place = alone + np.arange(len(alone)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])), pa.array(key), pa.array(size), pa.array(place.astype(np.int32))], names=["shingle", "key", "size", "place"])
+
+    return profiles.selectExpr("key", "size", "size - length(hashes) div 8 AS alone", "short").mapInArrow(run, "shingle long, key long, size int, place int")
+
 
-    return profiles.select("key", "short").mapInArrow(run, "shingle long, key long")
+def _possible(num: int, den: int) -> str:
+    """SQL: both documents (sizes na and nb, the shared shingle at pa and pb) have room for the overlap their sizes require."""
+    need = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"
+    return f"pa <= na - {need} AND pb <= nb - {need}"
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -164,8 +176,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> Data
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (profiles.select(F.col("key").alias(k), F.col("size").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in "ab")
-    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").filter(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b")
-    return sized.join(one, "a").join(two, "b").select("a", "b", "na", "ha", "nb", "hb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ha", "nb", "hb").mapInArrow(run, "a long, b long")
 
 
 def similar_sets(texts: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -178,16 +189,20 @@ def similar_sets(texts: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (
     enough = rows.groupBy("key").agg(F.first("size").alias("size"), F.sum("shared").alias("shared"), F.collect_list(F.struct("hashes", "lists")).alias("parts"))
     profiles = cut_lineage(_profiles(enough.filter(f"shared * {den} >= size * {num}").select("key", "size", "parts"), num, den))
     postings = _short_lists(profiles)
-    leaders = postings.groupBy("shingle").agg(F.min("key").alias("leader"), F.max("key").alias("last")).filter("leader < last")
-    stars = postings.join(leaders, "shingle").filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    leaders = postings.groupBy("shingle").agg(F.min(F.struct("key", "size", "place")).alias("first"), F.max("key").alias("last")).filter("first.key < last")
+    one = leaders.selectExpr("shingle", "first.key AS a", "first.size AS na", "first.place AS pa")
+    two = postings.selectExpr("shingle", "key AS b", "size AS nb", "place AS pb")
+    possible = F.expr(_possible(num, den))
+    stars = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & possible).select("a", "b").distinct()
     links = cut_lineage(_verified(stars, profiles, num, den))
     roots = components(links)
-    named = postings.join(roots, postings["key"] == roots["node"], "left").select("shingle", "key", F.coalesce("root", "key").alias("root"))
+    named = postings.join(roots, postings["key"] == roots["node"], "left").select("shingle", "key", "size", "place", F.coalesce("root", "key").alias("root"))
     mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     across = cut_lineage(named.join(mixed, "shingle"))
-    other = across.select("shingle", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    pairs = across.withColumnRenamed("key", "a").join(other, "shingle").filter("a < b AND root <> root_b").select("a", "b").distinct()
-    rest = cut_lineage(_verified(pairs.join(stars, ["a", "b"], "left_anti"), profiles, num, den))
+    left = across.selectExpr("shingle", "key AS a", "size AS na", "place AS pa", "root AS ra")
+    right = across.selectExpr("shingle", "key AS b", "size AS nb", "place AS pb", "root AS rb")
+    pairs = left.join(right, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b").distinct()
+    rest = cut_lineage(_verified(pairs, profiles, num, den))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
@@ -202,7 +217,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     if not 2 * threshold[0] >= threshold[1] >= threshold[0] > 0:
         raise ValueError("the threshold must lie between 1/2 and 1")
     kept = df.drop("set_key", "n_shingles", "component_id")
-    keyed = shingle_keys(kept, text, n=n)
+    keyed = cut_lineage(shingle_keys(kept, text, n=n))
     roots = similar_sets(df.select(F.col(f"`{text}`").cast("string").alias("text")), n=n, threshold=threshold)
     ids = keyed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.col(f"`{id_column}`")).alias("_id"))
     rooted = ids.join(roots, ids["set_key"] == roots["node"], "left").select("set_key", "_id", F.coalesce("root", "set_key").alias("root"))
