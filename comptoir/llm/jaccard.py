@@ -51,7 +51,8 @@ def shingle_keys(df: DataFrame, text: str = "text", *, n: int = 5, key: str = "s
 
 
 def _postings(texts: DataFrame, n: int, slices: int) -> DataFrame:
-    """Rows (slice, keys, sizes, counts, hashes): packed postings; a document's hashes of a slice stand together."""
+    """Rows (slice, keys, sizes, counts, hashes): packed postings; a document's hashes of a slice stand together. The slice stands for
+    the upper bits of its hashes, so seven bytes of each travel."""
     schema = "slice int, keys binary, sizes binary, counts binary, hashes binary"
     bounds = np.array([(i << 64) // slices for i in range(1, slices)], dtype=np.uint64)
 
@@ -70,7 +71,7 @@ def _postings(texts: DataFrame, n: int, slices: int) -> DataFrame:
                 some = counts > 0
                 if some.any():
                     parts = [held[i][1][cuts[i, s] : cuts[i, s + 1]] for i in np.flatnonzero(some)]
-                    rows.append((s, keys[some].tobytes(), sizes[some].tobytes(), counts[some].tobytes(), np.concatenate(parts).tobytes()))
+                    rows.append((s, keys[some].tobytes(), sizes[some].tobytes(), counts[some].tobytes(), np.concatenate(parts).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["slice", "keys", "sizes", "counts", "hashes"])
 
         for batch in batches:
@@ -90,13 +91,17 @@ def _postings(texts: DataFrame, n: int, slices: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, bits: int) -> pa.Table:
     """Of one slice, each document's shingles whose lists hold two or more documents, with the lists' lengths."""
 
     def column(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in table.column(name)])
 
-    keys, sizes, counts, hashes = column("keys", np.int64), column("sizes", np.int32), column("counts", np.int32), column("hashes", np.uint64)
+    keys, sizes, counts = column("keys", np.int64), column("sizes", np.int32), column("counts", np.int32)
+    lower = column("hashes", np.uint8).reshape(-1, 7)
+    hashes = np.zeros((len(lower), 8), dtype=np.uint8)
+    hashes[:, :7] = lower
+    hashes = hashes.view(np.uint64).ravel() | np.uint64(table.column("slice")[0].as_py() << (64 - bits))
     keys, first, of = np.unique(keys, return_index=True, return_inverse=True)
     once = np.zeros(len(of), dtype=bool)
     once[first] = True
@@ -185,15 +190,17 @@ def similar_sets(texts: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (
     total = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     slices = 1 << max(3, int(total // SLICE_BYTES).bit_length())
     packed = _postings(texts, n, slices)
-    rows = packed.groupBy("slice").applyInArrow(_shared, "key long, size int, shared int, hashes binary, lists binary")
+    rows = packed.groupBy("slice").applyInArrow(lambda table: _shared(table, slices.bit_length() - 1), "key long, size int, shared int, hashes binary, lists binary")
     enough = rows.groupBy("key").agg(F.first("size").alias("size"), F.sum("shared").alias("shared"), F.collect_list(F.struct("hashes", "lists")).alias("parts"))
     profiles = cut_lineage(_profiles(enough.filter(f"shared * {den} >= size * {num}").select("key", "size", "parts"), num, den))
     postings = _short_lists(profiles)
-    leaders = postings.groupBy("shingle").agg(F.min(F.struct("key", "size", "place")).alias("first"), F.max("key").alias("last")).filter("first.key < last")
-    one = leaders.selectExpr("shingle", "first.key AS a", "first.size AS na", "first.place AS pa")
+    # Of each list two leaders: the document with the fewest rarer shingles, which is the middle of a group of variants, and the least key.
+    member = F.struct("key", "size", "place")
+    leaders = postings.groupBy("shingle").agg(F.min(F.struct("place", "key", "size")).alias("middle"), F.min(member).alias("first"), F.max("key").alias("last")).filter("first.key < last")
+    one = leaders.select("shingle", F.explode(F.array_distinct(F.array(F.struct("middle.key", "middle.size", "middle.place"), "first"))).alias("m")).selectExpr("shingle", "m.key AS a", "m.size AS na", "m.place AS pa")
     two = postings.selectExpr("shingle", "key AS b", "size AS nb", "place AS pb")
     possible = F.expr(_possible(num, den))
-    stars = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & possible).select("a", "b").distinct()
+    stars = one.join(two, "shingle").filter((F.col("a") != F.col("b")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut_lineage(_verified(stars, profiles, num, den))
     roots = components(links)
     named = postings.join(roots, postings["key"] == roots["node"], "left").select("shingle", "key", "size", "place", F.coalesce("root", "key").alias("root"))
