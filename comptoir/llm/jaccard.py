@@ -28,7 +28,7 @@ from comptoir.llm._hashing import set_key, shingle_set
 from comptoir.session import cut_lineage
 
 #: Text bytes whose shingles make up one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 32 << 20
 #: Postings a task gathers before it hands them over.
 FLUSH = 1_000_000
 
