@@ -39,15 +39,14 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near duplicates; of rows with that id, the least text. Documents without words stay."""
-    found = jaccard.near_duplicates(docs)
-    first = found.filter("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL AND n_shingles = 0").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    alone = kept.join(repeated, "doc_id", "left_anti")
+    """The document with the least id of every group of near duplicates; of rows with that id, the least text.
+
+    Documents without words stay, and so do rows without an id, since no id can stand for them.
+    """
+    first = jaccard.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    chosen = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return alone.select(*COLUMNS).unionAll(chosen.select(*COLUMNS))
+    kept = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return kept.select(*COLUMNS).unionAll(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

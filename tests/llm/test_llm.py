@@ -270,3 +270,32 @@ def test_digests_of_empty_tables(spark):
     vectors = spark.createDataFrame([], "id long, v array<long>")
     assert topk.top_k(vectors, vectors).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, sf).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        ids = {r.doc_id for r in before.select("doc_id").collect()}
+        assert {r.doc_id for r in after.select("doc_id").collect()} <= ids
+        if k == 1:
+            assert after.count() == before.count()
+        if k == 2:
+            groups = {r.doc_id: r.component_id for r in jaccard.near_duplicates(before).collect()}
+            assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, c in groups.items() if i == c)
+        if k == 3:
+            items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert not any(i in (r.text or "") for r in after.collect() for i in items)
+        before = after
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.read_ranks(VOCABULARY), special_tokens={})
+    for r in before.collect():
+        assert r.ids == library.encode_ordinary(r.text) and r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    odd = spark.createDataFrame([(None, "a b", None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", "en", "s", 0)], docs.select(*corpus_pipeline.COLUMNS).schema)
+    for _, stage in corpus_pipeline.STAGES:
+        odd = stage(spark, odd, sf)
+    assert odd.count() <= 4
