@@ -99,7 +99,7 @@ def format_conversations(df: DataFrame, *, vocabulary: str, pattern: str, conver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lengths = _encoder(vocabulary, pattern)
-        for batch in batches:
+        for batch in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             out: list[list] = [[], [], [], []]
             for turns in batch.column(1).to_pylist():
                 formatted, spans = render([(t["role"], t["text"]) for t in turns], trained)
@@ -118,7 +118,7 @@ def read_back(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             turns, loss = [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
