@@ -28,9 +28,11 @@ from comptoir.llm._hashing import set_key, shingle_set
 from comptoir.session import cut_lineage
 
 #: Text bytes whose shingles make up one slice.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 #: Postings a task gathers before it hands them over.
 FLUSH = 1_000_000
+#: Documents of a bucket in one batch.
+ROWS = 1000
 
 
 def shingle_keys(df: DataFrame, text: str = "text", *, n: int = 5, key: str = "set_key", count: str = "n_shingles") -> DataFrame:
@@ -116,35 +118,53 @@ def _shared(table: pa.Table, bits: int) -> pa.Table:
     hashes, owner, lists = hashes[some], owner[some], np.minimum(lists[some], 65535).astype(np.uint16)
     order = np.argsort(owner, kind="stable")
     hashes, owner, lists = hashes[order], owner[order], lists[order]
-    which, begin = np.unique(owner, return_index=True)
-    ends = np.concatenate([begin[1:], [len(owner)]]) if len(owner) else begin
-    return pa.table({
-        "key": pa.array(keys[which], pa.int64()), "size": pa.array(sizes[first][which], pa.int32()), "shared": pa.array((ends - begin).astype(np.int32)),
-        "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
-        "lists": pa.array([lists[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
-    })
+    which, begin, held = np.unique(owner, return_index=True, return_counts=True)
+    # The parts of all documents of one bucket travel as one row.
+    bucket = keys[which] & ((1 << bits) - 1)
+    rows = []
+    for one in np.unique(bucket):
+        mine = np.flatnonzero(bucket == one)
+        at = np.concatenate([np.arange(begin[i], begin[i] + held[i]) for i in mine])
+        rows.append((int(one), keys[which[mine]].tobytes(), sizes[first][which[mine]].tobytes(), held[mine].astype(np.int32).tobytes(), hashes[at].tobytes(), lists[at].tobytes()))
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.table(dict(zip(("bucket", "keys", "sizes", "counts", "hashes", "lists"), (pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 5), strict=True)), strict=True)))
 
 
 def _required(size: int, num: int, den: int) -> int:
     return -(-size * num // den)
 
 
-def _profiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (key, size, hashes, short): sorted shared hashes, and those of the short lists that remain beside the T - 1 longest."""
-    schema = "key long, size int, hashes binary, short binary"
+def _profiles(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, rows (key, size, hashes, short) of the documents that share enough: sorted shared hashes, and those of the short lists
+    that remain beside the T - 1 longest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [], []
-            for size, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hashes = np.concatenate([np.frombuffer(p["hashes"], dtype=np.uint64) for p in parts])
-                lists = np.concatenate([np.frombuffer(p["lists"], dtype=np.uint16) for p in parts])
-                rarest = np.lexsort((hashes, lists))[: len(hashes) - _required(size, num, den) + 1]
-                out[0].append(np.sort(hashes).tobytes())
-                out[1].append(hashes[rarest].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["key", "size", "hashes", "short"])
+    def column(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in table.column(name)])
 
-    return rows.mapInArrow(run, schema)
+    keys, sizes, counts = column("keys", np.int64), column("sizes", np.int32), column("counts", np.int32)
+    hashes, lists = column("hashes", np.uint64), column("lists", np.uint16)
+    keys, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    sizes, owner = sizes[first], np.repeat(of, counts)
+    order = np.lexsort((hashes, owner))
+    hashes, lists = hashes[order], lists[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
+    out: list[list] = [[], [], [], []]
+    for key, size, begin, end in zip(keys.tolist(), sizes.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        required = _required(size, num, den)
+        if end - begin < required:
+            continue
+        mine = hashes[begin:end]
+        rarest = np.argsort(lists[begin:end], kind="stable")[: len(mine) - required + 1]
+        for values, value in zip(out, (key, size, mine.tobytes(), mine[rarest].tobytes()), strict=True):
+            values.append(value)
+        if len(out[0]) == ROWS:
+            yield _profile_batch(out)
+            out = [[], [], [], []]
+    yield _profile_batch(out)
+
+
+def _profile_batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "size", "hashes", "short"])
 
 
 def _short_lists(profiles: DataFrame) -> DataFrame:
@@ -173,7 +193,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for na, ha, nb, hb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            for na, ha, nb, hb in ((x.as_py() for x in row) for row in zip(*batch.columns[2:], strict=True)):
                 small, large = sorted((np.frombuffer(ha, dtype=np.uint64), np.frombuffer(hb, dtype=np.uint64)), key=len)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
@@ -190,9 +210,9 @@ def similar_sets(texts: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (
     total = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     slices = 1 << max(3, int(total // SLICE_BYTES).bit_length())
     packed = _postings(texts, n, slices)
-    rows = packed.groupBy("slice").applyInArrow(lambda table: _shared(table, slices.bit_length() - 1), "key long, size int, shared int, hashes binary, lists binary")
-    enough = rows.groupBy("key").agg(F.first("size").alias("size"), F.sum("shared").alias("shared"), F.collect_list(F.struct("hashes", "lists")).alias("parts"))
-    profiles = cut_lineage(_profiles(enough.filter(f"shared * {den} >= size * {num}").select("key", "size", "parts"), num, den))
+    bits = slices.bit_length() - 1
+    parts = packed.groupBy("slice").applyInArrow(lambda table: _shared(table, bits), "bucket int, keys binary, sizes binary, counts binary, hashes binary, lists binary")
+    profiles = cut_lineage(parts.groupBy("bucket").applyInArrow(lambda table: pa.Table.from_batches(_profiles(table, num, den)), "key long, size int, hashes binary, short binary"))
     postings = _short_lists(profiles)
     # Of each list two leaders: the document with the fewest rarer shingles, which is the middle of a group of variants, and the least key.
     member = F.struct("key", "size", "place")
