@@ -2,7 +2,7 @@
 
 A double sum depends on the order in which partial sums meet. Each amount is therefore split into its whole part
 and its millionths, both 64-bit integers, which add up exactly and fast; the two sums are put together once per
-group, as a decimal. Thresholds on sums are decided on that decimal, doubles come last. Whole parts may add up to
+group, as a decimal. NaN counts as missing; an infinite amount raises. Thresholds on sums are decided on that decimal, doubles come last. Whole parts may add up to
 9e18 and 9e12 rows may be summed before an integer overflows, and an overflow raises.
 """
 
@@ -20,9 +20,14 @@ def amount(col: Column | str) -> Column:
     return col.cast(MONEY)
 
 
+def known(col: Column) -> Column:
+    """Null instead of NaN."""
+    return F.when(~F.isnan(col.cast("double")), col)
+
+
 def parts(col: Column | str) -> tuple[Column, Column]:
     """Whole part and millionths of an amount."""
-    col = F.col(col) if isinstance(col, str) else col
+    col = known(F.col(col) if isinstance(col, str) else col)
     whole = col.cast("bigint")
     rest = col.cast("double") * SCALE - whole.cast("double") * SCALE
     # Halves away from zero, like a cast to a decimal.
@@ -49,7 +54,7 @@ def total(col: Column | str, where: Column | None = None) -> Column:
 def mean(col: Column | str, where: Column | None = None) -> Column:
     """Exact mean of the non-null values; null when there are none."""
     col = F.col(col) if isinstance(col, str) else col
-    value = col if where is None else F.when(where, col)
+    value = known(col if where is None else F.when(where, col))
     return ratio(exact_sum(value), F.count(value))
 
 

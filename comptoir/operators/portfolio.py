@@ -159,6 +159,11 @@ def operational_snapshot(df: DataFrame) -> DataFrame:
 
 # --- grouped sums and distributions ---------------------------------------------------------------------------
 
+def ranked(grouped: DataFrame, top_n: int | None, *order: Column | str) -> DataFrame:
+    """All rows, or the first ``top_n`` in the given order."""
+    return grouped if top_n is None else grouped.orderBy(*order).limit(top_n)
+
+
 def grouped_amounts(df: DataFrame, group: str, amount: str = "montant_demande", top_n: int = 10) -> DataFrame:
     if not has(df, group, amount):
         return empty(df, f"`{group}` string, `{amount}` double")
@@ -291,21 +296,21 @@ def multi_account_clients(df: DataFrame, top_n: int = 10) -> DataFrame:
     return top.withColumn("solde_total", F.col("solde_total").cast("double"))
 
 
-def product_concentration(df: DataFrame, top_n: int = 10) -> DataFrame:
+def product_concentration(df: DataFrame, top_n: int | None = None) -> DataFrame:
     if not has(df, "type_produit", "solde_compte"):
         return empty(df, "type_produit string, nombre_comptes bigint, solde_total double, part_solde double")
     rows = df.where(F.col("type_produit").isNotNull())
     balance = number_or_zero(df, "solde_compte")
     whole = rows.agg(exact_sum(balance).alias("s")).scalar()
     grouped = rows.groupBy("type_produit").agg(F.count("*").alias("nombre_comptes"), exact_sum(balance).alias("solde_total"))
-    top = grouped.orderBy(F.desc("solde_total"), "type_produit").limit(top_n)
+    top = ranked(grouped, top_n, F.desc("solde_total"), "type_produit")
     return top.select(
         "type_produit", "nombre_comptes", F.col("solde_total").cast("double"),
         F.coalesce(ratio(F.col("solde_total"), whole), F.lit(0.0)).alias("part_solde"),
     )
 
 
-def agent_portfolio(df: DataFrame, top_n: int = 10) -> DataFrame:
+def agent_portfolio(df: DataFrame, top_n: int | None = None) -> DataFrame:
     if not has(df, "agent_credit"):
         return empty(df, "agent_credit string, nombre_comptes bigint, nombre_clients bigint, solde_total double, "
                          "solde_moyen double")
@@ -314,7 +319,7 @@ def agent_portfolio(df: DataFrame, top_n: int = 10) -> DataFrame:
         F.count("*").alias("nombre_comptes"), clients.alias("nombre_clients"),
         exact_sum(number_or_zero(df, "solde_compte")).alias("solde_total"),
     )
-    top = grouped.orderBy(F.desc("solde_total"), F.desc("nombre_comptes"), "agent_credit").limit(top_n)
+    top = ranked(grouped, top_n, F.desc("solde_total"), F.desc("nombre_comptes"), "agent_credit")
     return top.select(
         "agent_credit", "nombre_comptes", "nombre_clients", F.col("solde_total").cast("double"),
         ratio(F.col("solde_total"), F.col("nombre_comptes")).alias("solde_moyen"),
@@ -358,7 +363,7 @@ def provenance_summary(df: DataFrame) -> DataFrame:
 
 # --- credit groups and arrears --------------------------------------------------------------------------------
 
-def group_summary(df: DataFrame, group: str, top_n: int = 8) -> DataFrame:
+def group_summary(df: DataFrame, group: str, top_n: int | None = None) -> DataFrame:
     if not has(df, group):
         return empty(df, f"`{group}` string, dossiers bigint, montant_demande_total double, "
                          "montant_accorde_total double, taux_retard double, risque_eleve bigint")
@@ -369,11 +374,11 @@ def group_summary(df: DataFrame, group: str, top_n: int = 8) -> DataFrame:
         ratio(count_if(delayed(df)), F.count("*")).alias("taux_retard"),
         count_if(risk_is(df, "Élevé")).alias("risque_eleve"),
     )
-    top = grouped.orderBy(F.desc("montant_demande_total"), F.desc("dossiers"), group).limit(top_n)
+    top = ranked(grouped, top_n, F.desc("montant_demande_total"), F.desc("dossiers"), group)
     return top.withColumn("montant_demande_total", F.col("montant_demande_total").cast("double"))
 
 
-def risk_group(df: DataFrame, group: str, top_n: int = 8) -> DataFrame:
+def risk_group(df: DataFrame, group: str, top_n: int | None = None) -> DataFrame:
     if not has(df, group):
         return empty(df, f"`{group}` string, dossiers bigint, risque_eleve bigint, retard bigint, "
                          "montant_demande_total double, score_credit_moyen double")
@@ -384,12 +389,12 @@ def risk_group(df: DataFrame, group: str, top_n: int = 8) -> DataFrame:
         exact_sum("montant_demande").alias("montant_demande_total"),
         mean("score_credit").alias("score_credit_moyen"),
     )
-    top = grouped.orderBy(F.desc("risque_eleve"), F.desc("retard"), F.desc("montant_demande_total"), group).limit(top_n)
+    top = ranked(grouped, top_n, F.desc("risque_eleve"), F.desc("retard"), F.desc("montant_demande_total"), group)
     return top.withColumn("montant_demande_total", F.col("montant_demande_total").cast("double"))
 
 
 def activity(df: DataFrame, group: str, amounts: Sequence[str] = (), alert: Column | None = None,
-             top_n: int = 8) -> DataFrame:
+             top_n: int | None = None) -> DataFrame:
     """Lines, amount and alerts per group; ``alert`` is a flag already present on the rows."""
     if not has(df, group):
         return empty(df, f"`{group}` string, lignes bigint, alertes bigint, montant_total double")
@@ -401,7 +406,7 @@ def activity(df: DataFrame, group: str, amounts: Sequence[str] = (), alert: Colu
         (exact_sum(value) if present else F.lit(None).cast(MONEY)).alias("montant_total"),
     )
     order = [F.desc("montant_total")] if present else []
-    top = grouped.orderBy(*order, F.desc("alertes"), F.desc("lignes"), group).limit(top_n)
+    top = ranked(grouped, top_n, *order, F.desc("alertes"), F.desc("lignes"), group)
     return top.withColumn("montant_total", F.col("montant_total").cast("double"))
 
 
@@ -502,7 +507,7 @@ def par_by_initial_band(df: DataFrame) -> DataFrame:
     return grouped
 
 
-def par_by_group(df: DataFrame, group: str, top_n: int = 15) -> DataFrame:
+def par_by_group(df: DataFrame, group: str, top_n: int | None = None) -> DataFrame:
     """Balance, PAR, arrears and provision of a branch or product, riskiest groups first."""
     provision = first_existing(df, ("mtt_provision", "provision_total"))
     measures = {"encours": "solde_final"}
@@ -517,7 +522,7 @@ def par_by_group(df: DataFrame, group: str, top_n: int = 15) -> DataFrame:
         if column in measures:
             rates.append(ratio(F.col(column), F.col("encours")).alias(rate))
     sort = next(c for c in ("par_90_plus", "par_30_plus", "encours") if c in measures)
-    top = grouped.orderBy(F.desc(sort), group).limit(top_n)
+    top = ranked(grouped, top_n, F.desc(sort), group)
     return top.select(group, *[F.col(n).cast("double") for n in measures], *rates)
 
 

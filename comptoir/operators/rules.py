@@ -30,8 +30,8 @@ def watchlist(df: DataFrame, rules: Sequence[Rule], name: str = REASON) -> DataF
     return df.withColumn(name, reasons(rules)).where(F.col(name).isNotNull())
 
 
-def reason_counts(watched: DataFrame, name: str = REASON, top_n: int | None = 10) -> DataFrame:
-    """How often each label occurs in a watchlist, most frequent first."""
+def reason_counts(watched: DataFrame, name: str = REASON, top_n: int | None = None) -> DataFrame:
+    """How often each label occurs in a watchlist; with ``top_n`` the most frequent ones."""
     labels = watched.select(F.explode(F.split(name, "; ")).alias(name)).where(F.btrim(F.col(name)) != "")
     counts = labels.groupBy(name).agg(F.count("*").alias("nombre_lignes"))
     return counts.orderBy(F.desc("nombre_lignes"), name).limit(top_n) if top_n else counts

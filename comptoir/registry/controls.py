@@ -268,14 +268,14 @@ def d1(spark, sf):
 
 
 @register("T9_reason_counts", f"""
-SELECT r AS motif_alerte, count(*) AS nombre_lignes FROM (SELECT unnest(string_split({CREDIT_SQL}, '; ')) AS r FROM v_credit) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", ("v_credit",))
+SELECT r AS motif_alerte, count(*) AS nombre_lignes FROM (SELECT unnest(string_split({CREDIT_SQL}, '; ')) AS r FROM v_credit) GROUP BY 1""", ("v_credit",))
 def t9(spark, sf):
     return R.reason_counts(WL.credit_watchlist(credit_files(spark, sf)))
 
 
 @register("A30_activity_with_alerts", f"""
 SELECT agence, lignes, alertes, CAST(s AS DOUBLE) AS montant_total FROM (SELECT agence, count(*) AS lignes, {cnt(f'{CREDIT_SQL} IS NOT NULL')} AS alertes,
-  {dsum('montant_demande + solde_final')} AS s FROM v_credit GROUP BY 1) ORDER BY s DESC, alertes DESC, lignes DESC, agence LIMIT 8""", ("v_credit",))
+  {dsum('montant_demande + solde_final')} AS s FROM v_credit GROUP BY 1)""", ("v_credit",))
 def a30(spark, sf):
     files = credit_files(spark, sf)
     flagged = WL.credit_work(files).withColumn("alerte", R.any_of(WL.credit_rules(files)))

@@ -194,7 +194,7 @@ def a24b(spark, sf):
 
 @register("A25_product_concentration", f"""
 SELECT type_produit, nombre_comptes, CAST(s AS DOUBLE) AS solde_total, {div('s', f"(SELECT {dsum('solde_compte')} FROM v_accounts)")} AS part_solde FROM (
-  SELECT type_produit, count(*) AS nombre_comptes, {dsum('solde_compte')} AS s FROM v_accounts GROUP BY 1) ORDER BY s DESC, type_produit LIMIT 10""", ACC)
+  SELECT type_produit, count(*) AS nombre_comptes, {dsum('solde_compte')} AS s FROM v_accounts GROUP BY 1)""", ACC)
 def a25(spark, sf):
     return P.product_concentration(accounts(spark, sf))
 
@@ -202,7 +202,7 @@ def a25(spark, sf):
 @register("A26_agent_portfolio", f"""
 SELECT agent_credit, nombre_comptes, nombre_clients, CAST(s AS DOUBLE) AS solde_total, {div('s', 'nombre_comptes')} AS solde_moyen FROM (
   SELECT agent_credit, count(*) AS nombre_comptes, count(DISTINCT client_id) AS nombre_clients, {dsum('solde_compte')} AS s
-  FROM v_accounts WHERE agent_credit IS NOT NULL GROUP BY 1) ORDER BY s DESC, nombre_comptes DESC, agent_credit LIMIT 10""", ACC)
+  FROM v_accounts WHERE agent_credit IS NOT NULL GROUP BY 1)""", ACC)
 def a26(spark, sf):
     return P.agent_portfolio(accounts(spark, sf))
 
@@ -239,7 +239,7 @@ def a28(spark, sf):
 SELECT agence, dossiers, CAST(s AS DOUBLE) AS montant_demande_total, montant_accorde_total, taux_retard, risque_eleve FROM (
   SELECT agence, count(*) AS dossiers, {dsum('montant_demande')} AS s, {fsum('montant_accorde')} AS montant_accorde_total,
     {div(cnt('retard_jours > 0'), 'count(*)')} AS taux_retard, {cnt("niveau_risque_calcule = 'Élevé'")} AS risque_eleve
-  FROM v_std GROUP BY 1) ORDER BY s DESC, dossiers DESC, agence LIMIT 8""", STD)
+  FROM v_std GROUP BY 1)""", STD)
 def a29a(spark, sf):
     return P.group_summary(V.standard(spark, sf), "agence")
 
@@ -248,7 +248,7 @@ def a29a(spark, sf):
 SELECT agence, dossiers, risque_eleve, retard, CAST(s AS DOUBLE) AS montant_demande_total, score_credit_moyen FROM (
   SELECT agence, count(*) AS dossiers, {cnt("niveau_risque_calcule = 'Élevé'")} AS risque_eleve, {cnt('retard_jours > 0')} AS retard,
     {dsum('montant_demande')} AS s, {avg('score_credit')} AS score_credit_moyen
-  FROM v_std GROUP BY 1) ORDER BY risque_eleve DESC, retard DESC, s DESC, agence LIMIT 8""", STD)
+  FROM v_std GROUP BY 1)""", STD)
 def a29b(spark, sf):
     return P.risk_group(V.standard(spark, sf), "agence")
 
@@ -350,7 +350,7 @@ def a36a(spark, sf):
 SELECT agence, CAST(e AS DOUBLE) AS encours, CAST(p3 AS DOUBLE) AS par_30_plus, CAST(p9 AS DOUBLE) AS par_90_plus, CAST(a AS DOUBLE) AS arrieres, CAST(p AS DOUBLE) AS provision,
   {div('p3', 'e')} AS taux_par_30, {div('p9', 'e')} AS taux_par_90 FROM (
   SELECT agence, {dsum('solde_final')} AS e, {dsum('par_30_plus')} AS p3, {dsum('par_90_plus')} AS p9, {dsum('montant_operation')} AS a, {dsum('mtt_provision')} AS p
-  FROM v_situation GROUP BY 1) ORDER BY p9 DESC, agence LIMIT 15""", SIT)
+  FROM v_situation GROUP BY 1)""", SIT)
 def a36b(spark, sf):
     return P.par_by_group(situation(spark, sf), "agence")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from comptoir.functions import labels as L
 from comptoir.functions import text as X
 from comptoir.functions import values as V
+from comptoir.functions.money import mean, total
 from comptoir.operators import cleaning as C
 from comptoir.sources import contracts as K
 
@@ -112,3 +113,9 @@ def test_transfer_fills_only_blanks(spark):
     df = spark.createDataFrame([("s", None, "Nord"), ("s", "t", "Nord"), ("s", "", "Sud")], "a string, b string, z string")
     out = C.transfer_values(df, {"a": "b"}, filter_column="z", filter_values=["NORD"], normalize_filter=True, move=True).collect()
     assert [(r["a"], r["b"]) for r in out] == [(None, "s"), ("s", "t"), ("s", "")]
+
+
+def test_nan_amounts_count_as_missing(spark):
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (None,), (2.5,)], "x double")
+    row = df.select(total("x").alias("t"), mean("x").alias("m")).first()
+    assert (row.t, row.m) == (4.0, 2.0)
