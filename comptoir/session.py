@@ -34,11 +34,13 @@ def build_session(app_name: str = "comptoir", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where the session may name none."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current is None:
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = configured or tempfile.mkdtemp(prefix="comptoir-checkpoint-")
         context.setCheckpointDir(configured)
         current = context.getCheckpointDir()
