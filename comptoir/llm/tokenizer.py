@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from pyspark.sql import types as T
 
 #: White space as the tokenizer's pattern means it (the Unicode property); Java's \s covers only ASCII.
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Words given to one DuckDB query, and words remembered by one Python worker.
-WORDS_PER_QUERY = 100_000
-MEMO = 300_000
+#: Words given to one DuckDB query, and words remembered by one task.
+WORDS_PER_QUERY = 50_000
+MEMO = 150_000
 
 CONTRACT = """
 WITH RECURSIVE step(it, w, pos, id) AS (
@@ -77,32 +78,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _merge_tables(path: str) -> tuple[dict[bytes, int], bool, pa.Table, pa.Table]:
+    """Ranks, whether merged ranks always exceed their parts', the merge table and the vocabulary."""
+    ranks = read_ranks(path)
+    left, right, rank = [], [], []
+    for token, merged in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                left.append(a), right.append(b), rank.append(merged)
+    rising = all(n > a and n > b for a, b, n in zip(left, right, rank, strict=True))
+    merges = pa.table({k: pa.array(v, pa.int32()) for k, v in (("left_id", left), ("right_id", right), ("rank", rank))})
+    return ranks, rising, merges, pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([token.hex() for token in ranks])})
+
+
+_tables: dict[str, tuple[dict[bytes, int], bool, pa.Table, pa.Table]] = {}
+
+
 class Codec:
-    """The rank table and a DuckDB connection of one Python worker."""
+    """The rank table, a DuckDB connection and the memo of one task. A Python worker outlives its task and keeps only the rank tables."""
 
     def __init__(self, path: str) -> None:
         import duckdb
 
-        self.ranks = read_ranks(path)
-        left, right, rank = [], [], []
-        for token, merged in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), rank.append(merged)
-        self.rising = all(n > a and n > b for a, b, n in zip(left, right, rank, strict=True))
+        if path not in _tables:
+            _tables[path] = _merge_tables(path)
+        self.ranks, self.rising, merges, vocabulary = _tables[path]
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        self._table("merges", {"left_id": left, "right_id": right, "rank": rank}, pa.int32())
-        self._table("vocabulary", {"id": list(self.ranks.values())}, pa.int32(), hex=[token.hex() for token in self.ranks])
+        self._table("merges", merges)
+        self._table("vocabulary", vocabulary)
         self.memo: dict[str, tuple[bytes, bytes]] = {}
 
-    def _table(self, name: str, columns: dict, kind: pa.DataType, **texts: list[str]) -> None:
-        rows = pa.table({k: pa.array(v, kind) for k, v in columns.items()} | {k: pa.array(v, pa.string()) for k, v in texts.items()})
+    def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
+    def close(self) -> None:
+        self.memo.clear()
+        self.db.close()
+        pa.default_memory_pool().release_unused()
+
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in a row, and the number of tokens of each word."""
         size = np.array([len(word) for word in words], dtype=np.int64)
@@ -161,13 +178,13 @@ class Codec:
         return [memo[word] for word in words]
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+@contextmanager
+def codec(path: str) -> Iterator[Codec]:
+    tool = Codec(path)
+    try:
+        yield tool
+    finally:
+        tool.close()
 
 
 def java_pattern(pattern: str) -> str:
@@ -194,23 +211,23 @@ def encode(df: DataFrame, text: str = "text", *, vocabulary: str, pattern: str,
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                lists = batch.column(batch.num_columns - 1)
-                offsets = np.asarray(lists.offsets, dtype=np.int64)
-                values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-                offsets = offsets - offsets[0]
-                pairs = tool.words(values.dictionary.to_pylist())
-                indices = np.asarray(values.indices)
-                ends, raw = _join([pair[0] for pair in pairs], indices, offsets)
-                out = list(batch.columns[:-1])
-                out.append(pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, raw])))
-                if decoded:
-                    ends, raw = _join([pair[1] for pair in pairs], indices, offsets)
-                    out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw]))
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        with codec(vocabulary) as tool:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    lists = batch.column(batch.num_columns - 1)
+                    offsets = np.asarray(lists.offsets, dtype=np.int64)
+                    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+                    offsets = offsets - offsets[0]
+                    pairs = tool.words(values.dictionary.to_pylist())
+                    indices = np.asarray(values.indices)
+                    ends, raw = _join([pair[0] for pair in pairs], indices, offsets)
+                    out = list(batch.columns[:-1])
+                    out.append(pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, raw])))
+                    if decoded:
+                        ends, raw = _join([pair[1] for pair in pairs], indices, offsets)
+                        out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw]))
+                    yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return split.mapInArrow(run, schema)
 
@@ -221,15 +238,15 @@ def decode(df: DataFrame, ids: str = "ids", *, vocabulary: str, decoded: str = "
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                lists = [np.array(x or [], dtype=np.int32) for x in batch.column(keep.index(ids)).to_pylist()]
-                flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(tool.ranks)):
-                    raise ValueError("an id is not in the vocabulary")
-                texts = tool.join_tokens(flat, np.array([len(x) for x in lists], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+        with codec(vocabulary) as tool:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    lists = [np.array(x or [], dtype=np.int32) for x in batch.column(keep.index(ids)).to_pylist()]
+                    flat = np.concatenate([*lists, np.zeros(0, np.int32)])
+                    if len(flat) and (flat.min() < 0 or flat.max() >= len(tool.ranks)):
+                        raise ValueError("an id is not in the vocabulary")
+                    texts = tool.join_tokens(flat, np.array([len(x) for x in lists], dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
