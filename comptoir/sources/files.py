@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from comptoir.functions.text import none_if_blank, strip
@@ -13,9 +13,6 @@ from comptoir.sources.contracts import Contract, coalesce_named, header_key, nor
 ENCODINGS = ("utf-8", "iso-8859-1")  # the second one reads any byte
 
 
-MAX_HEADERS = 1000
-
-
 class LoadError(ValueError):
     """A file is empty or cannot be read."""
 
@@ -39,17 +36,21 @@ def first_line(spark: SparkSession, path: str, encoding: str) -> str:
     return head[0]["value"].lstrip("﻿")
 
 
+def quotes(line: Column) -> Column:
+    """Number of quotation marks."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+
+
 def read_csv(spark: SparkSession, path: str, rules: Contract | None = None, reject_empty: bool = False,
              encoding: str | None = None) -> DataFrame:
-    """CSV scan with detected separator; the first encoding that yields clean headers is used."""
-    tried = (encoding,) if encoding else ENCODINGS
-    line, used = "", tried[0]
-    for candidate in tried:
-        line, used = first_line(spark, path, candidate), candidate
-        if "�" not in line:
-            break
-    separator = detect_separator(line)
-    df = spark.read.csv(path, sep=separator, header=True, encoding=used, multiLine=False)
+    """CSV scan with detected separator; without ``encoding``, UTF-8 if all lines are valid, else Latin-1.
+
+    Files stay splittable unless a line leaves a quote open; then cells may hold line breaks, and one task reads a file.
+    """
+    facts = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes(F.col("value")) % 2 == 1).alias("open")).first()
+    used = encoding or ENCODINGS[0 if facts["utf8"] is not False else 1]
+    separator = detect_separator(first_line(spark, path, used))
+    df = spark.read.csv(path, sep=separator, header=True, encoding=used, escape='"', multiLine=bool(facts["open"]))
     df = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
     if reject_empty and df.isEmpty():
         raise LoadError(f"{path}: the file holds no data row")
@@ -145,41 +146,58 @@ def promote_header(spark: SparkSession, path: str, first_field: str = "Receipt N
                    source_column: str = "fichier_source") -> DataFrame:
     """Statements whose real header comes after descriptive lines, found separately in each file.
 
-    Lines are read as text; a line is recognised as a header by its first field, and data lines are those with
-    at least as many fields. Descriptive lines have fewer. The position of a line inside a file is not needed,
-    so files stay splittable.
+    The header is the first line of a file that starts with ``first_field``; later lines like it are left out, as are blank ones. Every
+    other line after it is a row; missing trailing fields are null. A line is placed by its block and its order there, so files stay
+    splittable, except those in which a line leaves a quote open: their lines are joined to records in one task per file. Different
+    headers are collected, since they decide the columns; their number is that of the layouts, not of the files.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias(source_column))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias(source_column), F.col("_metadata.file_path").alias("__file"),
+                                         F.col("_metadata.file_block_start").alias("__block"))
+    lines = lines.withColumn("__at", F.struct("__block", F.monotonically_increasing_id().alias("line"))).drop("__block")
     stripped = strip(F.replace(F.col("value"), F.lit("﻿"), F.lit("")))
     is_header = F.startswith(F.replace(stripped, F.lit('"'), F.lit("")), F.lit(first_field))
-    headers = lines.where(is_header).select(source_column, stripped.alias("header")).distinct()
-    variants = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(variants) > MAX_HEADERS:
-        raise LoadError(f"{path}: more than {MAX_HEADERS} different headers start with {first_field!r}")
+    place = F.when(is_header, F.col("__at"))
+    files = lines.groupBy("__file").agg(F.min_by(stripped, place).alias("__header"), F.min(place).alias("__from"),
+                                        F.bool_or(quotes(F.col("value")) % 2 == 1).alias("__open")).where("__from IS NOT NULL")
+    variants = files.groupBy("__header").agg(F.bool_or("__open").alias("open")).collect()
+    if not variants:
+        raise LoadError(f"{path}: no line starts with {first_field!r}")
+    body = lines.join(files, "__file").where(F.col("__at") > F.col("__from")).select("__file", "__header", "__open", "__at", source_column, "value")
+    if any(v["open"] for v in variants):
+        body = body.where("NOT __open").unionByName(_records(body.where("__open"), source_column))
+    rows = body.where(~is_header & (stripped != ""))
     out = None
-    for variant in sorted(variants):
+    for variant in sorted(v["__header"] for v in variants):
         names = [n.strip().strip('"') for n in variant.split(separator)]
-        files = headers.where(F.col("header") == variant).select(source_column)
-        body = lines.join(files, source_column, "left_semi").where(~is_header)
-        fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator})
-        enough = F.size(F.split("value", f"[{separator}]", -1)) >= len(names)
-        part = body.where(enough).select(fields.alias("__fields"), source_column).select("__fields.*", source_column)
+        fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"', "multiLine": "true"})
+        part = rows.where(F.col("__header") == variant).select(fields.alias("__fields"), source_column).select("__fields.*", source_column)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise LoadError(f"{path}: no line starts with {first_field!r}")
     return out
 
 
-def with_lineage(df: DataFrame, row_numbers: bool = False) -> DataFrame:
-    """Source file of each row; a line key on request.
+def _records(lines: DataFrame, source_column: str) -> DataFrame:
+    """Lines joined with the following ones as long as a quote is open."""
+    order = Window.partitionBy("__file").orderBy("__at")
+    before = F.coalesce(F.sum(quotes(F.col("value"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.withColumn("__starts", F.when(before % 2 == 0, 1).otherwise(0)).withColumn("__record", F.sum("__starts").over(order))
+    parts = F.array_sort(F.collect_list(F.struct("__at", "value")))
+    return numbered.groupBy("__file", "__header", "__open", source_column, "__record").agg(
+        F.min("__at").alias("__at"), F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value")).drop("__record")
 
-    The key orders the lines of a file (block, then position in the block). It is not a gap-free number, which
-    would need one task per file.
+
+def with_lineage(df: DataFrame, row_numbers: bool = False, first: int = 2) -> DataFrame:
+    """Source file of each row of a file read as it is and, on request, the row's line in its file; the line after a header is ``first``.
+
+    Rows are numbered inside their blocks in parallel; only the blocks' counts meet, to give each block the number of rows before it.
     """
     out = df.withColumn("source_fichier", F.col("_metadata.file_name"))
-    if row_numbers:
-        out = out.withColumns({"bloc_source": F.col("_metadata.file_block_start"), "ligne_source": F.monotonically_increasing_id()})
-    return out
+    if not row_numbers:
+        return out
+    block = ["__file", "bloc_source"]
+    out = out.withColumns({"__file": F.col("_metadata.file_path"), "bloc_source": F.col("_metadata.file_block_start")}).withColumn("__id", F.monotonically_increasing_id())
+    before = F.sum("n").over(Window.partitionBy("__file").orderBy("bloc_source").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = out.groupBy(*block).agg(F.min("__id").alias("first"), F.count("*").alias("n")).select(*block, (F.coalesce(before, F.lit(0)) - F.col("first") + first).alias("__shift"))
+    return out.join(blocks, block).withColumn("ligne_source", F.col("__id") + F.col("__shift")).drop("__file", "__id", "__shift")
 
 
 SNAPSHOT_PATTERNS = (

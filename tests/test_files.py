@@ -31,6 +31,35 @@ def test_header_after_descriptive_lines(spark, tmp_path):
     assert sorted((r["Receipt No."], r["Paid In"], r["f"]) for r in out.collect()) == [("R1", "10", "one.csv"), ("R2", "20", "one.csv"), ("R3", "5", "two.csv")]
 
 
+def test_encoding_and_line_breaks_are_seen_in_the_whole_file(spark, tmp_path):
+    late = write(str(tmp_path / "late.csv"), "nom,n\nAna,1\nÉva,2\n", "latin-1")
+    assert [tuple(r) for r in S.read_csv(spark, late).orderBy("n").collect()] == [("Ana", "1"), ("Éva", "2")]
+    broken = write(str(tmp_path / "broken.csv"), 'nom,n\n"a\nb",1\n"c ""d""",2\n')
+    assert [tuple(r) for r in S.read_csv(spark, broken).orderBy("n").collect()] == [("a\nb", "1"), ('c "d"', "2")]
+
+
+def test_statement_rows_with_missing_fields_or_line_breaks(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    write(f"{folder}/one.csv", 'Note, with, commas\nReceipt No.,Paid In,Details\nR1,10,x\nR2,20\n\nR3,30,"x\n\ny"\nR4,40,z\n')
+    write(f"{folder}/two.csv", "Receipt No.,Paid In\nR5,50\nReceipt No.,Paid In\nR6\n")
+    out = S.promote_header(spark, folder, source_column="f").orderBy("`Receipt No.`").collect()
+    assert [(r["Receipt No."], r["Paid In"], r["Details"]) for r in out] == [
+        ("R1", "10", "x"), ("R2", "20", None), ("R3", "30", "x\n\ny"), ("R4", "40", "z"), ("R5", "50", None), ("R6", None, None)]
+
+
+def test_line_numbers_run_through_a_file(spark, tmp_path):
+    write(str(tmp_path / "l" / "a.txt"), "".join(f"{i:05d}\n" for i in range(1, 2001)))
+    write(str(tmp_path / "l" / "b.txt"), "00001\n00002\n")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        out = S.with_lineage(spark.read.text(str(tmp_path / "l")), row_numbers=True, first=1)
+        assert out.select("bloc_source").distinct().count() > 5
+        assert out.where("CAST(value AS INT) <> ligne_source").count() == 0 and out.count() == 2002
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_files_that_differ_in_columns(spark, tmp_path):
     a, b = write(str(tmp_path / "a.csv"), "x,y\n1,2\n"), write(str(tmp_path / "b.csv"), "y,z\n3,4\n")
     out = S.load_files(spark, [a, b]).orderBy("ordre_fichier_import").collect()
