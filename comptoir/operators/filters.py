@@ -217,24 +217,18 @@ def compliance_subset(df: DataFrame, analysis_prefix: str | None = None, line_ty
     return df.where(compliance_condition(df, analysis_prefix, line_type))
 
 
-def filter_options(df: DataFrame, column: str, max_options: int = 250) -> DataFrame:
-    """Distinct non-empty texts in case-insensitive order: the choices a selection list shows."""
+def filter_options(df: DataFrame, column: str, max_options: int | None = None) -> DataFrame:
+    """Distinct non-empty texts in case-insensitive order: the choices a selection list shows; all of them without ``max_options``."""
     value = X.none_if_blank(F.col(column)).alias("valeur")
-    return df.select(value).where(F.col("valeur").isNotNull()).distinct().orderBy(F.lower("valeur"), "valeur").limit(max_options)
+    options = df.select(value).where(F.col("valeur").isNotNull()).distinct().orderBy(F.lower("valeur"), "valeur")
+    return options if max_options is None else options.limit(max_options)
 
 
 def pick_filter_columns(df: DataFrame, preferred: Sequence[str] = (), max_columns: int = 5,
                         max_unique: int = 80) -> list[str]:
-    """Preferred columns, then text columns with 2 to ``max_unique`` values.
-
-    A first pass estimates all distinct counts with small sketches; only columns near or below the limit are
-    counted exactly, in one second pass.
-    """
+    """Preferred columns, then text columns with 2 to ``max_unique`` values, counted exactly in one pass."""
     chosen = [c for c in dict.fromkeys(preferred) if c in df.columns]
     rest = [c for c in text_columns(df) if c not in chosen]
-    if rest and len(chosen) < max_columns:
-        rough = df.agg(*[F.approx_count_distinct(X.none_if_blank(F.col(c))).alias(c) for c in rest]).first()
-        rest = [c for c in rest if rough[c] <= 2 * max_unique]
     if rest and len(chosen) < max_columns:
         exact = df.agg(*[F.count_distinct(X.none_if_blank(F.col(c))).alias(c) for c in rest]).first()
         chosen += [c for c in rest if 1 < exact[c] <= max_unique]

@@ -113,15 +113,15 @@ def spaced(x):
 SELECT doc_id, md5({spaced(strip('text'))}) AS espaces,
   md5(upper(replace(strip_accents({spaced(strip('text'))}), 'ß', 'SS'))) AS majuscules,
   md5({sql_title(f"lower({spaced('lang')})")}) AS titre,
-  md5({sql_title(spaced("substr(replace(text, 'ß', 's'), 1, 400)"))}) AS debut
+  md5({sql_title(spaced(strip("replace(text, 'ß', 's')")))}) AS mots
 FROM documents""")
 def c7(spark, sf):
     d = docs(spark, sf).select("doc_id", F.col("text").alias("espaces"), F.col("text").alias("majuscules"), F.col("lang").alias("titre"),
-                               F.substring(F.replace("text", F.lit("ß"), F.lit("s")), 1, 400).alias("debut"))
+                               F.replace("text", F.lit("ß"), F.lit("s")).alias("mots"))
     out = C.normalize_values(d, "espaces", "none")
     out = C.normalize_values(out, "majuscules", "upper", remove_accents=True)
-    out = C.normalize_values(out, ["titre", "debut"], "title")
-    hashed = {c: F.md5(F.trim(F.col(c))) for c in ("espaces", "majuscules", "titre", "debut")}
+    out = C.normalize_values(out, ["titre", "mots"], "title")
+    hashed = {c: F.md5(F.trim(F.col(c))) for c in ("espaces", "majuscules", "titre", "mots")}
     return out.withColumns(hashed)
 
 
