@@ -99,6 +99,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@_register
+def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_all_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def _hosted(url: str) -> str:
     return f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
 
@@ -189,3 +195,21 @@ WITH cut AS (
 SELECT doc_id, len(l)::BIGINT AS n_lines, CASE WHEN gone THEN len(l) - len(k) ELSE 0 END::BIGINT AS n_removed, sha256(CASE WHEN gone THEN rest ELSE text END) AS text_sha256
 FROM judged
 """
+
+SQL["op10_line_dedup_all"] = r"""
+WITH cut AS (
+  SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+), copied AS (
+  SELECT text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= 10
+), spread AS (
+  SELECT list(line) AS spread FROM (SELECT line FROM cut WHERE trim(line) <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10)
+), shared AS (
+  SELECT list(line) AS shared FROM (SELECT line FROM cut WHERE trim(line) <> '' AND source IS NOT NULL AND text NOT IN (SELECT text FROM copied) GROUP BY line HAVING count(DISTINCT source) >= 10)
+), kept AS (
+  SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l,
+    coalesce(CASE WHEN text IN (SELECT text FROM copied) THEN shared ELSE spread END, []) AS gone FROM documents, spread, shared
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda x: list_contains(gone, x)))::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(l, lambda x: NOT list_contains(gone, x)), chr(10)), '')) AS text_sha256
+FROM kept
+"""

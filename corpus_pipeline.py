@@ -34,8 +34,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites; ``n_chars`` follows the text."""
-    return _sized(lines.remove_spread_lines(docs))
+    """All documents, without the lines that stand on many sites, however much of a text they are; ``n_chars`` follows the text."""
+    return _sized(lines.remove_all_spread_lines(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,26 @@ def test_lines(spark):
     assert out[300].text is None and out[300].n_lines == 0 and out[301].text == "" and len(out) == len(rows)
 
 
+def test_all_spread_lines(spark):
+    rows = [(i, f"own {i}\nshared by all, a long boilerplate line", f"s{i % 12}") for i in range(60)]
+    rows += [(100 + i, "a copied document\nshared by all, a long boilerplate line\nof three lines", f"s{i}") for i in range(11)]
+    rows += [(200 + i, "shared by all, a long boilerplate line", f"s{i}") for i in range(3)] + [(300, "of three lines\nand one", None), (301, None, "s1"), (302, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_removed", F.lit("x"))
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_all_spread_lines(df).collect()}
+    assert all(out[i] == (f"own {i}", 2, 1) for i in range(60))
+    assert all(out[100 + i] == ("a copied document\nof three lines", 3, 1) for i in range(11))
+    assert all(out[200 + i] == ("", 1, 1) for i in range(3)) and out[300] == ("and one", 2, 1)
+    assert out[301] == (None, 0, 0) and out[302] == ("", 1, 0) and len(out) == len(rows)
+
+
+def test_pipeline_takes_boilerplate_out_of_short_texts(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own {i}\na boilerplate line longer than that", "en", f"s{i % 12}", 0) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.text, r.n_chars) for r in corpus_pipeline.remove_boilerplate(spark, docs, "").collect()} == {(f"own {i}", len(f"own {i}")) for i in range(24)}
+
+
 @pytest.mark.parametrize("bits", [12, 1])
 def test_urls(spark, monkeypatch, bits):
     monkeypatch.setattr(urls, "BITS", bits)
