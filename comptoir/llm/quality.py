@@ -2,7 +2,8 @@
 
 Graded ratings 0 < 1 < ... < G-1 share one weight vector; ordered thresholds cut its score: P(grade >= g) = sigmoid(score - threshold_g).
 Features are hashed lower-cased runs of letters (present or not), hashed byte trigrams (root of their share) and a few plain shares; a
-hashed feature takes part when its mean differs clearly between texts below and from some grade on. The model is fitted
+hashed feature takes part when it differs clearly between texts below and from some grade on, by a limit that follows the number of
+features, not of rows. The model is fitted
 on at most ``max_rated`` rated rows, those with the least hash of their id and text, on the driver; every text is scored where it is.
 """
 
@@ -70,21 +71,44 @@ class Model:
         return _sigmoid(float(self.weights[index] @ value) - self.thresholds)
 
 
-def fit_rows(texts: list[str], grades: np.ndarray, *, epochs: int = 500, rate: float = 0.05, decay: float = 1e-2, clear: float = 6.0) -> Model:
-    """Full-batch Adam on the cumulative log-likelihood; hashed features whose z-score stays below ``clear`` are left out."""
-    parts = [features(t) for t in texts]
-    size = np.array([len(i) for i, _ in parts])
-    row, col, val = np.repeat(np.arange(len(parts)), size), np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+def _surprise(hits: np.ndarray, n: int) -> np.ndarray:
+    """Log-likelihood of ``hits`` among ``n`` at their own rate."""
+    rate = np.clip(hits / max(1, n), 1e-12, 1 - 1e-12)
+    return hits * np.log(rate) + (n - hits) * np.log1p(-rate)
+
+
+def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, clear: float | None) -> np.ndarray:
+    """Which features take part: the plain ones, and hashed ones whose score at some grade is above ``clear``.
+
+    A word's score is the root of its log-likelihood ratio, a trigram's the z-score of its mean. The default limit lets about one of the
+    features that stand in the rows pass by chance, whatever the number of rows.
+    """
+    words = 1 << WORD_BITS
     used = np.zeros(SIZE, dtype=bool)
     used[-PLAIN:] = True
+    if clear is None:
+        clear = np.sqrt(2 * np.log(max(2, np.count_nonzero(np.bincount(col, minlength=SIZE)[:-PLAIN]))))
     for g in range(1, int(grades.max()) + 1):
         side = (grades >= g)[row]
-        means, spreads = [], []
+        means, spreads, hits, counts = [], [], [], []
         for mask, n in ((side, (grades >= g).sum()), (~side, (grades < g).sum())):
             mean = np.bincount(col[mask], weights=val[mask], minlength=SIZE) / max(1, n)
             means.append(mean)
             spreads.append((np.bincount(col[mask], weights=val[mask] ** 2, minlength=SIZE) / max(1, n) - mean**2 + 1 / max(1, n)) / max(1, n))
-        used |= np.abs(means[0] - means[1]) > clear * np.sqrt(spreads[0] + spreads[1])
+            hits.append(np.bincount(col[mask], minlength=SIZE)[:words].astype(np.float64))
+            counts.append(n)
+        ratio = 2 * (_surprise(hits[0], counts[0]) + _surprise(hits[1], counts[1]) - _surprise(hits[0] + hits[1], sum(counts)))
+        used[:words] |= ratio > clear**2
+        used[words:] |= np.abs(means[0] - means[1])[words:] > clear * np.sqrt(spreads[0] + spreads[1])[words:]
+    return used
+
+
+def fit_rows(texts: list[str], grades: np.ndarray, *, epochs: int = 500, rate: float = 0.05, decay: float = 1e-2, clear: float | None = None) -> Model:
+    """Full-batch Adam on the cumulative log-likelihood, over the features that tell grades apart (``_telling``)."""
+    parts = [features(t) for t in texts]
+    size = np.array([len(i) for i, _ in parts])
+    row, col, val = np.repeat(np.arange(len(parts)), size), np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+    used = _telling(row, col, val, grades, clear)
     row, col, val = row[used[col]], col[used[col]], val[used[col]].astype(np.float64)
     top = int(grades.max())
     start = np.linspace(-1, 1, top) if top > 1 else np.zeros(1)

@@ -213,6 +213,21 @@ def test_quality_orders_grades(spark):
     assert quality.fit(df.withColumn("grade", F.lit(1))) is None and quality.select(df, None).count() == 4
 
 
+@pytest.mark.parametrize("n", [400, 2000])
+def test_quality_uses_rare_clear_words(n):
+    rng = random.Random(8)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(300)]
+
+    def text(bad: bool) -> str:
+        return " ".join(rng.choices(words, k=40) + ["scum", "moron"] * int(bad))
+
+    grades = np.array([1 if i < 20 else 2 if i % 3 else 0 for i in range(n)])
+    model = quality.fit_rows([text(g == 1) if g else text(False).upper() for g in grades], grades)
+    tails = np.array([model.tails(text(i % 2 == 0))[1] for i in range(100)])
+    assert all((model.weights[quality.features(w)[0][:1]] < 0).all() for w in ("scum", "moron"))
+    assert (tails[::2] < 0.5).mean() > 0.6 and (tails[1::2] >= 0.5).mean() > 0.95
+
+
 def test_chat_round_trip(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, "a: #<\\", None), (2, 0, "a: #<\\", None), (None, 3, None, "é</turn>\n### assistant: no"), (3, 0, "assistant", ""), (3, 1, "assistant", "👍\\")]
