@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and boosted trees over the candidates of wider generators.
 
-Generators with high recall propose spans that may overlap each other and the fixed ones. Candidates that meet a fixed span of the text count
-as positive. Their format and context become small bins; one aggregation counts positives and negatives for each combination of bins, so
-the trees are fitted on a table whose size is bounded by the bins and not by the corpus. A fold of the texts is held out: for each kind it
-sets the least score at which enough of its candidates are positive. Candidates over that score are added to the fixed spans.
+Generators with high recall propose spans that may overlap each other and the fixed ones. A candidate is positive if its value, without
+separators and written-out signs, is that of a fixed span anywhere, or if its format and context speak for it (``_evident``); whether it meets
+a fixed span does not count. Format and context become small bins; one aggregation counts positives and negatives for each combination of
+bins, so the trees are fitted on a table whose size is bounded by the bins and not by the corpus. A fold of the texts is held out: for each
+kind its candidates that meet no fixed span set the least score at which enough are positive. Those over that score are added.
 
 Everything that touches rows is DataFrame and SQL functions; the trees become CASE expressions.
 """
@@ -90,8 +91,20 @@ def _count(value: Column, kept: str, most: int) -> Column:
     return F.least(F.length(F.regexp_replace(value, f"[^{kept}]", "")), F.lit(most))
 
 
+def _value_key(value: Column, kind: Column) -> Column:
+    """Hash of kind and value: an address in lower case with its signs and without spaces, an IP number as it is, otherwise the digits."""
+    signs = F.regexp_replace(F.regexp_replace(F.lower(value), r"[(\[]at[)\]]", "@"), r"[(\[]dot[)\]]", ".")
+    return F.xxhash64(kind.cast("int"), F.when(kind == 0, F.regexp_replace(signs, " ", "")).when(kind == 1, value).otherwise(_digits(value)))
+
+
+def _evident(value: Column, kind: Column, digits: Column, hint: Column) -> Column:
+    """Whether the format and the words before a candidate speak for it: check digit, valid octets, or a hint of its kind and a plausible end or length."""
+    address = (hint == 3) & F.lower(value).rlike(r"[a-z]{2}$")
+    return F.when(kind == 0, address).when(kind == 1, _octets(value)).when(kind == 2, _luhn(value)).otherwise((hint == 1) & digits.between(10, 15))
+
+
 def _candidates(text: Column) -> Column:
-    """Array of (start, end, features...) of what the generators propose."""
+    """Array of (start, end, features..., key, evident) of what the generators propose."""
     address = F.when(text.contains("@") | text.contains("(at)") | text.contains("[at]"), _spans(text, _WIDE_ADDRESS))
     wide = F.concat(F.coalesce(address, F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")), _spans(text, _WIDE_DIGITS))
 
@@ -105,7 +118,8 @@ def _candidates(text: Column) -> Column:
         hint = F.when(lead.rlike("phone|tel|call|fax|mobil"), 1).when(lead.rlike("card|visa|pay|account"), 2).when(lead.rlike("mail|contact|write"), 3).when(lead.rlike(r"ip\b|addr|host|server"), 4).when(lead.rlike(r"[=:#]\W*$"), 5).otherwise(0)
         values = (kind, F.least(digits, F.lit(20)), _count(v, r"\x20", 4), _count(v, r"\-", 4), _count(v, r"\.", 4), _count(v, r"()\[\]", 3), v.startswith("+").cast("int"),
                   F.when(x["start"] == 0, 0).otherwise(side(F.substring(text, x["start"], F.lit(1)))), side(F.substring(text, x["end"] + 1, F.lit(1))), hint, F.least(F.floor(F.length(v) / 4), F.lit(8)))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), *(c.cast("int").alias(n) for c, n in zip(values, FEATURES, strict=True)))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), *(c.cast("int").alias(n) for c, n in zip(values, FEATURES, strict=True)),
+                        _value_key(v, kind).alias("key"), _evident(v, kind, digits, hint).alias("evident"))
 
     return F.transform(wide, describe)
 
@@ -213,13 +227,18 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     value = F.col("_text")
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     some = value.rlike(r"[0-9@]|[(\[]at[)\]]")
-    marked = rows.withColumn("base", F.when(some, _fixed(value))).withColumn("_candidates", F.when(some, _candidates(value))).withColumn("_held", (F.pmod(F.xxhash64("_text"), F.lit(2))).cast("int"))
+    marked = rows.withColumn("base", F.when(some, _fixed(value)))
+    keys = F.transform("base", lambda b: _value_key(F.substring(value, b["start"] + 1, b["end"] - b["start"]), b["kind"]))
+    marked = marked.withColumn("_keys", keys).withColumn("_candidates", F.when(some, _candidates(value))).withColumn("_held", (F.pmod(F.xxhash64("_text"), F.lit(2))).cast("int"))
     path = scratch_path(spark, "pii")
     marked.drop("_text").write.parquet(path)
     found = spark.read.parquet(path)
     meets = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    each = found.filter("size(_candidates) > 0").select("_held", "base", F.explode("_candidates").alias("c"))
-    counts = each.select(F.col("_held").alias("held"), *(F.col(f"c.{f}") for f in FEATURES), meets.alias("positive")).groupBy("held", *FEATURES).agg(F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives"))
+    each = found.filter("size(_candidates) > 0").select("_held", "base", F.explode("_candidates").alias("c")).filter((F.col("_held") == 0) | ~meets)
+    valued = each.groupBy(F.col("_held").alias("held"), *(F.col(f"c.{f}") for f in FEATURES), "c.evident", "c.key").agg(F.count("*").alias("n"))
+    known = found.select(F.explode("_keys").alias("key")).distinct().withColumn("known", F.lit(True))
+    judged = valued.join(known, "key", "left").withColumn("positive", F.coalesce("evident", F.lit(False)) | F.coalesce("known", F.lit(False)))
+    counts = judged.groupBy("held", *FEATURES).agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("positives"), F.sum(F.when(F.col("positive"), 0).otherwise(F.col("n"))).alias("negatives"))
     trees, cuts = fit(sorted(counts.collect()))
     nothing = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     base = F.coalesce("base", nothing)

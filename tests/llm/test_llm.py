@@ -165,6 +165,16 @@ def test_pii_fixed_spans_and_added_ones(spark):
     assert out[9999].base == [] and out[9999].spans == []
 
 
+def test_pii_adds_what_no_fixed_pattern_meets(spark):
+    rows = [f"call phone 030 555 {i:04d} {i % 10}{i % 7} now" for i in range(600)] + [f"write mail n{i} (at) host{i} (dot) org" for i in range(600)]
+    rows += [f"reach +49 30 77{i:05d} or n{i}@site.org" for i in range(300)] + [f"order {i:08d}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find(df).collect()}
+    assert all(out[i].base == [] for i in range(1200))
+    assert [s.kind for i in range(600) for s in out[i].spans] == [3] * 600 and [s.kind for i in range(600, 1200) for s in out[i].spans] == [0] * 600
+    assert all(out[i].spans == [] for i in range(1500, 2100))
+
+
 def test_pii_trees_and_threshold():
     x = np.array([[3, d] + [0] * 9 for d in range(7, 16)])
     pos, neg = np.where(x[:, 1] >= 11, 200.0, 0.0), np.where(x[:, 1] >= 11, 1.0, 200.0)
