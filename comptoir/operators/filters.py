@@ -224,14 +224,15 @@ def filter_options(df: DataFrame, column: str, max_options: int | None = None) -
     return options if max_options is None else options.limit(max_options)
 
 
-def pick_filter_columns(df: DataFrame, preferred: Sequence[str] = (), max_columns: int = 5,
-                        max_unique: int = 80) -> list[str]:
-    """Preferred columns, then text columns with 2 to ``max_unique`` values, counted exactly in one pass."""
+def pick_filter_columns(df: DataFrame, preferred: Sequence[str] = (), max_columns: int | None = None,
+                        max_unique: int | None = None) -> list[str]:
+    """Preferred columns, then text columns with two values or more, counted exactly in one pass; ``max_unique`` values and ``max_columns``
+    columns at most where given."""
     chosen = [c for c in dict.fromkeys(preferred) if c in df.columns]
     rest = [c for c in text_columns(df) if c not in chosen]
-    if rest and len(chosen) < max_columns:
+    if rest and (max_columns is None or len(chosen) < max_columns):
         exact = df.agg(*[F.count_distinct(X.none_if_blank(F.col(c))).alias(c) for c in rest]).first()
-        chosen += [c for c in rest if 1 < exact[c] <= max_unique]
+        chosen += [c for c in rest if exact[c] > 1 and (max_unique is None or exact[c] <= max_unique)]
     return chosen[:max_columns]
 
 

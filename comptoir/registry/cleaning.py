@@ -438,7 +438,7 @@ SELECT DISTINCT trim(agent_credit) AS valeur FROM v_clients WHERE trim(coalesce(
 UNION ALL SELECT unnest(['telephone', 'categorie', 'agence', 'zone_geographique', 'devise'])""", ("v_clients",))
 def f13(spark, sf):
     c = V.clients(spark, sf)
-    chosen = FL.pick_filter_columns(c, ["telephone"])
+    chosen = FL.pick_filter_columns(c, ["telephone"], max_columns=5, max_unique=80)
     names = FL.filter_options(c, "agent_credit").select("valeur")
     return names.unionByName(spark.createDataFrame([(n,) for n in chosen], "valeur string"))
 

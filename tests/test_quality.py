@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from comptoir.operators import filters
 from comptoir.operators import quality as Q
 
 
@@ -49,3 +50,10 @@ def test_latest_version_lists_its_files(spark):
     df = spark.createDataFrame(rows, "k string, v int, f string")
     out = {r["k"]: (r["v"], r["fichiers_sources"]) for r in Q.latest_versions(df, F.col("k"), [F.col("v")], "f").collect()}
     assert out == {"a": (2, "x.csv | y.csv"), "b": (1, "x.csv")}
+
+
+def test_filter_columns_have_no_default_cap(spark):
+    rows = [tuple(f"{c}{i if c else i % 2}" for c in range(7)) for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{c} string" for c in range(7)))
+    assert filters.pick_filter_columns(df) == [f"c{c}" for c in range(7)]
+    assert filters.pick_filter_columns(df, max_columns=5, max_unique=80) == ["c0"]
