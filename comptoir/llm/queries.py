@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from comptoir.llm import chat, jaccard, lines, pii, quality, suffix, tiling, tokenizer, topk, urls
+from comptoir.llm import chat, hnsw, jaccard, lines, pii, quality, spelling, suffix, tiling, tokenizer, topk, trie, urls
+from comptoir.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +106,33 @@ def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@_register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations rebuilt on the first turns of every twentieth, as a tree of prefixes."""
+    own = cut_lineage(trie.sequences(_table(spark, sf_dir, "conversations")))
+    heads = own.filter("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    joined = own.withColumn("base", F.expr("conv_id - conv_id % 20")).withColumn("h", shared).join(heads, "base", "left")
+    nothing = F.array().cast("array<binary>")
+    rebuilt = F.concat(F.slice(F.coalesce("head", nothing), F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.size("turns")))
+    paths = cut_lineage(joined.select("conv_id", trie.path(rebuilt).alias("path")))
+    ids = F.array_sort(F.collect_list("conv_id"))
+    ends = paths.groupBy("path").agg(F.min("conv_id").alias("end_id"), F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ends_sha256")).drop("path")
+    nodes = trie.prefix_tree(paths).join(ends, "end_id", "left")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"))
+
+
+@_register
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), at_least=0.9, recall=0.99)
+
+
+@_register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(_table(spark, sf_dir, "documents"), drop_every=97).filter("length(word) >= 5 AND n >= 3")
+    return spelling.variants(counted, times=2)
+
+
 def _hosted(url: str) -> str:
     return f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
 
@@ -213,3 +241,83 @@ SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda x: list_cont
   sha256(coalesce(array_to_string(list_filter(l, lambda x: NOT list_contains(gone, x)), chr(10)), '')) AS text_sha256
 FROM kept
 """
+
+
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], {}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]))"""
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_table"
+
+SQL["op11_prefix_trie"] = rf"""
+WITH t AS (
+  {_CRC_TABLE}
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")}, 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), t
+), turns AS (
+  SELECT c.conv_id, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1000000 + o.i, o.role, o.text FROM convs c JOIN own o USING (conv_id) WHERE o.i > c.h
+), named AS (
+  SELECT conv_id, role, text, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY i) OVER w AS p
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), prefixes AS (
+  SELECT conv_id, 0 AS d, '' AS p, 0 AS words FROM convs
+  UNION ALL SELECT conv_id, d, p, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) FROM named
+), sizes AS (
+  SELECT conv_id, max(d) AS size FROM prefixes GROUP BY conv_id
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = size), '') AS ends
+  FROM prefixes JOIN sizes USING (conv_id) GROUP BY p, d
+), kids AS (
+  SELECT left(p, 64 * (d - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), under AS (
+  SELECT left(n.p, 64 * a.d) AS p, count(*) FILTER (k.p IS NULL) AS n_leaves, sum((n.n - 1) * n.words) AS saved
+  FROM nodes n LEFT JOIN kids k ON k.p = n.p, LATERAL (SELECT unnest(range(n.d + 1)) AS d) a GROUP BY 1
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN under u ON u.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN nodes up ON n.d > 0 AND up.p = left(n.p, 64 * (n.d - 1))
+"""
+
+SQL["op12_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN links l ON l.a = reach.b
+), least AS (
+  SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (r)
+"""
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE t AS (
+  {_CRC_TABLE}
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{urls._UPPER}', '{urls._LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL
+), coded AS (
+  SELECT run, n, xor({_CRC.format("flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))")}, 4294967295) AS h
+  FROM runs, t
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM coded)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (
+  SELECT word, word AS cut, -1 AS i FROM words UNION ALL
+  SELECT word, substr(word, 1, i::BIGINT) || substr(word, i::BIGINT + 2), i FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.word <> b.word WHERE (a.i < 0) <> (b.i < 0) OR a.i = b.i
+), best AS (
+  SELECT near.word, count(*) AS n_near, min((-w.n, encode(near.other))) AS best FROM near JOIN words w ON w.word = near.other GROUP BY near.word
+), formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN decode(best[2]) END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END::BIGINT AS form_n
+  FROM words LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS here, 0 AS step FROM formed UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN formed f ON f.word = way.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(here, step) AS root FROM way GROUP BY word) USING (word)
+"""

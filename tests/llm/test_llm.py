@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from comptoir.llm import chat, jaccard, lines, pii, quality, suffix, tiling, tokenizer, topk, urls
+from comptoir.llm import chat, hnsw, jaccard, lines, pii, quality, spelling, suffix, tiling, tokenizer, topk, trie, urls
 from comptoir.llm._graph import components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -344,3 +344,149 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, sf)
     assert odd.count() <= 4
+
+
+def _tree(sequences):
+    """Brute force: members of every prefix, children, leaves, saved words."""
+    members = {}
+    for conv, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(conv)
+    kids = {p: sum(1 for q in members if len(q) == len(p) + 1 and q[: len(p)] == p) for p in members}
+    out = {}
+    for p, convs in members.items():
+        under = [q for q in members if q[: len(p)] == p]
+        saved = sum((len(members[q]) - 1) * (len(q[-1][1].split()) if q else 0) for q in under)
+        ends = [c for c in convs if len(sequences[c]) == len(p)]
+        out[min(convs), len(p)] = (min(members[p[:-1]]) if p else None, len(convs), kids[p], sum(kids[q] == 0 for q in under), saved, min(ends, default=None))
+    return out
+
+
+@pytest.mark.parametrize(("part", "fan"), [(4 << 20, 32), (40, 2), (200, 3)])
+def test_prefix_tree(spark, monkeypatch, part, fan):
+    monkeypatch.setattr(trie, "PART_BYTES", part)
+    monkeypatch.setattr(trie, "FAN", fan)
+    rng = random.Random(part)
+    rows, seen = [], {}
+    for conv in range(60):
+        turns = [(t, rng.choice(["user", None]), rng.choice(["a", "b c", None])) for t in range(rng.choice([1, 2, 3, 5]))]
+        if conv % 7 == 0 and conv:
+            turns = [(t, r, x) for t, (r, x) in enumerate(seen[rng.choice(list(seen))])] or turns
+        seen[conv] = [(r or "", x or "") for _, r, x in turns]
+        rows += [(conv, t, r, x, "z") for t, r, x in turns]
+    rows += [(99, None, "user", "first", "z"), (99, 0, "user", "b c", "z"), (None, 0, "user", "x", "z"), (98, 0, "user", "long " * 5000, "z")]
+    rows += [(97, t, "user", str(t), "z") for t in range(300)]
+    seen |= {99: [("user", "first"), ("user", "b c")], 98: [("user", "long " * 5000)], 97: [("user", str(t)) for t in range(300)]}
+    rng.shuffle(rows)
+    own = trie.sequences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string"))
+    paths = own.select("conv_id", trie.path(F.col("turns")).alias("path")).unionAll(spark.createDataFrame([(500, b""), (None, b""), (501, None)], "conv_id long, path binary"))
+    got = {(r.conv_id, r.depth): tuple(r)[2:] for r in trie.prefix_tree(paths).collect()}
+    assert got == _tree(seen | {500: []})
+
+
+def test_prefix_tree_empty(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert trie.sequences(none).count() == 0
+    assert trie.prefix_tree(spark.createDataFrame([], "conv_id long, path binary")).count() == 0
+    alone = trie.prefix_tree(spark.createDataFrame([(4, b"")], "conv_id long, path binary")).collect()
+    assert [tuple(r) for r in alone] == [(4, 0, None, 1, 0, 1, 0, 4)]
+
+
+def _linked(rows):
+    ok = {i: np.array(v, dtype=np.float64) for i, (_, v) in enumerate(rows) if v is not None and None not in v and np.isfinite(v).all() and any(v)}
+    group, n = list(range(len(rows))), [0] * len(rows)
+    for i, a in ok.items():
+        for j, b in ok.items():
+            if i != j and len(a) == len(b) and a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.9:
+                n[i] += 1
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in set(group)}
+    return sorted(((r[0], n[i], least[group[i]], r[0] == least[group[i]]) for i, r in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize(("shard", "kind"), [(32768, "float"), (64, "double")])
+def test_embedding_near_duplicates(spark, monkeypatch, shard, kind):
+    monkeypatch.setattr(hnsw, "SHARD", shard)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(150, 16)).astype(np.float32).astype(np.float64)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(200 + i, (base[i % 20] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(300 + i, base[7].tolist()) for i in range(30)] + [(400, (base[3] * 4).tolist()), (401, None), (402, [0.0] * 16), (403, [float("nan")] + [1.0] * 15), (404, [None] + [1.0] * 15)]
+    rows += [(405, [float("inf")] * 16), (406, []), (407, [1.0, 2.0]), (408, [1.0, 2.1]), (None, base[9].tolist()), (None, rng.normal(size=16).astype(np.float32).tolist()), (5, base[9].tolist()), (5, base[80].tolist())]
+    crowd = base[11] + 0.01 * rng.normal(size=(90, 16))
+    rows += [(500 + i, v.tolist()) for i, v in enumerate(crowd.astype(np.float32))]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], f"vec_id long, embedding array<{kind}>, id string, node int, v int")
+    assert sorted((tuple(r) for r in hnsw.near_duplicates(df, recall=1.0).collect()), key=str) == _linked(rows)
+
+
+def test_embedding_near_duplicates_without_rows(spark):
+    assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert hnsw.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].kept
+
+
+def test_graph_recall():
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(3000, 48)).astype(np.float32)
+    graph = hnsw.build(vectors)
+    near = (vectors[:500] + 0.1 * rng.normal(size=(500, 48))).astype(np.float32)
+    row, node = graph.linked(vectors, near, 0.9, 32)
+    true = {(i, j) for i, j in zip(*np.nonzero(hnsw._unit(near) @ hnsw._unit(vectors).T >= 0.9), strict=True)}
+    assert len(true & set(zip(row.tolist(), node.tolist(), strict=True))) >= 0.95 * len(true)
+    assert set(zip(row.tolist(), node.tolist(), strict=True)) <= true
+
+
+def _one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+@given(st.text(alphabet="abé", min_size=5, max_size=9), st.integers(0, 8), st.sampled_from("abé"), st.integers(0, 2), st.sets(st.text(alphabet="abé^$", min_size=2, max_size=5), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_near_words_share_a_list(word, at, letter, edit, frequent):
+    other = [word[:at] + letter + word[at:], word[:at] + word[at + 1 :], word[:at] + letter + word[at + 1 :]][edit]
+    if len(other) < 5 or not _one_edit(word, other):
+        return
+    counts = dict.fromkeys(frequent, 20)
+    short, long = sorted((word, other), key=len)
+    asked = {k for k, shift in spelling.keys(short, counts) if not shift or len(short) < len(long)}
+    assert asked & {k for k, shift in spelling.keys(long, counts) if not shift}
+
+
+@pytest.mark.parametrize("rare", [0, 16])
+def test_spelling_variants(spark, monkeypatch, rare):
+    monkeypatch.setattr(spelling, "RARE", rare)
+    rng = random.Random(rare)
+    words = {"".join(rng.choices("abcé", k=rng.randint(5, 7))) for _ in range(400)} | {"a" * 5, "a" * 6, "a" * 400, "a" * 399 + "b"}
+    counts = {w: rng.choice([3, 3, 4, 6, 12, 40, 90]) for w in words}
+    got = {r.word: tuple(r)[1:] for r in spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    near = {w: [v for v in words if _one_edit(w, v)] for w in words}
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best and counts[best] >= 2 * counts[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    assert got == {w: (form[w], root(w), counts[w], len(near[w]), counts.get(form[w])) for w in words}
+
+
+def test_words_are_counted(spark):
+    rows = [(1, "Alpha beta ALPHA  Él", "x"), (None, "alpha×beta", "x"), (2, None, "x"), (3, "", "x"), (4, "beta " * 4000, "x"), (4, "beta", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    assert {r.word: r.n for r in spelling.count_words(df).collect()} == {"alpha": 2, "beta": 4002, "Él": 1, "alpha×beta": 1}
+    wanted: dict[str, int] = {}
+    for doc, text, _ in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            word = spelling.misspell(doc, run.translate(spelling.LOWER), 2)
+            wanted[word] = wanted.get(word, 0) + 1
+    assert {r.word: r.n for r in spelling.count_words(df, drop_every=2).collect()} == wanted
+    none = spark.createDataFrame([], "word string, n long")
+    assert spelling.variants(none).count() == 0
+    with pytest.raises(ValueError, match="letters"):
+        spelling.variants(spark.createDataFrame([("abcd", 3)], "word string, n long"))
