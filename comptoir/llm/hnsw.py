@@ -1,6 +1,6 @@
 """Near duplicates among embeddings with one hierarchical navigable small-world graph per shard.
 
-Equal vectors are one vector with a count first. The others are dealt by hash into shards of some 30 000, and each shard gets a graph: every
+Equal vectors are one vector with a count first. The others are dealt by hash into shards of at most some 65 000, and each shard gets a graph: every
 node has a level, drawn from a hash of its place, and the nodes of a level and above are linked on it. A search goes down from the top
 level with a beam of one and walks the lowest level with a beam of ``beam`` nodes.
 
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from comptoir.llm._graph import components
 from comptoir.session import cut_lineage
 
-#: Vectors of a shard, links of a node above and on the lowest level, beam while building, queries worked on at once.
-SHARD, LINKS, LOWEST_LINKS, BUILD_BEAM, TOGETHER = 32768, 8, 16, 16, 512
+#: Vectors of a shard and single-precision bytes of them at most, links of a node above and on the lowest level, beam while building, queries
+#: worked on at once.
+SHARD, SHARD_BYTES, LINKS, LOWEST_LINKS, BUILD_BEAM, TOGETHER = 1 << 16, 1 << 24, 8, 16, 16, 512
 #: Queries that pass one copy of a shard's graph, queries of the audit, and the beams it tries before whole shards.
-STREAM, AUDITED, BEAMS = 1 << 18, 2048, (16, 32, 64, 128, 256, 512, 1024)
+STREAM, AUDITED, BEAMS = 1 << 18, 2048, (8, 16, 32, 64, 128, 256, 512, 1024)
 #: How far single precision may be off the cosine.
 MARGIN = 1e-4
 
@@ -262,11 +263,12 @@ def _opened(row: dict, kind: type) -> tuple[Graph, np.ndarray, np.ndarray, np.nd
     return Graph(_unit(raw), levels, row["entry"]), raw, np.frombuffer(row["nodes"], dtype=np.int64), np.frombuffer(row["copies"], dtype=np.int64)
 
 
-def _beam(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, recall: float) -> int:
-    """The smallest beam whose searches find ``recall`` of the links of the audited queries, on the mean of those that have any.
+def _beams(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, recall: float) -> tuple[int, int]:
+    """The smallest beams, for queries to their own shard and to others, whose searches find ``recall`` of the links of the audited queries
+    there, on the mean of those that have any.
 
-    The audited queries are those of least hash, at most ``AUDITED``; each shard compares them with all its vectors. Where no beam of
-    ``BEAMS`` passes, whole shards are compared.
+    The audited queries are those of least hash, at most ``AUDITED``; each shard compares them with all its vectors. A query starts from
+    itself in its own shard, so it needs a smaller beam there. Where no beam of ``BEAMS`` passes, whole shards are compared.
     """
     asked = vectors.select("dims", "node", "v").orderBy(F.xxhash64("node")).limit(AUDITED).collect()
     by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -281,34 +283,37 @@ def _beam(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, rec
             place = {node: at for at, node in enumerate(nodes.tolist())}
             own = np.array([place.get(i, -1) for i in ids.tolist()], dtype=np.int64)
 
-            def links(beam: int, some: np.ndarray) -> np.ndarray:
-                """Number of links found for each of the queries ``some``."""
-                out = np.zeros(len(some), dtype=np.int64)
-                for mine in (own[some] < 0, own[some] >= 0):
-                    row_, _ = graph.linked(raw, queries[some][mine], at_least, beam, own[some][mine] if own[some][mine].max(initial=-1) >= 0 else None)  # noqa: B023
-                    out[mine] = np.bincount(row_, minlength=int(mine.sum()))
-                return out
+            for mine in (own < 0, own >= 0):
+                asked, start = queries[mine], own[mine] if (own[mine] >= 0).any() else None
+                there = np.bincount(graph.linked(raw, asked, at_least, len(raw), start)[0], minlength=len(asked))
+                some = np.flatnonzero(there)
+                found, hits = [], np.zeros(len(some), dtype=np.int64)
+                for beam in BEAMS:
+                    if beam >= len(raw) or (hits == there[some]).all():
+                        hits = there[some]
+                    else:
+                        hits = np.bincount(graph.linked(raw, asked[some], at_least, beam, None if start is None else start[some])[0], minlength=len(some))
+                    found.append(hits)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine][some]), pa.array(np.full(len(some), start is not None)), pa.array(there[some]), *[pa.array(h) for h in found]], names=["node", "own", "links", *names])
 
-            there = links(len(raw), np.arange(len(ids)))
-            asks = np.flatnonzero(there)
-            found, hits = [], np.zeros(len(asks), dtype=np.int64)
-            for beam in BEAMS:
-                hits = there[asks] if beam >= len(raw) or (hits == there[asks]).all() else links(beam, asks)
-                found.append(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(there[asks]), *[pa.array(h) for h in found]], names=["node", "links", *[f"found_{b}" for b in BEAMS]])
+    names = [f"found_{b}" for b in BEAMS]
+    audited = index.mapInArrow(run, "node long, own boolean, links long, " + ", ".join(f"{n} long" for n in names))
+    sums = audited.groupBy("own", "node").agg(F.sum("links").alias("links"), *[F.sum(n).alias(n) for n in names])
+    shares = {r["own"]: [r[n] for n in names] for r in sums.groupBy("own").agg(*[F.avg(F.col(n) / F.col("links")).alias(n) for n in names]).collect()}
 
-    audited = index.mapInArrow(run, "node long, links long, " + ", ".join(f"found_{b} long" for b in BEAMS))
-    shares = audited.groupBy("node").agg(F.sum("links").alias("links"), *[F.sum(f"found_{b}").alias(f"found_{b}") for b in BEAMS]).agg(*[F.avg(F.col(f"found_{b}") / F.col("links")) for b in BEAMS]).first()
-    return next((b for b, share in zip(BEAMS, shares, strict=True) if share is None or share >= recall), SHARD * 8)
+    def smallest(own: bool) -> int:
+        return next((b for b, share in zip(BEAMS, shares.get(own, [1.0]), strict=False) if share >= recall), SHARD)
+
+    return smallest(True), smallest(False)
 
 
 class _Stream:
     """Queries that pass one graph. Links inside the shard are found from both ends, so they are kept as bits, one row for a node that has any:
-    at most 128 MB."""
+    at most 512 MB if all vectors of the largest shard have some."""
 
-    def __init__(self, row: dict, kind: type, at_least: float, beam: int) -> None:
+    def __init__(self, row: dict, kind: type, at_least: float, beams: tuple[int, int]) -> None:
         self.graph, self.raw, self.nodes, self.copies = _opened(row, kind)
-        self.shard, self.at_least, self.beam = row["shard"], at_least, beam
+        self.shard, self.at_least, self.beams = row["shard"], at_least, beams
         self.place = np.argsort(self.nodes)
         self.root = np.arange(len(self.nodes))
         self.counts = np.zeros(len(self.nodes), dtype=np.int64)
@@ -329,7 +334,7 @@ class _Stream:
         """Rows (node, other, n): links of a query counted (other is -1), or an edge."""
         inside = shards == self.shard
         own = self.place[np.searchsorted(self.nodes, nodes[inside], sorter=self.place)]
-        row, hit = self.graph.linked(self.raw, vectors[inside], self.at_least, self.beam, own)
+        row, hit = self.graph.linked(self.raw, vectors[inside], self.at_least, self.beams[0], own)
         for a, b in ((own[row], hit), (hit, own[row])):
             order = np.argsort(a, kind="stable")
             found, start = np.unique(a[order], return_index=True)
@@ -337,7 +342,7 @@ class _Stream:
                 bits = self.own.setdefault(node, np.zeros(len(self.nodes) // 8 + 1, dtype=np.uint8))
                 np.bitwise_or.at(bits, others >> 3, np.uint8(1) << (others & 7).astype(np.uint8))
         self._union(own[row], hit)
-        row, hit = self.graph.linked(self.raw, vectors[~inside], self.at_least, self.beam)
+        row, hit = self.graph.linked(self.raw, vectors[~inside], self.at_least, self.beams[1])
         nodes, copies = nodes[~inside], copies[~inside]
         np.add.at(self.counts, hit, copies[row])
         asked, first = np.unique(row, return_index=True)
@@ -354,7 +359,7 @@ class _Stream:
         return np.concatenate([self.nodes[some], self.nodes[moved]]), np.concatenate([np.full(len(some), -1), self.nodes[self.root[moved]]]), np.concatenate([self.counts[some], np.zeros(len(moved), dtype=np.int64)])
 
 
-def _links(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, beam: int, groups: int, tasks: int) -> DataFrame:
+def _links(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, beams: tuple[int, int], groups: int, tasks: int) -> DataFrame:
     """Rows (node, other, n): a number of links of ``node`` where ``other`` is -1, else an edge of the forest."""
     blank = {"node": "long", "copies": "long", "own": "int", "v": vectors.schema["v"].dataType.simpleString()}
     graphs = index.select("dims", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in blank.items()], F.struct("nodes", "copies", "raw", "entry", "levels").alias("graph"))
@@ -376,7 +381,7 @@ def _links(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, be
                 if rows.num_rows and rows.column(3)[0].as_py() == 0:
                     if now:
                         yield batch_of(now.close())
-                    now = _Stream({"dims": rows.column(0)[0].as_py(), "shard": rows.column(1)[0].as_py(), **rows.column(8)[0].as_py()}, kind, at_least, beam)
+                    now = _Stream({"dims": rows.column(0)[0].as_py(), "shard": rows.column(1)[0].as_py(), **rows.column(8)[0].as_py()}, kind, at_least, beams)
                     rows = rows.slice(1)
                 if rows.num_rows and now and rows.column(0)[0].as_py() == now.raw.shape[1] and rows.column(1)[0].as_py() == now.shard:
                     yield batch_of(now.take(np.asarray(rows.column(4)), np.asarray(rows.column(5)), np.asarray(rows.column(6)), _vectors(rows.column(7))))
@@ -399,12 +404,12 @@ def near_duplicates(df: DataFrame, at_least: float = 0.9, recall: float = 0.98,
     rows = df.select(F.col(f"`{id_column}`").alias("id"), vector.alias("v")).withColumn("usable", usable(F.col("v")))
     distinct = rows.filter("usable").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     vectors = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("node"), "least", "copies", F.size("v").alias("dims"), "v"))
-    number = vectors.count()
-    shards, groups = max(1, -(-number // SHARD)), max(1, -(-number // STREAM))
+    number, dims = vectors.agg(F.count("*"), F.max("dims")).first()
+    shards, groups = max(1, -(-number // max(1, min(SHARD, SHARD_BYTES // (4 * (dims or 1)))))), max(1, -(-number // STREAM))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     index = cut_lineage(dealt.groupBy("dims", "shard").applyInArrow(_shard_index, _INDEX))
-    beam = _beam(index, vectors, kind, at_least, recall)
-    links = cut_lineage(_links(index, dealt, kind, at_least, beam, groups, 2 * shards * groups))
+    beams = _beams(index, vectors, kind, at_least, recall)
+    links = cut_lineage(_links(index, dealt, kind, at_least, beams, groups, 2 * shards * groups))
 
     roots = components(links.filter("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
     least = roots.join(vectors.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
