@@ -32,15 +32,21 @@ WORD = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def misspell(doc: int | None, run: str, every: int) -> str:
-    """The run, without one code point if ``every`` divides the CRC-32 of ``<doc>:<run>``; a null id is written as nothing."""
-    code = zlib.crc32(run.encode(), zlib.crc32(f"{'' if doc is None else doc}:".encode()))
-    if code % every:
-        return run
+def _start(doc: int | None) -> int:
+    return zlib.crc32(f"{'' if doc is None else doc}:".encode())
+
+
+def _shortened(run: str, code: int) -> str:
     at = code % len(run)
     return run[:at] + run[at + 1 :]
 
 
+def misspell(doc: int | None, run: str, every: int) -> str:
+    """The run, without one code point if ``every`` divides the CRC-32 of ``<doc>:<run>``; a null id is written as nothing."""
+    code = zlib.crc32(run.encode(), _start(doc))
+    return run if code % every else _shortened(run, code)
+
+
 def count_words(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", drop_every: int = 0) -> DataFrame:
     """Rows (word, n): the runs of letters of all texts, A-Z lower-cased, and how often each stands; null texts have none.
 
@@ -58,9 +64,10 @@ def count_words(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 if text.is_valid:
-                    doc = doc.as_py()
-                    for word, n in Counter(WORD.findall(text.as_py().translate(LOWER))).items():
-                        held[misspell(doc, word, drop_every) if drop_every else word] += n
+                    start = _start(doc.as_py())
+                    for word, n in Counter(WORD.findall(text.as_py())).items():
+                        lower = word if word.islower() else word.translate(LOWER)
+                        held[_shortened(lower, code) if drop_every and not (code := zlib.crc32(lower.encode(), start)) % drop_every else lower] += n
                 if len(held) > HELD:
                     yield hand_on()
         if held:
@@ -72,9 +79,26 @@ def count_words(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 def frequent_grams(words: DataFrame) -> dict[str, int]:
     """Places of each frequent gram. All grams stand in some 4 x letters places, so there are at most MOST for each length."""
-    spots = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w")).withColumn("at", F.explode(F.expr(f"sequence(1, length(w) - {SHORTEST - 1})")))
-    grams = spots.select(F.explode(F.array(*[F.when(F.col("at") + q - 1 <= F.length("w"), F.substring("w", F.col("at"), F.lit(q))) for q in range(SHORTEST, LONGEST + 1)])).alias("g")).filter("g IS NOT NULL")
-    counts = cut_lineage(grams.groupBy("g").agg(F.count("*").alias("n")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["g", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                framed = f"^{word}$"
+                for size in range(SHORTEST, LONGEST + 1):
+                    held.update([framed[at : at + size] for at in range(len(framed) - size + 1)])
+                if len(held) > HELD:
+                    yield hand_on()
+        if held:
+            yield hand_on()
+
+    grams = words.select("word").mapInArrow(run, "g string, n long")
+    counts = cut_lineage(grams.groupBy("g").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(RARE, total // MOST)
     return {r.g: r.n for r in counts.filter(F.col("n") > limit).collect()}
@@ -105,43 +129,46 @@ def bound(grams: list[tuple[int, int]], size: int) -> int:
     return most
 
 
-def keys(word: str, frequent: dict[str, int]) -> list[tuple[str, int]]:
-    """The lists of the rarest grams of a word: (list, shift), where shift says whether a letter more before the gram moves it."""
+def rarest(word: str, frequent: dict[str, int]) -> list[tuple[int, int, bool]]:
+    """Start, end and whether it is frequent, of the (bound + 1) rarest grams of the framed word."""
     framed = f"^{word}$"
     grams = decompose(framed, frequent)
     ranked = sorted(grams, key=lambda g: (frequent.get(framed[g[0] : g[1]], 0), framed[g[0] : g[1]], g[0]))
-    out = []
-    for start, end in ranked[: bound(grams, len(framed)) + 1]:
-        gram = framed[start:end]
-        if gram in frequent:
-            out += [(f"<{framed[:end]}", 0), (f">{framed[start:]}", 0)]
-        else:
-            out += [(f"{start}{gram}", 0), (f"{start + 1}{gram}", 1)]
-    return out
+    return [(start, end, framed[start:end] in frequent) for start, end in ranked[: bound(grams, len(framed)) + 1]]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """Rows (a, b, a_n, b_n), one for each two words of ``words`` (word, n) of which one letter inserted, deleted or replaced in one gives
     the other. Words are distinct and have at least five letters."""
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words))
+    gram = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("often", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column: list[list] = [[], [], [], [], []]
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = len(word)
-                for key, shift in keys(word, frequent.value):
-                    # A word is in the list of its own length; it looks there and in that of the words one letter longer.
-                    for length, looks in ([(size, False), (size, True), (size + 1, True)] if not shift else [(size + 1, True)]):
-                        for values, value in zip(column, (f"{length}{key}", looks, length == size, word, n), strict=True):
-                            values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(column, (pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["key", "looks", "equal", "word", "n"])
-
-    entries = words.select("word", "n").mapInArrow(run, "key string, looks boolean, equal boolean, word string, n long").withColumn("key", F.xxhash64("key"))
-    lists = entries.filter("NOT looks").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    asks = entries.filter("looks").select("key", "equal", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    met = asks.join(lists, "key").filter("(NOT equal AND length(a) < length(b)) OR (equal AND a < b)").filter(F.levenshtein("a", "b", 1) == 1)
-    return met.select("a", "b", "a_n", "b_n").distinct()
+            grams = [[{"start": s, "end": e, "often": o} for s, e, o in rarest(word, frequent.value)] for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, gram)], names=["word", "n", "grams"])
+
+    kept = cut_lineage(words.select("word", "n").mapInArrow(run, "word string, n long, grams array<struct<start: int, end: int, often: boolean>>"))
+    # A list is named by the words' length, a place and a piece of the word: the gram where it starts, or, if it is frequent, all up to
+    # its end (-1) and all from its start on (-2). A word looks into the lists of its own length and into those of words one longer, in
+    # which a letter more may have moved the gram.
+    at = kept.select("word", "n", F.length("word").alias("size"), F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), F.explode("grams").alias("g"))
+
+    def piece(place: str | int, text: str) -> str:
+        return f"struct({place} AS place, {text} AS piece)"
+
+    left, right = piece(-1, "substring(w, 1, g.end)"), piece(-2, "substring(w, g.start + 1)")
+    own, moved = piece("g.start", "substring(w, g.start + 1, g.end - g.start)"), piece("g.start + 1", "substring(w, g.start + 1, g.end - g.start)")
+    listed = at.select("word", "n", "size", F.explode(F.expr(f"if(g.often, array({left}, {right}), array({own}))")).alias("p"))
+    longer = at.select("word", "n", (F.col("size") + 1).alias("size"), F.explode(F.expr(f"if(g.often, array({left}, {right}), array({own}, {moved}))")).alias("p"))
+
+    def keyed(df: DataFrame, word: str, n: str) -> DataFrame:
+        return df.select(F.xxhash64("size", "p.place", "p.piece").alias("key"), F.col("word").alias(word), F.col("n").alias(n))
+
+    lists = keyed(listed, "b", "b_n")
+    equal = keyed(listed, "a", "a_n").join(lists, "key").filter("a < b")
+    unequal = keyed(longer, "a", "a_n").join(lists, "key").filter("length(a) < length(b)")
+    return equal.unionAll(unequal).filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "a_n", "b_n").distinct()
 
 
 def variants(words: DataFrame, times: int = 2) -> DataFrame:
@@ -156,7 +183,7 @@ def variants(words: DataFrame, times: int = 2) -> DataFrame:
     if not words.filter(F.length("word") < LONGEST).isEmpty():
         raise ValueError(f"words need {LONGEST} letters at least")
     pairs = near_pairs(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")).unionAll(pairs.select("b", "a", "a_n"))
+    both = pairs.select(F.inline(F.expr("array(struct(a AS word, b AS other, b_n AS m), struct(b AS word, a AS other, a_n AS m))")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("best"))
     joined = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.other").alias("near"), (-F.col("best.less")).alias("near_n"))
     fits = F.col("near_n") >= times * F.col("n")

@@ -453,8 +453,14 @@ def test_near_words_share_a_list(word, at, letter, edit, frequent):
         return
     counts = dict.fromkeys(frequent, 20)
     short, long = sorted((word, other), key=len)
-    asked = {k for k, shift in spelling.keys(short, counts) if not shift or len(short) < len(long)}
-    assert asked & {k for k, shift in spelling.keys(long, counts) if not shift}
+
+    def lists(w, shifts):
+        framed, out = f"^{w}$", set()
+        for start, end, often in spelling.rarest(w, counts):
+            out |= {(-1, framed[:end]), (-2, framed[start:])} if often else {(start + shift, framed[start:end]) for shift in shifts}
+        return out
+
+    assert lists(short, (0, 1) if len(short) < len(long) else (0,)) & lists(long, (0,))
 
 
 @pytest.mark.parametrize("rare", [0, 16])
