@@ -20,17 +20,18 @@ def words(n, seed):
 
 
 def test_common_length_matches_the_table_method():
-    texts = words(60, 1)
-    for a in texts:
-        for b in texts:
-            assert abs(Z.similarity(a, b) - brute(a, b)) < 1e-9
+    texts = ["", *words(60, 1), "é" * 70 + "ab", "a" * 300]
+    pairs = [(a, b) for a in texts for b in texts]
+    found = Z.common_lengths([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(200.0 * n / (len(a) + len(b)) - brute(a, b)) < 1e-9 for (a, b), n in zip(pairs, found) if a or b)
 
 
-def test_pairs_are_complete_against_all_pairs(spark):
-    left, right = words(120, 2), words(120, 3)
+def test_pairs_are_complete_against_all_pairs(spark, monkeypatch):
+    left, right = words(120, 2) + ["ab" * 40, "é b"], words(120, 3) + ["ab" * 38 + "c", "é  b"]
     l = spark.createDataFrame([(x,) for x in left], "l string")
     r = spark.createDataFrame([(x,) for x in right], "r string")
-    for threshold in (70, 80, 92):
+    monkeypatch.setattr(Z, "LIST", 5)
+    for threshold in (70, 80, 92, 97):
         found = {(x["l"], x["r"]): x["score"] for x in Z.pairs_above(l, r, threshold).collect()}
         wanted = {(a, b): brute(a, b) for a in left for b in right if brute(a, b) >= threshold}
         assert set(found) == set(wanted)
@@ -58,3 +59,33 @@ def test_approximate_comparison(spark):
     b = spark.createDataFrame([("agence-nord",), ("AGENCE SUD",), ("YYYYY",)], "n string")
     out = {(x["cle"], x["presence"]) for x in Z.compare_values_approximately(a, ["n"], b, ["n"], 90).collect()}
     assert out == {("AGENCENORD", "commun"), ("AGENCESUDD", "commun"), ("X", "premier seulement"), ("YYYYY", "second seulement")}
+
+
+def test_candidates_of_names_are_few(spark):
+    rng = random.Random(9)
+    names = sorted({" ".join("".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(4, 8))) for _ in range(2)) for _ in range(400)})
+    typed = [n[:3] + n[4:] for n in names]
+    l = spark.createDataFrame([(x,) for x in typed], "l string")
+    r = spark.createDataFrame([(x,) for x in names], "r string")
+    met = Z.candidate_pairs(l, r, 85)
+    assert met.count() < 0.1 * len(names) ** 2
+    assert met.where(Z.may_reach(85)).count() < 1.5 * len(names)
+    assert {(x["l"], x["r"]) for x in Z.pairs_above(l, r, 85).collect()} >= set(zip(typed, names))
+
+
+def test_equal_scores_go_to_the_smallest_text(spark):
+    left = spark.createDataFrame([("abcdefgh",)], "nom string")
+    right = spark.createDataFrame([("abcdefgz",), ("abcdefgi",), ("abcdefgy",)], "nom string")
+    assert [x["nom_droite"] for x in Z.approximate_join(left, right, "nom", "left", 80).collect()] == ["abcdefgi"]
+
+
+def test_several_keys_and_tables(spark):
+    a = spark.createDataFrame([(1, "Jean Kabila", "Kinshasa"), (2, "Jean Kabila", "Goma"), (3, "zzzzzz", "Goma"), (4, None, "Goma")], "id int, nom string, ville string")
+    b = spark.createDataFrame([("Kabila Jeane", "Kinshassa", 5), ("Kabila Jeane", "Bukavu", 6)], "nom string, ville string, n int")
+    c = spark.createDataFrame([("Jean Kabila", "Goma", 7)], "nom string, ville string, n int")
+    out = {x["id"]: x.asDict() for x in Z.approximate_join_all([a, b, c], ["nom", "ville"], "left", 80).collect()}
+    assert {k: (v["n_gauche"], v["n_droite"]) for k, v in out.items()} == {1: (5, None), 2: (None, 7), 3: (None, None), 4: (None, None)}
+    assert out[1]["nom"] == "Jean Kabila" and out[1]["nom_droite"] == "Kabila Jeane" and out[2]["ville_droite_2"] == "Goma"
+    outer = Z.approximate_join_all([a, b], ["nom", "ville"], "outer", 80, with_source=True)
+    assert outer.count() == 5 and {"Source_gauche", "Source_droite"} <= set(outer.columns)
+    assert Z.approximate_join_all([a, c], "nom", "inner", 100).count() == 2
