@@ -418,13 +418,12 @@ def a15b(spark, sf):
 
 
 @register("A16_completeness", f"""
-WITH e AS (SELECT DISTINCT replace(upper(p_name), '-', ' ') AS v FROM part), o AS (SELECT DISTINCT upper(p_name) AS v FROM part WHERE p_size > 40)
+WITH e AS (SELECT DISTINCT upper(c_name) AS v FROM customer), o AS (SELECT DISTINCT 'CUSTOMER#' || lpad(o_custkey::VARCHAR, 9, '0') AS v FROM orders)
 SELECT count(*) AS nb_attendus, {cnt('o.v IS NOT NULL')} AS nb_recus, round({div(cnt('o.v IS NOT NULL'), 'count(*)')} * 100, 2) AS completude_pct,
   round({div(cnt('o.v IS NOT NULL'), 'count(*)')} * 100, 2) >= 50 AS respecte_seuil FROM e LEFT JOIN o ON e.v = o.v""")
 def a16(spark, sf):
-    part = V.table(spark, sf, "part")
-    expected = part.select(F.upper(F.translate("p_name", " ", "_")).alias("nom"))
-    return Q.completeness(expected, "nom", part.where("p_size > 40"), "p_name", 50)
+    served = V.table(spark, sf, "orders").select(F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("nom"))
+    return Q.completeness(V.table(spark, sf, "customer"), "c_name", served, "nom", 50)
 
 
 @register("A17_quality_checks", "\nUNION ALL\n".join(
@@ -539,36 +538,44 @@ def j1(spark, sf):
     return J.join_all(tables, ["cle"], "left")
 
 
+def known_and_served(spark, sf):
+    """All clients, and those of all orders with their names written another way."""
+    customer = V.table(spark, sf, "customer").select(F.translate("c_name", "#", " ").alias("nom"), (F.col("c_custkey") % 7).alias("code"), "c_custkey")
+    orders = V.table(spark, sf, "orders").select(F.concat(F.lit("customer-"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("nom"), (F.col("o_custkey") % 7).alias("code"), "o_orderkey")
+    return customer, orders
+
+
+SERVED = "'customer-' || lpad(o_custkey::VARCHAR, 9, '0')"
+
+
 @register("J4_value_comparison", """
-WITH a AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS k FROM part WHERE p_size < 3), b AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS k FROM part WHERE p_size > 48)
+WITH a AS (SELECT DISTINCT upper(replace(c_name, '#', '')) AS k FROM customer), b AS (SELECT DISTINCT upper('customer' || lpad(o_custkey::VARCHAR, 9, '0')) AS k FROM orders)
 SELECT coalesce(a.k, b.k) AS cle, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'commun' WHEN a.k IS NOT NULL THEN 'premier seulement' ELSE 'second seulement' END AS presence FROM a FULL JOIN b ON a.k = b.k""")
 def j4(spark, sf):
-    part = V.table(spark, sf, "part")
-    return J.compare_values(part.where("p_size < 3"), ["p_name"], part.where("p_size > 48").withColumn("n", F.translate("p_name", " ", "-")), ["n"])
+    customer, orders = known_and_served(spark, sf)
+    return J.compare_values(customer, ["nom"], orders.withColumnRenamed("nom", "n"), ["n"])
 
 
 @register("J5_table_comparison", """
-SELECT a.p_name, a.p_type, a.p_partkey AS p_partkey_df_1, b.p_partkey AS p_partkey_df_2 FROM part a JOIN part b ON upper(replace(a.p_name, ' ', '')) = upper(replace(b.p_name, ' ', '')) AND a.p_type = b.p_type WHERE a.p_size < 5 AND b.p_size > 45""")
+SELECT replace(c_name, '#', ' ') AS nom, c_custkey % 7 AS code, c_custkey AS c_custkey_df_1, o_orderkey AS o_orderkey_df_2
+FROM customer JOIN orders ON upper(replace(c_name, '#', '')) = upper('customer' || lpad(o_custkey::VARCHAR, 9, '0')) AND c_custkey % 7 = o_custkey % 7""")
 def j5(spark, sf):
-    part = V.table(spark, sf, "part").select("p_name", "p_type", "p_partkey", "p_size")
-    return J.compare_tables(part.where("p_size < 5"), part.where("p_size > 45"), ["p_name", "p_type"], ["p_partkey"], ["p_partkey"])
+    return J.compare_tables(*known_and_served(spark, sf), ["nom", "code"], ["c_custkey"], ["o_orderkey"])
 
 
 @register("J5_comparison_summary", """
-WITH a AS (SELECT p_name FROM part WHERE p_size < 3), b AS (SELECT p_name FROM part WHERE p_size > 48)
-SELECT (SELECT count(DISTINCT p_name) FROM a WHERE p_name IN (SELECT p_name FROM b)) AS nb_cles_communes, (SELECT count(DISTINCT p_name) FROM a WHERE p_name NOT IN (SELECT p_name FROM b)) AS nb_cles_uniques_1,
-  (SELECT count(DISTINCT p_name) FROM b WHERE p_name NOT IN (SELECT p_name FROM a)) AS nb_cles_uniques_2, (SELECT count(*) FROM a) AS nb_lignes_1, (SELECT count(*) FROM b) AS nb_lignes_2""")
+WITH a AS (SELECT upper(replace(c_name, '#', '')) AS k FROM customer), b AS (SELECT upper('customer' || lpad(o_custkey::VARCHAR, 9, '0')) AS k FROM orders)
+SELECT (SELECT count(DISTINCT k) FROM a WHERE k IN (SELECT k FROM b)) AS nb_cles_communes, (SELECT count(DISTINCT k) FROM a WHERE k NOT IN (SELECT k FROM b)) AS nb_cles_uniques_1,
+  (SELECT count(DISTINCT k) FROM b WHERE k NOT IN (SELECT k FROM a)) AS nb_cles_uniques_2, (SELECT count(*) FROM a) AS nb_lignes_1, (SELECT count(*) FROM b) AS nb_lignes_2""")
 def j5b(spark, sf):
-    part = V.table(spark, sf, "part")
-    return J.comparison_summary(part.where("p_size < 3"), part.where("p_size > 48"), ["p_name"])
+    return J.comparison_summary(*known_and_served(spark, sf), ["nom"])
 
 
-@register("J5_rows_by_presence", """
-SELECT p_name, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size > 48) THEN 'commun' ELSE 'premier seulement' END AS presence FROM part WHERE p_size < 3
-UNION ALL SELECT p_name, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size < 3) THEN 'commun' ELSE 'second seulement' END FROM part WHERE p_size > 48""")
+@register("J5_rows_by_presence", f"""
+SELECT replace(c_name, '#', ' ') AS nom, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'commun' ELSE 'premier seulement' END AS presence FROM customer
+UNION ALL SELECT {SERVED}, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'commun' ELSE 'second seulement' END FROM orders""")
 def j5c(spark, sf):
-    part = V.table(spark, sf, "part")
-    return J.rows_by_presence(part.where("p_size < 3"), part.where("p_size > 48"), ["p_name"])
+    return J.rows_by_presence(*known_and_served(spark, sf), ["nom"])
 
 
 @register("T1_mixed_sort", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 25")
@@ -660,8 +667,17 @@ def s1(spark, sf):
 
 @register("S2_contracted_read", "SELECT CAST(o_orderkey AS VARCHAR) AS commande, CAST(o_custkey AS VARCHAR) AS client_id FROM orders")
 def s2(spark, sf):
-    parts = [S.read_csv(spark, p, ORDER_CONTRACT).select("commande", "client_id") for p in years_written(spark, sf)]
-    return J.union_all(parts)
+    return S.load_files(spark, years_written(spark, sf), rules=ORDER_CONTRACT).select("commande", "client_id")
+
+
+@register("S1_csv_line_breaks", """SELECT doc_id, sha256(coalesce(text, '')) AS empreinte, length(coalesce(text, '')) AS longueur, lang FROM documents""")
+def s1_breaks(spark, sf):
+    """Whole texts written as quoted cells, whose line breaks go over the ends of lines and splits, and read back."""
+    path = scratch_path(spark, "texts")
+    docs = V.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("texte"), "lang")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option("sep", ";").csv(path)
+    read = S.read_csv(spark, path).withColumn("texte", F.coalesce("texte", F.lit("")))
+    return read.select(F.col("doc_id").cast("bigint"), F.sha2(F.col("texte").cast("binary"), 256).alias("empreinte"), F.length("texte").cast("bigint").alias("longueur"), "lang")
 
 
 @register("S3_contract_check", """
@@ -684,8 +700,7 @@ def s4(spark, sf):
 @register("S5_homogeneous_compile", """
 SELECT concat('encours_15-06-', year(o_orderdate)) AS "Provenance", count(*) AS lignes, count(o_totalprice) AS montants FROM orders GROUP BY 1""")
 def s5(spark, sf):
-    tables = {p.rsplit("/", 1)[-1]: S.read_csv(spark, p) for p in years_written(spark, sf)}
-    out = S.compile_homogeneous(tables, common_only=True, source_column="Provenance")
+    out = S.compile_files(spark, years_written(spark, sf), common_only=True, source_column="Provenance")
     return out.groupBy("Provenance").agg(F.count("*").alias("lignes"), F.count("Montant").alias("montants"))
 
 
@@ -698,16 +713,18 @@ def s6(spark, sf):
     return S.compile_standardized({"a": rows.where("pair"), "b": rows.where("NOT pair")}, None).withColumnRenamed("Pair", "pair")
 
 
-@register("S7_column_presence", """
-SELECT 'Autre' AS "Colonne", 'Autre' AS pair, '-' AS impair, (SELECT count(*) FROM orders) AS lignes UNION ALL SELECT 'Client', '-', 'Client', (SELECT count(*) FROM orders)
-UNION ALL SELECT 'Extra', '-', 'Extra', (SELECT count(*) FROM orders) UNION ALL SELECT 'Montant', 'Montant', 'Montant', (SELECT count(*) FROM orders)
-UNION ALL SELECT 'N° commande', 'N° commande', 'N° commande', (SELECT count(*) FROM orders) UNION ALL SELECT 'client_id', 'client_id', '-', (SELECT count(*) FROM orders)""")
+YEARS = range(1992, 1999)
+S7_COLUMNS = {"N° commande": (0, 1), "Client": (1,), "client_id": (0,), "Montant": (0, 1), "Extra": (1,), "Autre": (0,)}
+S7_CELLS = {c: ", ".join(f"""CASE WHEN exists(SELECT 1 FROM orders WHERE year(o_orderdate) = {y}) THEN '{c if y % 2 in odd else "-"}' END AS "{y}\"""" for y in YEARS) for c, odd in S7_COLUMNS.items()}
+
+
+@register("S7_column_presence", " UNION ALL ".join(f"""SELECT '{c}' AS "Colonne", {cells}, (SELECT count(*) FROM orders) AS lignes""" for c, cells in S7_CELLS.items()))
 def s7(spark, sf):
+    """All yearly files; a year without orders has no file and a null cell."""
     paths = years_written(spark, sf)
-    pair = next(p for p in paths if int(p[-4:]) % 2 == 0)
-    odd = next(p for p in paths if int(p[-4:]) % 2 == 1)
-    out = S.column_presence({"pair": S.read_csv(spark, pair), "impair": S.read_csv(spark, odd)})
-    return out.withColumn("lignes", V.table(spark, sf, "orders").agg(F.count("*").alias("n")).scalar())
+    out = S.files_presence(spark, paths)
+    years = [F.col(f"encours_15-06-{y}").alias(str(y)) if f"encours_15-06-{y}" in out.columns else F.lit(None).cast("string").alias(str(y)) for y in YEARS]
+    return out.select("Colonne", *years, V.table(spark, sf, "orders").agg(F.count("*").alias("n")).scalar().alias("lignes"))
 
 
 def with_first_lines(lines):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from comptoir.functions.text import none_if_blank, strip
 from comptoir.sources.contracts import Contract, coalesce_named, header_key, normalize_headers, validate
+from comptoir.sources.records import fields, read_lines, records, transitions
 
 ENCODINGS = ("utf-8", "iso-8859-1")  # the second one reads any byte
 
@@ -27,31 +30,62 @@ def detect_separator(first_line: str) -> str:
     return "|" if bars > commas else ","
 
 
-def first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    """Only the first line is read: the separator is the one thing the driver needs to know."""
-    reader = spark.read.option("encoding", encoding)
-    head = reader.text(path).limit(1).collect()
-    if not head:
-        raise LoadError(f"{path}: the file is empty")
-    return head[0]["value"].lstrip("﻿")
+def _plain(path: str) -> str:
+    """A path without scheme, host and escapes, to recognise a file by what Spark calls it."""
+    return "/" + unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)).strip("/") if ":" in path else "/" + path.strip("/")
+
+
+def sniff(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> list[dict]:
+    """For each file under ``paths``: its path, encoding, separator, first line, and whether a quoted field goes over a line's end.
 
+    One pass over all files, one row a file to the driver: what is needed to choose their readers.
+    """
+    lines = read_lines(spark, paths)
+    at = F.struct("__block", "__line")
+    opens = {sep: transitions(F.col("value"), sep)[0] for sep in ";,\t|"}
+    quoted = F.contains(F.col("value"), F.lit('"'))
+    found = lines.groupBy("__file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by(F.col("value").cast("binary"), F.when(F.col("value") != "", at)).alias("first"),
+        F.struct(*[F.bool_or(quoted & o).alias(f"o{i}") for i, o in enumerate(opens.values())]).alias("open")).collect()
+    out = []
+    for row in found:
+        used = encoding or ENCODINGS[0 if row["utf8"] else 1]
+        first = bytes(row["first"] or b"").decode(used, "replace").lstrip("\ufeff").rstrip("\r")
+        separator = detect_separator(first)
+        out.append({"path": row["__file"], "encoding": used, "separator": separator, "first": first, "open": row["open"][list(opens).index(separator)]})
+    return out
 
-def quotes(line: Column) -> Column:
-    """Number of quotation marks."""
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+
+def _table(spark: SparkSession, paths: Sequence[str], encoding: str, separator: str, broken: bool, file_column: str | None = None) -> DataFrame:
+    """Files of one header, encoding and separator as a table of text columns."""
+    if not broken:
+        df = spark.read.csv(list(paths), sep=separator, header=True, encoding=encoding, escape='"')
+        names = [c.replace("\ufeff", "").strip() for c in df.columns]
+        return df.toDF(*names) if file_column is None else df.select("*", F.col("_metadata.file_path").alias(file_column)).toDF(*names, file_column)
+    cut = records(read_lines(spark, paths, encoding), separator).where("value <> ''")
+    at = F.struct("__block", "__line")
+    heads = cut.groupBy("__file").agg(F.min(at).alias("__head"), F.min_by("value", at).alias("__names"))
+    header = heads.agg(F.min("__names")).first()[0]
+    width = len(header.split(separator))
+    head = spark.range(1).select(fields(F.lit(header), [str(i) for i in range(width)], separator).alias("h")).select("h.*").first()
+    names = [v for v in head if v is not None] if head else []
+    body = cut.join(heads.select("__file", "__head"), "__file").where(at > F.col("__head"))
+    rows = body.select(fields(F.col("value"), names, separator).alias("__row"), F.col("__file").alias(file_column or "__file")).select("__row.*", *([file_column] if file_column else []))
+    return rows.toDF(*[n.strip() for n in names], *([file_column] if file_column else []))
 
 
 def read_csv(spark: SparkSession, path: str, rules: Contract | None = None, reject_empty: bool = False,
              encoding: str | None = None) -> DataFrame:
     """CSV scan with detected separator; without ``encoding``, UTF-8 if all lines are valid, else Latin-1.
 
-    Files stay splittable unless a line leaves a quote open; then cells may hold line breaks, and one task reads a file.
+    Files stay splittable. Where a quoted field goes over a line's end, records are cut by ``records``, else by Spark's reader.
     """
-    facts = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes(F.col("value")) % 2 == 1).alias("open")).first()
-    used = encoding or ENCODINGS[0 if facts["utf8"] is not False else 1]
-    separator = detect_separator(first_line(spark, path, used))
-    df = spark.read.csv(path, sep=separator, header=True, encoding=used, escape='"', multiLine=bool(facts["open"]))
-    df = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    found = sniff(spark, [path], encoding)
+    if not any(f["first"] for f in found):
+        raise LoadError(f"{path}: the file is empty")
+    used = ENCODINGS[1] if any(f["encoding"] == ENCODINGS[1] for f in found) and encoding is None else found[0]["encoding"]
+    first = min((f for f in found if f["first"]), key=lambda f: f["path"])
+    df = _table(spark, [path], used, first["separator"], any(f["open"] for f in found))
     if reject_empty and df.isEmpty():
         raise LoadError(f"{path}: the file holds no data row")
     if rules is None:
@@ -64,19 +98,87 @@ def read_parquet(spark: SparkSession, path: str, rules: Contract | None = None)
     return validate(normalize_headers(df, rules), rules, path) if rules else df
 
 
+def read_many(spark: SparkSession, paths: Sequence[str], source_column: str = "fichier_source", order_column: str | None = "ordre_fichier_import",
+              rules: Contract | None = None) -> list[tuple[list[str], DataFrame]]:
+    """The files (or folders of files) of each header as one table, with the name of a file and its place among ``paths``.
+
+    Files are sniffed in one pass; jobs and plans then grow with the number of different headers, not of files. Gives (columns of the
+    header, table) for each.
+    """
+    if not paths:
+        raise LoadError("no file was given")
+    known = {_plain(p): i for i, p in enumerate(paths)}
+    groups: dict[tuple, list[tuple[str, int]]] = {}
+    filled = set()
+    for file in sniff(spark, paths):
+        plain = _plain(file["path"])
+        order = next((known[p] for p in _above(plain) if p in known), None)
+        if order is None:
+            raise LoadError(f"{file['path']} was not asked for")
+        if file["first"]:
+            filled.add(order)
+            groups.setdefault((file["first"], file["encoding"], file["separator"], file["open"]), []).append((file["path"], order))
+    for i, path in enumerate(paths):
+        if i not in filled:
+            raise LoadError(f"{path}: the file is empty")
+    out = []
+    for (_, encoding, separator, broken), files in sorted(groups.items()):
+        df = _table(spark, [unquote(f) if "%" in f else f for f, _ in files], encoding, separator, broken, "__path")
+        if rules is not None:
+            df = validate(normalize_headers(df, rules), rules, ", ".join(sorted({paths[i] for _, i in files})[:3]))
+        columns = [c for c in df.columns if c != "__path"]
+        names = spark.createDataFrame([(f, paths[i].rstrip("/").rsplit("/", 1)[-1], i) for f, i in files], "__path string, __name string, __order int")
+        placed = df.join(names, "__path").withColumns({source_column: F.col("__name")} | ({order_column: F.col("__order")} if order_column else {}))
+        out.append((columns, placed.drop("__path", "__name", "__order")))
+    return out
+
+
+def _above(path: str) -> list[str]:
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(len(parts), 0, -1)]
+
+
 def load_files(spark: SparkSession, paths: Sequence[str], source_column: str = "fichier_source",
                order_column: str = "ordre_fichier_import", rules: Contract | None = None) -> DataFrame:
     """Union of several files that may differ in columns, with file name and import order."""
     out = None
-    for order, path in enumerate(paths):
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        part = read_csv(spark, path, rules).withColumns({source_column: F.lit(name), order_column: F.lit(order)})
+    for _, part in read_many(spark, paths, source_column, order_column, rules):
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise LoadError("no file was given")
     return out
 
 
+def compile_files(spark: SparkSession, paths: Sequence[str], common_only: bool = False, source_column: str | None = None) -> DataFrame:
+    """Stack files of the same columns (or of their common columns), optionally with their name."""
+    tables = read_many(spark, paths, "__source", None)
+    shared = set(tables[0][0])
+    for columns, _ in tables[1:]:
+        if common_only:
+            shared &= set(columns)
+        elif set(columns) != shared:
+            raise ValueError("the files differ in columns; use common_only")
+    if not shared:
+        raise ValueError("the files have no column in common")
+    label, n = source_column, 2
+    while label in shared:
+        label, n = f"{source_column}_fusion_{n}", n + 1
+    out = None
+    for _, df in tables:
+        part = df.select(*sorted(shared), *([F.col("__source").alias(label)] if label else []))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compile_standardized_files(spark: SparkSession, paths: Sequence[str], source_column: str | None = "Provenance") -> DataFrame:
+    """Stack files after standardising headers; ``nom_01``, ``nom_02`` fall back into ``nom``."""
+    out = None
+    for _, df in read_many(spark, paths, "__source", None):
+        part = _standardized(df, keep="__source")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    data = [c for c in out.columns if c != "__source"]
+    out = out.dropna(how="all", subset=data)
+    return out.withColumnRenamed("__source", source_column) if source_column else out.drop("__source")
+
+
 def compile_homogeneous(tables: Mapping[str, DataFrame], common_only: bool = False,
                         source_column: str | None = None) -> DataFrame:
     """Stack tables of the same columns (or of their common columns), optionally with their name."""
@@ -118,15 +220,34 @@ def standard_header(name: str) -> str:
     return key[:1].upper() + key[1:]
 
 
+def files_presence(spark: SparkSession, paths: Sequence[str], absent: str = "-") -> DataFrame:
+    """Which file has which column: one row per column name, one column per file, from the headers alone."""
+    return column_presence({p.rstrip("/").rsplit("/", 1)[-1]: df for p, df in _headers(spark, paths).items()}, absent)
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFrame]:
+    known = {_plain(p): p for p in paths}
+    found: dict[str, DataFrame] = {}
+    for file in sniff(spark, paths):
+        path = next((known[p] for p in _above(_plain(file["path"])) if p in known), None)
+        if path is not None and path not in found and file["first"]:
+            width = len(file["first"].split(file["separator"]))
+            row = spark.range(1).select(fields(F.lit(file["first"]), [str(i) for i in range(width)], file["separator"]).alias("h")).select("h.*").first()
+            found[path] = spark.createDataFrame([], ", ".join(f"`{n.strip()}` string" for n in row if n))
+    return {p: found[p] for p in paths if p in found}
+
+
+def _standardized(df: DataFrame, keep: str | None = None) -> DataFrame:
+    headers = [c if c == keep else standard_header(c) for c in df.columns]
+    bases = [m.group(1) if (m := re.match(r"^(.+)_\d{2,}$", h)) and m.group(1) in headers else h for h in headers]
+    return coalesce_named(df, bases)
+
+
 def compile_standardized(tables: Mapping[str, DataFrame], source_column: str | None = "Provenance") -> DataFrame:
     """Stack tables after standardising headers; ``nom_01``, ``nom_02`` fall back into ``nom``."""
-    import re
-
     out = None
     for name, df in tables.items():
-        headers = [standard_header(c) for c in df.columns]
-        bases = [m.group(1) if (m := re.match(r"^(.+)_\d{2,}$", h)) and m.group(1) in headers else h for h in headers]
-        part = coalesce_named(df, bases)
+        part = _standardized(df)
         if source_column:
             part = part.withColumn(source_column, F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -142,49 +263,38 @@ def column_presence(tables: Mapping[str, DataFrame], absent: str = "-") -> DataF
     return wide.select("Colonne", *[F.coalesce(F.col(f"`{t}`"), F.lit(absent)).alias(t) for t in tables])
 
 
-def promote_header(spark: SparkSession, path: str, first_field: str = "Receipt No.", separator: str = ",",
+def promote_header(spark: SparkSession, path: str | Sequence[str], first_field: str = "Receipt No.", separator: str = ",",
                    source_column: str = "fichier_source") -> DataFrame:
     """Statements whose real header comes after descriptive lines, found separately in each file.
 
     The header is the first line of a file that starts with ``first_field``; later lines like it are left out, as are blank ones. Every
-    other line after it is a row; missing trailing fields are null. A line is placed by its block and its order there, so files stay
-    splittable, except those in which a line leaves a quote open: their lines are joined to records in one task per file. Different
-    headers are collected, since they decide the columns; their number is that of the layouts, not of the files.
+    other line after it is a row; missing trailing fields are null. Files stay splittable, those whose quoted fields go over line ends too
+    (see ``records``). Different headers are collected, since they decide the columns; their number is that of the layouts, not of the files.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias(source_column), F.col("_metadata.file_path").alias("__file"),
-                                         F.col("_metadata.file_block_start").alias("__block"))
-    lines = lines.withColumn("__at", F.struct("__block", F.monotonically_increasing_id().alias("line"))).drop("__block")
-    stripped = strip(F.replace(F.col("value"), F.lit("﻿"), F.lit("")))
+    lines = read_lines(spark, path).withColumnRenamed("__name", source_column)
+    at, stripped = F.struct("__block", "__line"), strip(F.col("value"))
     is_header = F.startswith(F.replace(stripped, F.lit('"'), F.lit("")), F.lit(first_field))
-    place = F.when(is_header, F.col("__at"))
-    files = lines.groupBy("__file").agg(F.min_by(stripped, place).alias("__header"), F.min(place).alias("__from"),
-                                        F.bool_or(quotes(F.col("value")) % 2 == 1).alias("__open")).where("__from IS NOT NULL")
-    variants = files.groupBy("__header").agg(F.bool_or("__open").alias("open")).collect()
+    place = F.when(is_header, at)
+    files = lines.groupBy("__file").agg(F.min_by(stripped, place).alias("__header"), F.min(place).alias("__from")).where("__from IS NOT NULL")
+    below = lines.join(files, "__file").where(at > F.col("__from")).drop("__from")
+    opens = transitions(F.col("value"), separator)[0]
+    broken = below.groupBy("__file").agg(F.bool_or(opens).alias("__open"))
+    variants = files.join(broken, "__file", "left").groupBy("__header").agg(F.bool_or("__open").alias("open")).collect()
     if not variants:
         raise LoadError(f"{path}: no line starts with {first_field!r}")
-    body = lines.join(files, "__file").where(F.col("__at") > F.col("__from")).select("__file", "__header", "__open", "__at", source_column, "value")
+    body = below
     if any(v["open"] for v in variants):
-        body = body.where("NOT __open").unionByName(_records(body.where("__open"), source_column))
+        marked = below.join(broken, "__file")
+        body = marked.where("NOT __open").drop("__open").unionByName(records(marked.where("__open").drop("__open"), separator))
     rows = body.where(~is_header & (stripped != ""))
     out = None
     for variant in sorted(v["__header"] for v in variants):
         names = [n.strip().strip('"') for n in variant.split(separator)]
-        fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"', "multiLine": "true"})
-        part = rows.where(F.col("__header") == variant).select(fields.alias("__fields"), source_column).select("__fields.*", source_column)
+        part = rows.where(F.col("__header") == variant).select(fields(F.col("value"), names, separator).alias("__fields"), source_column).select("__fields.*", source_column)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def _records(lines: DataFrame, source_column: str) -> DataFrame:
-    """Lines joined with the following ones as long as a quote is open."""
-    order = Window.partitionBy("__file").orderBy("__at")
-    before = F.coalesce(F.sum(quotes(F.col("value"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.withColumn("__starts", F.when(before % 2 == 0, 1).otherwise(0)).withColumn("__record", F.sum("__starts").over(order))
-    parts = F.array_sort(F.collect_list(F.struct("__at", "value")))
-    return numbered.groupBy("__file", "__header", "__open", source_column, "__record").agg(
-        F.min("__at").alias("__at"), F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value")).drop("__record")
-
-
 def with_lineage(df: DataFrame, row_numbers: bool = False, first: int = 2) -> DataFrame:
     """Source file of each row of a file read as it is and, on request, the row's line in its file; the line after a header is ``first``.
 

@@ -82,3 +82,70 @@ def test_export_and_column_presence(spark, tmp_path):
     assert sorted(d for d in os.listdir(path) if d.startswith("zone")) == ["zone=N", "zone=S"]
     table = S.column_presence({"a": df, "b": df.drop("vide")}).orderBy("Colonne").collect()
     assert [tuple(r) for r in table] == [("v", "v", "v"), ("vide", "vide", "-"), ("zone", "zone", "zone")]
+
+
+def test_a_stray_quote_loses_no_row(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    write(f"{folder}/one.csv", 'Receipt No.,Details,Paid In\nR1,12" tube,10\nR2,x,20\nR3,y,30\n')
+    write(f"{folder}/two.csv", 'Receipt No.,Details,Paid In\nR4,"open,10\nR5,x,20\nR6,y "z" w,30\n')
+    out = S.promote_header(spark, folder).orderBy("`Receipt No.`").collect()
+    assert [(r["Receipt No."], r["Details"], r["Paid In"]) for r in out][:3] == [("R1", '12" tube', "10"), ("R2", "x", "20"), ("R3", "y", "30")]
+    assert [r["Receipt No."] for r in out] == ["R1", "R2", "R3", "R4", "R5", "R6"]
+    read = S.read_csv(spark, f"{folder}/one.csv")
+    assert read.count() == 3
+
+
+def _split_records(text, sep=","):
+    """Brute force, letter by letter."""
+    out, now, inside, start, i = [], "", False, True, 0
+    while i < len(text):
+        ch, after = text[i], text[i + 1:i + 2]
+        if inside and ch == '"' and after == '"':
+            now, i = now + '""', i + 2
+            continue
+        if inside and ch == '"' and (after in ("", sep, "\n")):
+            inside = False
+        elif not inside and ch == '"' and start:
+            inside = True
+        start = not inside and ch in (sep, "\n")
+        if ch == "\n" and not inside:
+            out.append(now)
+            now = ""
+        else:
+            now += ch
+        i += 1
+    return [r for r in [*out, *(now.split("\n") if inside else [now])] if r]
+
+
+def test_records_are_cut_in_parallel(spark, tmp_path):
+    import random
+
+    from comptoir.sources import records as R
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        wanted = []
+        for seed in range(12):
+            rng = random.Random(seed)
+            text = "".join(rng.choice(['"', '"', ",", "\n", "\n", "a", "bc", ' ']) for _ in range(400))
+            write(str(tmp_path / "r" / f"{seed}.csv"), text)
+            wanted += [(f"{seed}.csv", r) for r in _split_records(text)]
+        write(str(tmp_path / "r" / "long.csv"), '"' + "x\n" * 300 + '",1\n"' + "y" * 5000 + '"\n')
+        wanted += [("long.csv", '"' + "x\n" * 300 + '",1'), ("long.csv", '"' + "y" * 5000 + '"')]
+        lines = R.read_lines(spark, str(tmp_path / "r"))
+        assert lines.select("__file", "__block").distinct().count() > 40
+        found = R.records(lines, ",").where("value <> ''").orderBy("__name", "__block", "__line").collect()
+        assert sorted((r["__name"], r["value"]) for r in found) == sorted(wanted)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
+def test_many_files_of_few_headers(spark, tmp_path):
+    paths = [write(str(tmp_path / f"f {i}.csv"), f"nom;n\nA{i};{i}\n" if i % 2 else f'n,"nom",x\n{i},"A\n{i}",1\n') for i in range(9)]
+    assert len(S.read_many(spark, paths)) == 2
+    out = {r["ordre_fichier_import"]: r for r in S.load_files(spark, paths).collect()}
+    assert {i: (r["nom"], r["n"], r["fichier_source"]) for i, r in out.items()} == {i: (f"A{i}" if i % 2 else f"A\n{i}", str(i), f"f {i}.csv") for i in range(9)}
+    assert sorted(S.compile_files(spark, paths, common_only=True, source_column="nom").columns) == ["n", "nom", "nom_fusion_2"]
+    assert S.compile_standardized_files(spark, paths).columns.count("Provenance") == 1
+    with pytest.raises(S.LoadError):
+        S.load_files(spark, [*paths, write(str(tmp_path / "none.csv"), "")])
