@@ -15,7 +15,7 @@ from comptoir.operators import receipts as R
 from comptoir.operators import wallet as W
 from comptoir.registry import views as V
 from comptoir.registry.base import register
-from comptoir.registry.sqltext import M, big, cnt, div, dsum, fsum, m
+from comptoir.registry.sqltext import M, avg, big, cnt, div, dsum, fsum, m
 
 DAY = dt.date(2001, 8, 1)
 START, END = dt.date(2024, 1, 8), dt.date(2024, 1, 28)
@@ -1184,16 +1184,63 @@ def m29a(spark, sf):
     return series(spark, sf)
 
 
-@register("M29_forecast")
+def _clip(x, low, high):
+    return f"least(greatest({x}, {low}), {high})"
+
+
+def _forecast_ctes(folds=1):
+    """The series, the means at every origin and the days after it. Sums of amounts are exact, sums of errors go in the order of days."""
+    week = ", ".join(f"{avg('valeur', f'isodow(jour) = {d}')} AS j{d}" for d in range(1, 8))
+    factors = ", ".join(f"coalesce({_clip(f'j{d} / CASE WHEN fond = 0 THEN 1 ELSE fond END', '0.25::DOUBLE', '4::DOUBLE')}, 1::DOUBLE)" for d in range(1, 8))
+    small = "CAST(0.01 AS DOUBLE) * niveau"
+    trend = _clip("(tard - tot) / 14", f"-({small})", small)
+    return f"""series AS ({_series_sql()}), spans AS (
+  SELECT indicateur, currency_code, min(jour) AS debut, max(jour) AS fin, date_diff('day', min(jour), max(jour)) + 1 AS n, least(14, (date_diff('day', min(jour), max(jour)) + 1) // 4) AS retenus FROM series GROUP BY 1, 2
+), ends AS (
+  SELECT *, n - origine * retenus AS jusqu FROM (SELECT *, unnest(range({folds + 1})) AS origine FROM spans) WHERE origine = 0 OR n - origine * retenus >= 14
+), days AS (
+  SELECT e.*, jour, valeur, date_diff('day', debut, jour) + 1 AS place FROM series JOIN ends e USING (indicateur, currency_code)
+), means AS (
+  SELECT indicateur, currency_code, debut, n, retenus, origine, jusqu, {avg('valeur', 'place > jusqu - 28')} AS niveau, {avg('valeur')} AS fond, {avg('valeur', 'place > jusqu - 14')} AS tard,
+    {avg('valeur', 'place > greatest(jusqu - 28, 0) AND place <= greatest(jusqu - 28, 0) + 14')} AS tot, {week}
+  FROM days WHERE place <= jusqu AND place > jusqu - 56 GROUP BY ALL
+), ahead AS (
+  SELECT *, CAST(debut + CAST(jusqu - 1 + pas AS INTEGER) AS DATE) AS date FROM (
+    SELECT *, [{factors}] AS facteurs, {trend} AS tendance, unnest(range(1, CASE WHEN origine > 0 THEN retenus + 1 WHEN n >= 28 THEN 16 ELSE 2 END)) AS pas FROM means)
+), projected AS (
+  SELECT *, CASE WHEN niveau > 0 THEN greatest((niveau + tendance * least(pas, 14)) * facteurs[isodow(date)], 0) ELSE 0 END::DOUBLE AS prevision FROM ahead
+), errors AS (
+  SELECT p.indicateur, p.currency_code, p.origine, p.pas, s.valeur, s.valeur - prevision AS ecart FROM projected p JOIN series s ON s.indicateur = p.indicateur AND s.currency_code = p.currency_code AND s.jour = p.date WHERE origine > 0
+), tested AS (
+  SELECT *, entier / jours AS mae, entier / nullif(observe, 0) * 100 AS wape_pct, sqrt(carres / jours) AS rmse FROM (
+    SELECT indicateur, currency_code, count(*) AS jours, {fsum('abs(valeur)')} AS observe, list_reduce(list_concat([0::DOUBLE], list(abs(ecart) ORDER BY origine, pas)), lambda a, x: a + x) AS entier,
+      list_reduce(list_concat([0::DOUBLE], list(ecart * ecart ORDER BY origine, pas)), lambda a, x: a + x) AS carres FROM errors GROUP BY 1, 2)
+), predicted AS (
+  SELECT p.indicateur, p.currency_code, p.date, CASE WHEN n >= 28 THEN prevision END AS prevision, CASE WHEN n >= 28 THEN greatest(prevision - CAST(1.2816 AS DOUBLE) * rmse, 0) END AS borne_basse,
+    CASE WHEN n >= 28 THEN prevision + CAST(1.2816 AS DOUBLE) * rmse END AS borne_haute, CASE WHEN n >= 28 THEN mae END AS mae, CASE WHEN n >= 28 THEN wape_pct END AS wape_pct,
+    CASE WHEN n >= 28 THEN CASE WHEN wape_pct <= 20 THEN 'Bonne' WHEN wape_pct <= 40 THEN 'Acceptable' ELSE 'Prudence' END END AS qualite, CASE WHEN n >= 28 THEN 'Calculee' ELSE 'Historique insuffisant' END AS statut
+  FROM projected p LEFT JOIN tested USING (indicateur, currency_code) WHERE origine = 0
+)"""
+
+
+@register("M29_forecast", f"WITH {_forecast_ctes()} SELECT * FROM predicted", EVT)
 def m29b(spark, sf):
     return FC.forecast(series(spark, sf), horizon=15)
 
 
-@register("M29_forecast_summary")
+@register("M29_forecast_summary", f"""WITH {_forecast_ctes()}
+SELECT indicateur, currency_code, CASE WHEN indicateur = 'clients_actifs' THEN {div(fsum('prevision'), 'count(*)')} ELSE {fsum('prevision')} END AS valeur_prevue_horizon, max(mae) AS mae, max(wape_pct) AS wape_pct, max(qualite) AS qualite
+FROM predicted WHERE statut = 'Calculee' GROUP BY 1, 2""", EVT)
 def m29c(spark, sf):
     return FC.forecast_summary(FC.forecast(series(spark, sf), horizon=15))
 
 
+@register("M29_backtest", f"WITH {_forecast_ctes(2)} SELECT indicateur, currency_code, jours, mae, wape_pct, rmse FROM tested", EVT)
+def m29d(spark, sf):
+    """Two origins, each with a quarter of the series held out."""
+    return FC.backtest(series(spark, sf), folds=2)
+
+
 # --- ledger controls ------------------------------------------------------------------------------------------
 
 def faulty_ledger(spark, sf):

@@ -166,6 +166,45 @@ def test_forecast_of_a_constant_series(spark):
     assert out.where("statut = 'Historique insuffisant'").count() == 1
 
 
+def _projected(values, weekdays, ahead):
+    """The forecast of one series, day by day."""
+    recent, pattern = values[-28:], values[-56:]
+    level, base = sum(recent) / len(recent), sum(pattern) / len(pattern) or 1.0
+    if level <= 0:
+        return [0.0] * len(ahead)
+    factors = []
+    for day in range(7):
+        same = [v for v, w in zip(pattern, weekdays[-56:]) if w == day]
+        factors.append(min(max(sum(same) / len(same) / base, 0.25), 4.0) if same else 1.0)
+    trend = (sum(recent[-14:]) / len(recent[-14:]) - sum(recent[:14]) / len(recent[:14])) / 14
+    trend = min(max(trend, -0.01 * level), 0.01 * level)
+    return [max((level + trend * min(step, 14)) * factors[w], 0.0) for step, w in enumerate(ahead, 1)]
+
+
+@pytest.mark.parametrize("size, folds", [(27, 1), (28, 1), (40, 2), (61, 1), (130, 3)])
+def test_forecast_and_back_test_against_one_series_at_a_time(spark, size, folds):
+    import random
+
+    rng = random.Random(size)
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(size)]
+    values = [float(rng.choice([0, 5, 10, 40]) + i % 7 * 3 + i / 4) for i in range(size)]
+    series = spark.createDataFrame([("volume", "CDF", d, v) for d, v in zip(days, values)] + [("volume", "USD", d, 0.0) for d in days], "indicateur string, currency_code string, jour date, valeur double")
+    out = FC.forecast(series, 20, folds=folds).where("currency_code = 'CDF'").orderBy("date").collect()
+    if size < 28:
+        assert [(r["statut"], r["prevision"]) for r in out] == [("Historique insuffisant", None)]
+        return
+    week = [d.weekday() for d in days]
+    ahead = [(days[-1] + dt.timedelta(days=i)).weekday() for i in range(1, 21)]
+    assert [round(r["prevision"], 8) for r in out] == [round(v, 8) for v in _projected(values, week, ahead)]
+    held, errors = min(14, size // 4), []
+    for k in range(1, folds + 1):
+        end = size - k * held
+        if end >= 14:
+            errors += [(a - p, a) for a, p in zip(values[end:end + held], _projected(values[:end], week[:end], week[end:end + held]))]
+    assert abs(out[0]["mae"] - sum(abs(e) for e, _ in errors) / len(errors)) < 1e-9
+    assert abs(out[0]["wape_pct"] - 100 * sum(abs(e) for e, _ in errors) / sum(a for _, a in errors)) < 1e-9
+
+
 def test_operators_do_not_depend_on_partitioning(spark, story):
     many = story.unionByName(story.withColumns({"customer_id": F.lit("C2"), "id": F.concat(F.lit("b"), "id")}))
     one, eight = (sorted(map(str, W.credit_summary(W.events(many.repartition(n))).collect())) for n in (1, 8))
