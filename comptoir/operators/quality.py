@@ -171,35 +171,52 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequ
     )
 
 
+def column_fingerprints(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(segment, position, remplies, empreinte): columns whose comparable texts are equal on every row of a segment share a fingerprint.
+
+    It adds up hashes of (row, text), so it depends on no order; a row is known by a hash of all its columns.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    hashes = {f"__h{i}": F.xxhash64(F.col("__row"), F.coalesce(token(df, c), F.lit("\u0000"))) for i, c in enumerate(columns)}
+    filled = {f"__f{i}": token(df, c).isNotNull() for i, c in enumerate(columns)}
+    keyed = df.withColumn("__row", row).select(*by, *[h.alias(n) for n, h in hashes.items()], *[f.alias(n) for n, f in filled.items()])
+    measures = []
+    for i in range(len(columns)):
+        h = F.col(f"__h{i}")
+        measures += [count_if(F.col(f"__f{i}")).alias(f"n{i}"), *[F.sum(F.shiftrightunsigned(h, at).bitwiseAND(0xFFFFFF)).alias(f"s{i}_{at}") for at in (0, 24)]]
+    wide = keyed.groupBy(*by).agg(*measures)
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"n{i}").alias("remplies"), F.struct(F.col(f"s{i}_0").alias("a"), F.col(f"s{i}_24").alias("b")).alias("empreinte"))
+                      for i in range(len(columns))])
+    return wide.select(*by, F.inline(cells))
+
+
 def redundant_pairs(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of columns equal on every row, exactly or after normalisation.
 
-    The number of pairs depends on the columns, not on the rows: each pair is one mismatch counter in a single
-    aggregation with map-side combining.
+    Only pairs that share a fingerprint in some segment are compared cell by cell, so expressions grow with the columns and not
+    with their square; the pairs collected are at most those of the columns.
     """
     names = [c for c in (columns or df.columns) if c not in by]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    marks = column_fingerprints(df, names, by).where("remplies > 0")
+    alike = marks.groupBy(*by, "empreinte").agg(F.array_sort(F.collect_set("position")).alias("p")).where(F.size("p") > 1)
+    met = alike.select("p").distinct().collect()
+    pairs = sorted({(x, y) for r in met for i, x in enumerate(r["p"]) for y in r["p"][i + 1:] if names[x] != names[y]})
 
     def exact(c: str) -> tuple[Column, Column]:
         return X.none_if_blank(F.col(c)).isNull(), F.col(c).cast("string")
 
-    measures = []
-    for i, (a, b) in enumerate(pairs):
-        same_type = df.schema[a].dataType == df.schema[b].dataType
+    measures, kinds = [], []
+    for i, (x, y) in enumerate(pairs):
+        a, b = names[x], names[y]
         (ea, va), (eb, vb) = exact(a), exact(b)
-        equal = ((ea & eb) | (~ea & ~eb & (va == vb))) if same_type else (ea & eb)
-        measures += [
-            count_if(~F.coalesce(equal, F.lit(False))).alias(f"x{i}"),
-            count_if(~token(df, a).eqNullSafe(token(df, b))).alias(f"y{i}"),
-            count_if(token(df, a).isNotNull() | token(df, b).isNotNull()).alias(f"z{i}"),
-        ]
+        equal = ((ea & eb) | (~ea & ~eb & (va == vb))) if df.schema[a].dataType == df.schema[b].dataType else (ea & eb)
+        measures += [count_if(~F.coalesce(equal, F.lit(False))).alias(f"x{i}"), count_if(~token(df, a).eqNullSafe(token(df, b))).alias(f"y{i}"),
+                     count_if(token(df, a).isNotNull() | token(df, b).isNotNull()).alias(f"z{i}")]
+        relation = F.when(F.col(f"z{i}") == 0, None).when(F.col(f"x{i}") == 0, "identiques").when(F.col(f"y{i}") == 0, "identiques_apres_normalisation")
+        kinds.append(F.struct(F.lit(a).alias("colonne_a"), F.lit(b).alias("colonne_b"), relation.alias("relation")))
     wide = df.groupBy(*by).agg(F.count("*").alias("lignes"), *measures)
-    kinds = F.array(*[
-        F.struct(F.lit(a).alias("colonne_a"), F.lit(b).alias("colonne_b"),
-                 F.when(F.col(f"z{i}") == 0, None).when(F.col(f"x{i}") == 0, "identiques")
-                 .when(F.col(f"y{i}") == 0, "identiques_apres_normalisation").alias("relation"))
-        for i, (a, b) in enumerate(pairs)])
-    return (wide.select(*by, "lignes", F.explode(kinds).alias("p")).select(*by, "p.*", "lignes")
+    listed = F.array(*kinds) if kinds else F.array().cast("array<struct<colonne_a:string,colonne_b:string,relation:string>>")
+    return (wide.select(*by, "lignes", F.explode(listed).alias("p")).select(*by, "p.*", "lignes")
             .where(F.col("relation").isNotNull()))
 
 

@@ -57,3 +57,22 @@ def test_filter_columns_have_no_default_cap(spark):
     df = spark.createDataFrame(rows, ", ".join(f"c{c} string" for c in range(7)))
     assert filters.pick_filter_columns(df) == [f"c{c}" for c in range(7)]
     assert filters.pick_filter_columns(df, max_columns=5, max_unique=80) == ["c0"]
+
+
+def test_redundant_pairs_by_fingerprint(spark):
+    rows = [(i, f"A {i}", f"a  {i}", f"A {i}", None, "", i % 2, "x" if i % 2 else "y") for i in range(50)] * 2
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string, d string, e string, s int, f string")
+    out = {(r["colonne_a"], r["colonne_b"]): (r["relation"], r["lignes"]) for r in Q.redundant_pairs(df, ["k", "a", "b", "c", "d", "e", "f"]).collect()}
+    assert out == {("a", "b"): ("identiques_apres_normalisation", 100), ("a", "c"): ("identiques", 100), ("b", "c"): ("identiques_apres_normalisation", 100)}
+    other = df.withColumn("c", F.when((F.col("k") == 3), "A 4").otherwise(F.col("c")))
+    by = {(r["s"], r["colonne_a"], r["colonne_b"]) for r in Q.redundant_pairs(other, ["a", "b", "c"], ["s"]).collect()}
+    assert by == {(0, "a", "b"), (0, "a", "c"), (0, "b", "c"), (1, "a", "b")}
+    assert Q.redundant_pairs(df, ["a"]).count() == 0 and Q.redundant_pairs(df.where("k < 0"), ["a", "c"]).count() == 0
+
+
+def test_filter_columns_are_counted_exactly_at_the_limit(spark):
+    from comptoir.operators import filters as FL
+    df = spark.createDataFrame([(f"p{i % 80}", f"q{i % 81}", f"r{i}", "one", None, " ") for i in range(4000)], "p string, q string, r string, one string, none string, blank string")
+    assert FL.pick_filter_columns(df, max_unique=80) == ["p"]
+    assert FL.pick_filter_columns(df, ["r", "zz"], max_unique=81) == ["r", "p", "q"]
+    assert FL.pick_filter_columns(df) == ["p", "q", "r"] and FL.pick_filter_columns(df, max_columns=1) == ["p"]
