@@ -396,14 +396,25 @@ def search(index: DataFrame, query: str) -> DataFrame:
     return index.where((F.lower("customer_id") == text) | (phone_key(F.col("telephone")) == phone) | F.contains(F.lower("nom_client"), F.lit(text)))
 
 
-def candidate_clients(matches: DataFrame, separator: str = " | ") -> DataFrame:
-    """One row per customer with the distinct names, phones and sources joined; distinct before collecting."""
-    out = None
-    for column, name in (("nom_client", "noms"), ("telephone", "telephones"), ("source", "sources")):
-        values = matches.select("customer_id", column).where(F.col(column).isNotNull()).distinct()
-        joined = values.groupBy("customer_id").agg(F.array_join(F.array_sort(F.collect_list(column)), separator).alias(name))
-        out = joined if out is None else out.join(joined, "customer_id", "full_outer")
-    return out
+def candidate_values(matches: DataFrame) -> DataFrame:
+    """(candidat, customer_id, champ, valeur, rang): the distinct names, phones and sources of each candidate, one a row, ranked by value.
+
+    A row without customer id is a candidate by its phone, without one by its name. Values are ranked across tasks, however many a
+    candidate has.
+    """
+    key = F.coalesce("customer_id", F.concat(F.lit("tel "), "telephone"), F.concat(F.lit("nom "), F.lower("nom_client")))
+    cells = F.array(*[F.struct(F.lit(n).alias("champ"), F.col(c).alias("valeur")) for c, n in (("nom_client", "nom"), ("telephone", "telephone"), ("source", "source"))])
+    rows = matches.select(key.alias("candidat"), "customer_id", F.inline(cells)).where("valeur IS NOT NULL").distinct()
+    return accumulate(rows, ["candidat", "champ"], [F.col("valeur"), F.col("customer_id")], row_number="rang")
+
+
+def candidate_lists(values: DataFrame, separator: str = " | ") -> DataFrame:
+    """One row per candidate with its values joined, for those whose values are few enough to be shown in a cell."""
+    def joined(kind: str) -> Column:
+        text = F.array_join(F.array_sort(F.collect_list(F.when(F.col("champ") == kind, F.col("valeur")))), separator)
+        return F.nullif(text, F.lit(""))
+
+    return values.groupBy("candidat", "customer_id").agg(joined("nom").alias("noms"), joined("telephone").alias("telephones"), joined("source").alias("sources"))
 
 
 def names_by_customer(*sources: tuple[DataFrame, Sequence[str]], separator: str = " | ") -> DataFrame:

@@ -308,11 +308,10 @@ def q13(spark, sf):
 
 
 @register("Q14_dormant_accounts", f"""
-SELECT s_suppkey AS compte_id, s_acctbal AS solde, CAST(date_diff('day', CAST(d AS DATE), {D}) AS INT) AS jours_inactivite FROM supplier LEFT JOIN (SELECT compte_id, max(date_operation) AS d FROM v_ledger WHERE date_operation < TIMESTAMP '2001-08-02' AND montant > 100000 GROUP BY 1) ON compte_id = s_suppkey
+SELECT s_suppkey AS compte_id, s_acctbal AS solde, CAST(date_diff('day', CAST(d AS DATE), {D}) AS INT) AS jours_inactivite FROM supplier LEFT JOIN (SELECT compte_id, max(date_operation) AS d FROM v_ledger WHERE date_operation < TIMESTAMP '2001-08-02' GROUP BY 1) ON compte_id = s_suppkey
 WHERE s_acctbal > 0 AND (d IS NULL OR date_diff('day', CAST(d AS DATE), {D}) >= 20)""", LED)
 def q14(spark, sf):
-    large = V.ledger(spark, sf).where("montant > 100000")
-    return Q.dormant_accounts(account_states(spark, sf), large, DAY, 20).select("compte_id", "solde", "jours_inactivite")
+    return Q.dormant_accounts(account_states(spark, sf), V.ledger(spark, sf), DAY, 20).select("compte_id", "solde", "jours_inactivite")
 
 
 @register("Q15_wrong_side", f"""

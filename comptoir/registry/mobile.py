@@ -81,11 +81,12 @@ def raw_receipts(spark, sf):
 
 
 @register("C24_receipt_amounts", """
-SELECT receipt_no, CASE WHEN phone LIKE '%3' THEN 'Transaction Amount' WHEN sens_flux = 'Entree' THEN 'Paid In' ELSE 'Withdrawn' END AS source_montant, sens_flux, montant,
+SELECT receipt_no, CASE WHEN phone LIKE '%3' THEN 'Transaction Amount' WHEN montant = 0 THEN NULL WHEN sens_flux = 'Entree' THEN 'Paid In' ELSE 'Withdrawn' END AS source_montant,
+  CASE WHEN montant = 0 THEN 'A verifier' ELSE sens_flux END AS sens_flux, CASE WHEN montant <> 0 OR phone LIKE '%3' THEN montant END AS montant,
   CASE WHEN sens_flux = 'Entree' THEN montant ELSE CAST(0 AS DOUBLE) END AS montant_entree, CASE WHEN sens_flux = 'Sortie' THEN montant ELSE CAST(0 AS DOUBLE) END AS montant_sortie,
-  date_trunc('second', completion_time) AS completion_time FROM v_receipts WHERE montant <> 0""", RCP)
+  date_trunc('second', completion_time) AS completion_time FROM v_receipts""", RCP)
 def c24(spark, sf):
-    out = R.prepare_receipts(raw_receipts(spark, sf)).where("montant <> 0")
+    out = R.prepare_receipts(raw_receipts(spark, sf))
     return out.select("receipt_no", "source_montant", "sens_flux", "montant", "montant_entree", "montant_sortie", "completion_time")
 
 
@@ -155,9 +156,10 @@ def j9(spark, sf):
 
 
 @register("J10_tolerance_match", f"""
-SELECT receipt_no, candidats_sortie, reference_sortie, ecart_minutes FROM v_match WHERE classe = '{R.PAYOUT}' AND candidats_sortie > 0""", MTC)
+SELECT receipt_no, candidats_sortie, reference_sortie, ecart_minutes FROM v_match WHERE classe = '{R.PAYOUT}'""", MTC)
 def j10(spark, sf):
-    return matched(spark, sf).where((F.col("classe") == R.PAYOUT) & (F.col("candidats_sortie") > 0)).select(
+    """All payouts, those without a candidate too."""
+    return matched(spark, sf).where(F.col("classe") == R.PAYOUT).select(
         "receipt_no", "candidats_sortie", "reference_sortie", "ecart_minutes")
 
 
@@ -446,15 +448,18 @@ def w7(spark, sf):
     return W.statement(journal(spark, sf), openings(spark, sf)).select("customer_id", "currency_code", "event_key", "rang", "solde_apres", "solde_institution", "solde_reel")
 
 
-@register("W8_repeated_entries", """
-SELECT account_type, count(*) AS lignes, max(n) AS repetitions FROM (SELECT *, count(*) OVER (PARTITION BY customer_id, account_type, reference_id, currency_code, dr, cr) AS n FROM (SELECT * REPLACE (CAST(date_trunc('day', created_at) AS TIMESTAMP) AS created_at) FROM v_journal))
-WHERE n > 1 GROUP BY 1 HAVING false
-UNION ALL SELECT account_type, count(*), 2 FROM v_journal GROUP BY 1""", JRN)
+@register("W8_repeated_entries", f"""
+WITH d AS (SELECT * FROM v_journal UNION ALL SELECT * REPLACE (id + 1000000000000 AS id, CASE WHEN id % 3 = 1 THEN bal_after + 1 ELSE bal_after END AS bal_after) FROM v_journal WHERE id % 3 < 2),
+n AS (SELECT account_type, count(*) OVER (PARTITION BY customer_id, account_type, reference_id, currency_code, dr, cr, created_at) AS r,
+  count(*) OVER (PARTITION BY customer_id, msisdn1, account_type, description, currency_code, dr, cr, bal_before, bal_after, reference_id, ref_no, created_at) AS e FROM d)
+SELECT account_type, count(*) AS lignes, {cnt('r > 1')} AS repetees, {cnt('e > 1')} AS exactes, max(r) AS repetitions, max(e) AS copies FROM n GROUP BY 1""", JRN)
 def w8(spark, sf):
-    ledger = V.journal(spark, sf)
-    doubled = ledger.unionByName(ledger.withColumn("id", F.col("id") + F.lit(10 ** 12)))
-    found = W.with_repetitions(doubled).where("doublons_exacts > 1 AND ecritures_repetees > 1")
-    return found.groupBy("account_type").agg((F.count("*") / 2).cast("bigint").alias("lignes"), F.max("ecritures_repetees").cast("int").alias("repetitions"))
+    """The whole ledger, two thirds of it loaded again, half of that with another balance."""
+    ledger, third = V.journal(spark, sf), F.col("id") % 3
+    again = ledger.where(third < 2).withColumns({"id": F.col("id") + F.lit(10 ** 12), "bal_after": F.when(third == 1, F.col("bal_after") + 1).otherwise(F.col("bal_after"))})
+    found = W.with_repetitions(ledger.unionByName(again))
+    return found.groupBy("account_type").agg(F.count("*").alias("lignes"), F.count(F.when(F.col("ecritures_repetees") > 1, 1)).alias("repetees"), F.count(F.when(F.col("doublons_exacts") > 1, 1)).alias("exactes"),
+                                             F.max("ecritures_repetees").alias("repetitions"), F.max("doublons_exacts").alias("copies"))
 
 
 @register("W9_baseline_comparison", f"""
@@ -553,11 +558,22 @@ def m6(spark, sf):
     return W.search(found, "12").unionByName(W.search(found, "0810000012")).unionByName(W.search(found, "Client 12")).distinct()
 
 
-@register("A52_search_candidates", """
-WITH i AS (SELECT DISTINCT CAST(customer_id AS VARCHAR) AS customer_id, msisdn1 AS t, CAST(NULL AS VARCHAR) AS n, 'journal' AS s FROM v_journal UNION SELECT DISTINCT CAST(client_id AS VARCHAR), nullif(trim(telephone), ''), nom_client, 'clients' FROM v_clients)
-SELECT customer_id, string_agg(DISTINCT n, ' | ' ORDER BY n) AS noms, string_agg(DISTINCT t, ' | ' ORDER BY t) AS telephones, string_agg(DISTINCT s, ' | ' ORDER BY s) AS sources FROM i GROUP BY 1""", ("v_journal", "v_clients"))
+INDEX = """SELECT DISTINCT CAST(customer_id AS VARCHAR) AS customer_id, msisdn1 AS t, CAST(NULL AS VARCHAR) AS n, 'journal' AS s FROM v_journal
+  UNION SELECT CAST(client_id AS VARCHAR), nullif(trim(telephone), ''), nom_client, 'clients' FROM v_clients UNION SELECT NULL, nullif(trim(phone), ''), nullif(trim(nom_client), ''), 'recus' FROM v_receipts"""
+CANDIDATES = f"""SELECT DISTINCT coalesce(customer_id, 'tel ' || t, 'nom ' || lower(n)) AS candidat, customer_id, unnest(['nom', 'telephone', 'source']) AS champ, unnest([n, t, s]) AS valeur FROM ({INDEX})"""
+INDEXED = ("v_journal", "v_clients", "v_receipts")
+
+
+@register("A52_candidate_values", f"""SELECT *, row_number() OVER (PARTITION BY candidat, champ ORDER BY valeur) AS rang FROM ({CANDIDATES}) WHERE valeur IS NOT NULL""", INDEXED)
+def a52_rows(spark, sf):
+    return W.candidate_values(index(spark, sf))
+
+
+@register("A52_search_candidates", f"""
+SELECT candidat, customer_id, string_agg(valeur, ' | ' ORDER BY valeur) FILTER (champ = 'nom') AS noms, string_agg(valeur, ' | ' ORDER BY valeur) FILTER (champ = 'telephone') AS telephones,
+  string_agg(valeur, ' | ' ORDER BY valeur) FILTER (champ = 'source') AS sources FROM ({CANDIDATES}) WHERE valeur IS NOT NULL GROUP BY 1, 2""", INDEXED)
 def a52(spark, sf):
-    return W.candidate_clients(index(spark, sf).where("source <> 'recus'"))
+    return W.candidate_lists(W.candidate_values(index(spark, sf)))
 
 
 # --- receipts: syntheses --------------------------------------------------------------------------------------
@@ -723,12 +739,16 @@ def m14b(spark, sf):
     return P.depositor_portfolio(V.savings(spark, sf), DAY)
 
 
+MONTHLY = P.RATES["credit_lender"] + P.RATES["credit_partner"]
 V.VIEW_SQL["v_risk"] = f"""
-WITH l AS (SELECT customer_id, currency_code, {dsum('loan_balance')} AS e, max(CASE WHEN loan_balance > 0 THEN greatest({D} - due_date, 0) END) AS retard FROM v_loans WHERE created_at IS NULL OR created_at < TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY 1, 2),
+WITH l AS (SELECT customer_id, currency_code, {dsum('loan_balance')} AS e, max(CASE WHEN loan_balance > 0 THEN greatest({D} - due_date, 0) END) AS retard,
+  {fsum(f"loan_amount * CAST({MONTHLY / 100!r} AS DOUBLE) * greatest((due_date - CAST(created_at AS DATE)) / CAST(30.4375 AS DOUBLE), CAST(0 AS DOUBLE))", 'loan_balance > 0')} AS interet FROM v_loans WHERE created_at IS NULL OR created_at < TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY 1, 2),
 s AS (SELECT customer_id, currency_code, {dsum('balance', "account_type = 'NORMAL SAVINGS'")} AS o, {dsum('balance', "account_type = 'FIXED SAVINGS'")} AS d, max(CASE WHEN account_type = 'FIXED SAVINGS' AND balance > 0 THEN maturity_date - date_approved END) AS duree,
-  min(CASE WHEN account_type = 'FIXED SAVINGS' AND balance > 0 AND maturity_date >= {D} THEN maturity_date - {D} END) AS proche FROM v_savings GROUP BY 1, 2),
+  min(CASE WHEN account_type = 'FIXED SAVINGS' AND balance > 0 AND maturity_date >= {D} THEN maturity_date - {D} END) AS proche,
+  {fsum(f"balance * CAST({P.RATES['dat_client'] / 100!r} AS DOUBLE) * (maturity_date - date_approved) / 365", "account_type = 'FIXED SAVINGS' AND balance > 0")} AS cout FROM v_savings GROUP BY 1, 2),
 b AS (SELECT coalesce(l.customer_id, s.customer_id) AS customer_id, coalesce(l.currency_code, s.currency_code) AS currency_code, CAST(coalesce(e, 0) AS DOUBLE) AS encours_credit, CAST(coalesce(o, 0) AS DOUBLE) AS compte_ouvert, CAST(coalesce(d, 0) AS DOUBLE) AS encours_dat,
-  CAST(coalesce(o, 0) + coalesce(d, 0) AS DOUBLE) AS epargne_totale, CAST(coalesce(retard, 0) AS INT) AS retard_max_jours, CAST(duree AS INT) AS duree_dat_max_jours, CAST(proche AS INT) AS prochaine_echeance_jours
+  CAST(coalesce(o, 0) + coalesce(d, 0) AS DOUBLE) AS epargne_totale, CAST(coalesce(retard, 0) AS INT) AS retard_max_jours, CAST(duree AS INT) AS duree_dat_max_jours, CAST(proche AS INT) AS prochaine_echeance_jours,
+  coalesce(interet, CAST(0 AS DOUBLE)) * CAST({P.RATES['credit_lender'] / MONTHLY!r} AS DOUBLE) - coalesce(cout, CAST(0 AS DOUBLE)) AS marge_estimee
   FROM l FULL JOIN s ON l.customer_id = s.customer_id AND l.currency_code = s.currency_code)
 SELECT *, epargne_totale / nullif(encours_credit, 0) * 100 AS couverture_epargne_pct, encours_dat / nullif(encours_credit, 0) * 100 AS couverture_dat_pct, encours_credit / nullif(epargne_totale, 0) * 100 AS taux_credit_epargne_pct,
   encours_credit / nullif(encours_dat, 0) * 100 AS taux_credit_dat_pct, greatest(encours_credit - epargne_totale, CAST(0 AS DOUBLE)) AS exposition_nette, greatest(encours_credit - encours_dat, CAST(0 AS DOUBLE)) AS exposition_nette_dat,
@@ -768,18 +788,18 @@ def m12c(spark, sf):
 
 ALERTS = [("credit_sans_epargne", "encours_credit > 0 AND epargne_totale = 0"), ("credit_superieur_epargne", "encours_credit > 0 AND encours_credit > epargne_totale"), ("credit_superieur_dat", "encours_credit > 0 AND encours_credit > encours_dat"),
           ("couverture_insuffisante", "encours_credit > 0 AND coalesce(couverture_epargne_pct, 0) < 100"), ("couverture_dat_insuffisante", "encours_credit > 0 AND coalesce(couverture_dat_pct, 0) < 100"),
-          ("retard_credit", "encours_credit > 0 AND retard_max_jours > 0"), ("dat_echeance_proche", "prochaine_echeance_jours <= 30"), ("dat_sans_credit", "encours_dat > 0 AND NOT encours_credit > 0")]
+          ("retard_credit", "encours_credit > 0 AND retard_max_jours > 0"), ("dat_echeance_proche", "prochaine_echeance_jours <= 30"), ("dat_sans_credit", "encours_dat > 0 AND NOT encours_credit > 0"), ("marge_negative", "marge_estimee < 0")]
 ALERT_SQL = "\nUNION ALL\n".join(f"SELECT customer_id, currency_code, '{a}' AS alerte, encours_credit, epargne_totale, encours_dat FROM v_risk WHERE {w}" for a, w in ALERTS)
 
 
 @register("D7_risk_alerts", ALERT_SQL, RSK)
 def d7(spark, sf):
-    return P.risk_alerts(risk(spark, sf)).where("alerte <> 'marge_negative'")
+    return P.risk_alerts(risk(spark, sf))
 
 
 @register("D7_alert_summary", f"SELECT currency_code, alerte, count(*) AS dossiers, {fsum('encours_credit')} AS montant FROM ({ALERT_SQL}) GROUP BY 1, 2", RSK)
 def d7b(spark, sf):
-    return P.alert_summary(P.risk_alerts(risk(spark, sf)).where("alerte <> 'marge_negative'"))
+    return P.alert_summary(P.risk_alerts(risk(spark, sf)))
 
 
 V.VIEW_SQL["v_credit_detail"] = f"""
@@ -1077,9 +1097,6 @@ def _between(col, a, b):
     return f"{col} >= TIMESTAMP '{a}' AND {col} < TIMESTAMP '{b + dt.timedelta(days=1)}'"
 
 
-NOW, BEFORE = _between("created_at", WINDOW["debut_courante"], WINDOW["fin_courante"]), _between("created_at", WINDOW["debut_precedente"], WINDOW["fin_precedente"])
-
-
 @register("M23_comparison_windows", f"""
 SELECT 'courante' AS fenetre, count(*) AS operations, min(CAST(created_at AS DATE)) AS premier, max(CAST(created_at AS DATE)) AS dernier FROM v_events WHERE created_at >= TIMESTAMP '2024-01-22' AND created_at < TIMESTAMP '2024-01-29'
 UNION ALL SELECT 'precedente', count(*), min(CAST(created_at AS DATE)), max(CAST(created_at AS DATE)) FROM v_events WHERE created_at >= TIMESTAMP '2024-01-15' AND created_at < TIMESTAMP '2024-01-22'""", EVT)
@@ -1093,26 +1110,35 @@ def m23(spark, sf):
     return out
 
 
-def _pair(key, cur, a, b, source, group):
-    return f"SELECT '{key}' AS indicateur, {cur} AS currency_code, CAST({a} AS DOUBLE) AS valeur_courante, CAST({b} AS DOUBLE) AS valeur_precedente FROM {source} WHERE ({NOW}) OR ({BEFORE}) {group}"
+FIX = "account_type = 'FIXED SAVINGS'"
+NEWSAV = "(SELECT *, CAST(DATE '2024-01-01' + CAST(customer_id % 30 AS INT) AS TIMESTAMP) AS created_at FROM v_savings)"
 
 
-G = "GROUP BY currency_code"
-FIX = "account_type = 'FIXED SAVINGS'"
-NEWSAV = f"(SELECT *, CAST(DATE '2024-01-01' + CAST(customer_id % 30 AS INT) AS TIMESTAMP) AS created_at FROM v_savings)"
-COMPARISON = "\nUNION ALL\n".join([
-    _pair("clients_actifs", "''", f"count(DISTINCT CASE WHEN {NOW} THEN customer_id END)", f"count(DISTINCT CASE WHEN {BEFORE} THEN customer_id END)", "v_events", ""),
-    _pair("operations", "''", cnt(NOW), cnt(BEFORE), "v_events", ""),
-    *[_pair(k, "currency_code", dsum(v, NOW), dsum(v, BEFORE), "v_events", G) for k, v in (
-        ("volume_transactions", "montant_operation"), ("remboursements", "(remboursement_portefeuille + remboursement_compte_ouvert)"), ("depots_dat", "depot_dat"), ("produits_observes", "(interet_observe + penalite_observee)"))],
-    _pair("nouveaux_credits", "''", cnt(NOW), cnt(BEFORE), RECENT, ""),
-    _pair("montant_nouveaux_credits", "currency_code", dsum("loan_amount", NOW), dsum("loan_amount", BEFORE), RECENT, G),
-    _pair("encours_credits_crees", "currency_code", dsum("loan_amount", NOW), dsum("loan_amount", BEFORE), RECENT, G),
-    _pair("nouveaux_comptes_ouverts", "''", cnt(f"({NOW}) AND NOT {FIX}"), cnt(f"({BEFORE}) AND NOT {FIX}"), NEWSAV, ""),
-    _pair("nouveaux_dat", "''", cnt(f"({NOW}) AND {FIX}"), cnt(f"({BEFORE}) AND {FIX}"), NEWSAV, ""),
-    _pair("encours_epargne_ouverte_creee", "currency_code", dsum("balance", f"({NOW}) AND NOT {FIX}"), dsum("balance", f"({BEFORE}) AND NOT {FIX}"), NEWSAV, G),
-    _pair("encours_dat_cree", "currency_code", dsum("balance", f"({NOW}) AND {FIX}"), dsum("balance", f"({BEFORE}) AND {FIX}"), NEWSAV, G),
-])
+def comparison_sql(windows, loans, savings, balance="loan_amount"):
+    """The thirteen indicators in both windows; the sources have a ``created_at``."""
+    now, before = (_between("created_at", windows[f"debut_{w}"], windows[f"fin_{w}"]) for w in ("courante", "precedente"))
+
+    def pair(key, cur, a, b, source):
+        group = "GROUP BY currency_code" if cur == "currency_code" else ""
+        return f"SELECT '{key}' AS indicateur, {cur} AS currency_code, CAST({a} AS DOUBLE) AS valeur_courante, CAST({b} AS DOUBLE) AS valeur_precedente FROM {source} WHERE ({now}) OR ({before}) {group}"
+
+    def counted(key, source, where="true"):
+        return pair(key, "''", cnt(f"({now}) AND {where}"), cnt(f"({before}) AND {where}"), source)
+
+    def added(key, source, value, where="true"):
+        return pair(key, "currency_code", dsum(value, f"({now}) AND {where}"), dsum(value, f"({before}) AND {where}"), source)
+
+    return "\nUNION ALL\n".join([
+        pair("clients_actifs", "''", f"count(DISTINCT CASE WHEN {now} THEN customer_id END)", f"count(DISTINCT CASE WHEN {before} THEN customer_id END)", "v_events"),
+        counted("operations", "v_events"), added("volume_transactions", "v_events", "montant_operation"),
+        added("remboursements", "v_events", "(remboursement_portefeuille + remboursement_compte_ouvert)"), added("depots_dat", "v_events", "depot_dat"),
+        added("produits_observes", "v_events", "(interet_observe + penalite_observee)"), counted("nouveaux_credits", loans),
+        added("montant_nouveaux_credits", loans, "loan_amount"), added("encours_credits_crees", loans, balance),
+        counted("nouveaux_comptes_ouverts", savings, f"NOT {FIX}"), counted("nouveaux_dat", savings, FIX),
+        added("encours_epargne_ouverte_creee", savings, "balance", f"NOT {FIX}"), added("encours_dat_cree", savings, "balance", FIX)])
+
+
+COMPARISON = comparison_sql(WINDOW, RECENT, NEWSAV)
 
 
 def new_savings(spark, sf):
@@ -1130,12 +1156,16 @@ def m24(spark, sf):
 YEARS = T.year_windows(dt.date(1999, 3, 1), dt.date(1999, 5, 31))
 
 
+APPROVED_SAVINGS = "(SELECT *, CAST(date_approved AS TIMESTAMP) AS created_at FROM v_savings)"
+
+
 @register("M25_year_over_year", f"""
-WITH a AS (SELECT currency_code, {dsum('loan_amount', _between('created_at', dt.date(1999, 3, 1), dt.date(1999, 5, 31)))} AS a, {dsum('loan_amount', _between('created_at', dt.date(1998, 3, 1), dt.date(1998, 5, 31)))} AS b FROM v_loans GROUP BY 1)
-SELECT 'montant_nouveaux_credits' AS indicateur, currency_code, CAST(a AS DOUBLE) AS valeur_courante, CAST(b AS DOUBLE) AS valeur_precedente, (CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) / nullif(CAST(b AS DOUBLE), 0) * 100 AS evolution_pct, 'Complete' AS couverture FROM a""", LON)
+WITH c AS (SELECT CASE WHEN count(*) = 0 THEN 'Non calculable' WHEN min(created_at) < TIMESTAMP '1998-03-02' AND max(created_at) >= TIMESTAMP '1999-05-31' THEN 'Complete' ELSE 'Partielle' END AS couverture FROM v_loans)
+SELECT indicateur, currency_code, valeur_courante, valeur_precedente, (valeur_courante - valeur_precedente) / nullif(valeur_precedente, 0) * 100 AS evolution_pct, couverture
+FROM ({comparison_sql(YEARS, 'v_loans', APPROVED_SAVINGS, 'loan_balance')}), c""", ("v_events", "v_loans", "v_savings"))
 def m25(spark, sf):
     loans = V.loans(spark, sf)
-    out = T.compare_periods(journal(spark, sf), loans, V.savings(spark, sf), YEARS).where("indicateur = 'montant_nouveaux_credits'")
+    out = T.compare_periods(journal(spark, sf), loans, V.savings(spark, sf), YEARS)
     covered = T.coverage(loans, YEARS).select("couverture").scalar()
     return out.select("indicateur", "currency_code", "valeur_courante", "valeur_precedente", "evolution_pct", covered.alias("couverture"))
 
