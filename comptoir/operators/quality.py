@@ -298,7 +298,7 @@ def suggest_deletions(df: DataFrame, row_key: str, columns: Sequence[str], prior
     scored = inside.withColumns({
         "nb_missing": missing_cells(df, missing_columns or df.columns).cast("bigint"), "resultat_prioritaire": priority})
     order = [F.col("resultat_prioritaire").desc(), F.col("nb_missing").asc(), F.col(row_key).asc()]
-    ranked = accumulate(scored, list(keys), order, row_number="rang_conservation")
+    ranked = accumulate(scored, list(keys), order, row_number="rang_conservation", ordered_by=["resultat_prioritaire", "nb_missing", row_key])
     first = F.col("rang_conservation") == 1
     return ranked.select(
         *df.columns, "nombre_occurrences", (F.col("nombre_occurrences") - 1).alias("lignes_dupliquees"), "nb_missing",

@@ -240,7 +240,8 @@ def statement(journal: DataFrame, openings: DataFrame | None = None) -> DataFram
     ``openings`` (customer_id, currency_code, ouverture) may cover some customers only; without an opening the
     balance is a net accumulation, and ``solde_reel`` says so.
     """
-    rows = journal.where("passe_par_portefeuille")
+    rows = journal.where("passe_par_portefeuille").select(
+        "customer_id", "currency_code", "created_at", "event_key", "type_operation", "entree_portefeuille", "sortie_portefeuille", "montant_entree", "montant_sortie")
     net = F.col("entree_portefeuille") - F.col("sortie_portefeuille")
     own = F.col("montant_entree") - F.col("montant_sortie")
     lines = accumulate(rows, ["customer_id", "currency_code"], [F.col("created_at"), F.col("event_key")], "rang",
@@ -268,7 +269,8 @@ def statement_summary(journal: DataFrame) -> DataFrame:
 def cumulative_flow(lines: DataFrame, entry: str = "entree_portefeuille", output: str = "sortie_portefeuille") -> DataFrame:
     """Net flow accumulated over time in each currency, whatever the number of operations in a currency."""
     net = F.col(entry) - F.col(output)
-    out = accumulate(lines, ["currency_code"], [F.col("created_at"), F.col("event_key"), F.col("customer_id")], amounts={"cumul_net": net})
+    out = accumulate(lines, ["currency_code"], [F.col("created_at"), F.col("event_key"), F.col("customer_id")], amounts={"cumul_net": net},
+                     ordered_by=["created_at", "event_key", "customer_id"])
     return out.withColumn("cumul_net", F.col("cumul_net").cast("double"))
 
 

@@ -34,11 +34,20 @@ def partition_count(df: DataFrame) -> int:
 
 
 def accumulate(df: DataFrame, by: Sequence[str], order: Sequence[Column], row_number: str | None = None,
-               sums: Mapping[str, Column] | None = None, amounts: Mapping[str, Column] | None = None) -> DataFrame:
+               sums: Mapping[str, Column] | None = None, amounts: Mapping[str, Column] | None = None,
+               ordered_by: Sequence[str] | None = None) -> DataFrame:
     """Add the row number and inclusive running sums of each group, in the given order.
 
-    ``sums`` are running sums of numbers, ``amounts`` exact running sums of money.
+    ``sums`` are running sums of numbers, ``amounts`` exact running sums of money. For wide rows ``ordered_by`` names the columns the
+    order is made of: then only they and what is summed are partitioned and written, and the results join the rows at the end.
     """
+    if ordered_by is not None:
+        keys = list(dict.fromkeys([*by, *ordered_by]))
+        given = {**{f"__m{i}": c for i, c in enumerate((sums or {}).values())}, **{f"__a{i}": c for i, c in enumerate((amounts or {}).values())}}
+        narrow = accumulate(
+            df.select(*keys, *[c.alias(n) for n, c in given.items()]), by, order, row_number,
+            {n: F.col(f"__m{i}") for i, n in enumerate(sums or {})}, {n: F.col(f"__a{i}") for i, n in enumerate(amounts or {})}).drop(*given)
+        return match_null_safe(df, narrow, keys, "inner")
     sums = dict(sums or {})
     halves = {}
     for name, value in (amounts or {}).items():
@@ -71,25 +80,40 @@ def accumulate(df: DataFrame, by: Sequence[str], order: Sequence[Column], row_nu
     return result.withColumns(whole_sums).drop(*[c for pair in halves.values() for c in pair]) if halves else result
 
 
+#: Parts an interval of values is cut into at each step of a quantile.
+PARTS = 1024
+
+
 def quantile_by(df: DataFrame, by: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile per group (one row per group), nulls ignored.
 
-    Equal values are counted first, so a value held by a third of all rows is one row from then on.
+    The two values the quantile lies between are found by narrowing an interval: its values are counted in PARTS equal parts, with
+    counts that add up on the map side, and the part that holds the wanted rank is the next interval, until it holds one value. No value
+    is sorted or moved; a step takes one pass and writes a row per group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    ranked = accumulate(counted, by, [F.col(value)], sums={"__upto": F.col("__n")})
-    sizes = counted.groupBy(*by).agg(F.sum("__n").alias("__size")) if by else None
-    if sizes is None:
-        size = counted.agg(F.sum("__n")).scalar()
-        placed = ranked.withColumn("__size", size)
-    else:
-        placed = match_null_safe(ranked, sizes, list(by), "inner")
-    position = (F.col("__size") - 1) * F.lit(float(q))
-    low, high = F.floor(position) + 1, F.ceil(position) + 1
-    first, last = F.col("__upto") - F.col("__n") + 1, F.col("__upto")
-    picked = placed.groupBy(*by).agg(
-        F.max(F.when(low.between(first, last), F.col(value))).alias("__low"),
-        F.max(F.when(high.between(first, last), F.col(value))).alias("__high"),
-        F.max(position - F.floor(position)).alias("__part"),
-    )
-    return picked.select(*by, (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias(name))
+    by = list(by)
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    facts = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    position = (F.col("__n") - 1) * F.lit(float(q))
+    ranks = F.array_distinct(F.array(F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")))
+    state = facts.where("__n > 0").select(*by, (position - F.floor(position)).alias("__part"), "__low", "__high", F.posexplode(ranks).alias("__which", "__rank"))
+    state = cut_lineage(state.select(*by, "__part", "__which", "__rank", "__low", "__high"))
+    # Every step makes the interval smaller, since its least and its greatest value fall into different parts.
+    while not (open_ := state.where("__low < __high")).isEmpty():
+        low, high, v = (F.col(c).cast("double") for c in ("__low", "__high", "__v"))
+        part = F.when(high > low, F.least(F.floor((v - low) / (high - low) * PARTS), F.lit(PARTS - 1))).otherwise((F.col("__v") > F.col("__low")).cast("bigint"))
+        if by:
+            met = match_null_safe(values, open_.withColumnRenamed("__part", "__p"), by, "inner")
+        else:
+            bounds = F.array(*[F.struct(F.lit(r["__part"]).alias("__p"), F.lit(r["__which"]).alias("__which"), F.lit(r["__rank"]).alias("__rank"),
+                                        F.lit(r["__low"]).cast(values.schema["__v"].dataType).alias("__low"), F.lit(r["__high"]).cast(values.schema["__v"].dataType).alias("__high")) for r in open_.collect()])
+            met = values.select("__v", F.inline(bounds))
+        inside = met.where(F.col("__v").between(F.col("__low"), F.col("__high")))
+        key = [*by, "__p", "__which", "__rank"]
+        counts = inside.groupBy(*key, part.alias("__slot")).agg(F.count("*").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        upto = F.sum("__c").over(Window.partitionBy(*key).orderBy("__slot"))
+        held = counts.withColumn("__upto", upto).where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__c")))
+        found = held.select(*by, F.col("__p").alias("__part"), "__which", (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__rank"), F.col("__least").alias("__low"), F.col("__most").alias("__high"))
+        state = cut_lineage(state.where("__low >= __high").unionByName(found))
+    picked = state.groupBy(*by).agg(F.min("__low").alias("__a"), F.max("__low").alias("__b"), F.max("__part").alias("__part"))
+    return picked.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))

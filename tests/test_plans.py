@@ -41,6 +41,26 @@ def test_quantile_equals_the_exact_percentile(spark):
     assert abs(quantile_by(df, [], "v", 0.37, "q").first()["q"] - whole) < 1e-9
 
 
+def test_quantile_of_few_values_ties_and_far_ones(spark):
+    rows = [(None, float(v)) for v in (1, 1, 1, 2)] + [("a", 5.0)] + [("b", None)] + [("c", v) for v in (1e-9, 1e12, 3.0, 3.0000001, -1e12, 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        wanted = {r["k"]: r["q"] for r in df.where("v IS NOT NULL").groupBy("k").agg(F.percentile("v", q).alias("q")).collect()}
+        assert {r["k"]: r["q"] for r in quantile_by(df, ["k"], "v", q, "q").collect()} == wanted
+    exact = quantile_by(df.select("k", F.col("v").cast("decimal(20,6)").alias("v")), ["k"], "v", 0.5, "q").where("k = 'c'").first()["q"]
+    assert float(exact) == 3.0
+    assert quantile_by(df.where("v > 1e13"), [], "v", 0.5).first()["quantile"] is None
+
+
+def test_wide_rows_join_their_running_sums(spark):
+    df = skewed(spark).withColumn("wide", F.repeat(F.lit("x"), 50))
+    order = [F.col("t").desc(), F.col("id").asc()]
+    plain = accumulate(df, ["k"], order, "rn", {"s": F.col("t")}, {"c": F.col("v")})
+    joined = accumulate(df, ["k"], order, "rn", {"s": F.col("t")}, {"c": F.col("v")}, ordered_by=["t", "id"])
+    assert sorted(plain.columns) == sorted(joined.columns)
+    assert sorted(map(str, plain.select("id", "wide", "rn", "s", "c").collect())) == sorted(map(str, joined.select("id", "wide", "rn", "s", "c").collect()))
+
+
 def test_nearest_equals_all_pairs(spark):
     rng = random.Random(9)
 
