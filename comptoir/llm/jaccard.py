@@ -233,13 +233,14 @@ def similar_sets(texts: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", *, n: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", *, n: int = 5, threshold: tuple[int, int] = (3, 4), key_column: str | None = None) -> DataFrame:
     """One row per row of ``df``: its columns without the text, ``n_shingles`` and ``component_id``, the smallest id of its component.
 
     Two documents link when the Jaccard similarity of their sets of distinct word ``n``-grams is at least ``threshold`` (a fraction, 1/2 or
     more). Fewer than ``n`` words make one shingle of the whole sequence; documents without words are linked with nothing and name
     themselves. Null ids take part in links and never name a component unless it has no other id (then null). Repeated rows stay, as rows of
-    one component. Columns of ``df`` named like new ones are replaced.
+    one component. Columns of ``df`` named like new ones are replaced. With ``key_column`` there is a key of the component besides, null
+    for documents without words; it tells components apart that share an id.
     """
     if not 2 * threshold[0] >= threshold[1] >= threshold[0] > 0:
         raise ValueError("the threshold must lie between 1/2 and 1")
@@ -249,6 +250,6 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     ids = keyed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.col(f"`{id_column}`")).alias("_id"))
     rooted = ids.join(roots, ids["set_key"] == roots["node"], "left").select("set_key", "_id", F.coalesce("root", "set_key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
-    names = rooted.join(least, "root").select("set_key", "component_id")
+    names = rooted.join(least, "root").select("set_key", "component_id", *([F.col("root").alias(key_column)] if key_column else []))
     joined = keyed.join(names, "set_key", "left")
     return joined.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col(f"`{id_column}`")).otherwise(F.col("component_id"))).drop("set_key")

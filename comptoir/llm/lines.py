@@ -41,58 +41,42 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", *, min
 def _keyed(df: DataFrame, text: str) -> tuple[Column, list[Column]]:
     """The text of ``df`` and the columns that stand for it in shuffles: hash and length."""
     value = F.col(f"`{text}`").cast("string")
-    return value, [F.xxhash64(value).alias("_k"), F.octet_length(value).alias("_n")]
+    return value, [F.xxhash64(value).alias("_spread_k"), F.octet_length(value).alias("_spread_n")]
 
 
-def _without(df: DataFrame, text: str, gone: DataFrame, max_share: float) -> DataFrame:
-    """``df`` without the lines that ``gone`` (_k, _n, _gone) lists for a text, unless these are more than ``max_share`` of its characters."""
+def _without(df: DataFrame, text: str, gone: DataFrame) -> DataFrame:
+    """``df`` without the lines that ``gone`` (_spread_k, _spread_n, _spread_gone) lists for a text."""
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     value, key = _keyed(df, text)
-    rows = df.select(*[F.col(f"`{c}`") for c in names], *key).join(gone, ["_k", "_n"], "left")
+    rows = df.select(*[F.col(f"`{c}`") for c in names], *key).join(gone, ["_spread_k", "_spread_n"], "left")
     split = F.split(value, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_gone"), F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))) | (F.trim(x) == ""))
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    rows = rows.withColumn("_new", F.array_join("_kept", "\n"))
-    cut = F.col("_gone").isNotNull() & ((F.length(value) - F.length("_new")) <= max_share * F.length(value))
-    rows = rows.withColumn("_cut", cut)
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_spread_gone"), F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))) | (F.trim(x) == ""))
+    rows = rows.withColumn("_spread_kept", F.when(F.col("_spread_gone").isNotNull(), kept))
+    rows = rows.withColumn("_spread_new", F.array_join("_spread_kept", "\n"))
+    rows = rows.withColumn("_spread_cut", F.col("_spread_gone").isNotNull())
     return rows.select(
-        *[F.when(F.col("_cut"), F.col("_new")).otherwise(value).alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        *[F.when(F.col("_spread_cut"), F.col("_spread_new")).otherwise(value).alias(c) if c == text else F.col(f"`{c}`") for c in names],
         F.when(value.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("_cut"), F.size(split) - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"))
+        F.when(F.col("_spread_cut"), F.size(split) - F.size("_spread_kept")).otherwise(0).cast("long").alias("n_removed"))
 
 
-def remove_spread_lines(df: DataFrame, text: str = "text", site: str = "source", *, min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
-    """``df`` with the spread lines taken out of ``text``, and the columns ``n_lines`` and ``n_removed``.
+def remove_spread_lines(df: DataFrame, text: str = "text", site: str = "source", *, min_sites: int = 10) -> DataFrame:
+    """``df`` with the spread lines taken out of ``text``, and the columns ``n_lines`` and ``n_removed``. No row goes.
 
-    A line goes from every text that holds it, wherever it stands. A text that would lose more than ``max_share`` of its characters
-    stays whole, be it a copied document or a short one with much boilerplate; ``remove_all_spread_lines`` tells these apart. No row goes.
-    Null texts stay null with no lines; empty texts have one blank line. Columns of ``df`` named ``n_lines`` and ``n_removed`` are replaced.
-    """
-    path = scratch_path(df.sparkSession, "spread")
-    spread_lines(df, text, site, min_sites=min_sites).write.parquet(path)
-    spread = df.sparkSession.read.parquet(path)
-    value, key = _keyed(df, text)
-    lines = _hashed_lines(df.select(value.alias("_t"), *key).filter("_t IS NOT NULL"), "_t").select("_k", "_n", "line.a", "line.b")
-    gone = lines.join(spread, ["a", "b"]).groupBy("_k", "_n").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    return _without(df, text, gone, max_share)
-
-
-def remove_all_spread_lines(df: DataFrame, text: str = "text", site: str = "source", *, min_sites: int = 10) -> DataFrame:
-    """``remove_spread_lines`` without a limit on what a text may lose; copied documents are told by their whole text.
-
-    A text that as a whole stands on ``min_sites`` sites or more is a copied document: it loses only the lines that stand on as many sites
-    in texts that are not copied documents, since its copies alone spread the others. Every other text loses all its spread lines.
+    A line goes from every text that holds it, wherever it stands and however much of the text it is. A text that as a whole stands on ``min_sites`` sites or more is a copied document: it loses only the lines that stand on as many sites
+    in texts that are not copied documents, since its copies alone spread the others. Null texts stay null with no lines; empty texts have one blank line. Columns of ``df`` named
+    ``n_lines`` and ``n_removed`` are replaced; names that begin with ``_spread_`` are this function's own.
     """
     spark = df.sparkSession
     value, key = _keyed(df, text)
-    named = df.select(value.alias("_t"), *key, F.xxhash64(F.col(f"`{site}`").cast("string")).alias("_site"), F.col(f"`{site}`").isNotNull().alias("_sited")).filter("_t IS NOT NULL")
+    named = df.select(value.alias("_spread_t"), *key, F.xxhash64(F.col(f"`{site}`").cast("string")).alias("_spread_site"), F.col(f"`{site}`").isNotNull().alias("_spread_sited")).filter("_spread_t IS NOT NULL")
     paths = [scratch_path(spark, name) for name in ("spread", "copied", "shared")]
     spread_lines(df, text, site, min_sites=min_sites).write.parquet(paths[0])
-    sites = named.filter("_sited").select("_k", "_n", "_site").distinct().groupBy("_k", "_n").agg(F.count("*").alias("_sites"))
-    sites.filter(F.col("_sites") >= min_sites).select("_k", "_n", F.lit(True).alias("_copied")).write.parquet(paths[1])
+    sites = named.filter("_spread_sited").select("_spread_k", "_spread_n", "_spread_site").distinct().groupBy("_spread_k", "_spread_n").agg(F.count("*").alias("_spread_sites"))
+    sites.filter(F.col("_spread_sites") >= min_sites).select("_spread_k", "_spread_n", F.lit(True).alias("_spread_copied")).write.parquet(paths[1])
     spread, copied = (spark.read.parquet(p) for p in paths[:2])
-    touched = _hashed_lines(named, "_t").select("_k", "_n", "_site", "_sited", "line.a", "line.b").join(spread, ["a", "b"]).join(copied, ["_k", "_n"], "left")
-    elsewhere = touched.filter("_copied IS NULL AND _sited").select("a", "b", "_site").distinct().groupBy("a", "b").agg(F.count("*").alias("_sites"))
-    elsewhere.filter(F.col("_sites") >= min_sites).select("a", "b", F.lit(True).alias("_shared")).write.parquet(paths[2])
-    lost = touched.join(spark.read.parquet(paths[2]), ["a", "b"], "left").filter("_copied IS NULL OR _shared")
-    return _without(df, text, lost.groupBy("_k", "_n").agg(F.collect_set(F.struct("a", "b")).alias("_gone")), 1.0)
+    touched = _hashed_lines(named, "_spread_t").select("_spread_k", "_spread_n", "_spread_site", "_spread_sited", "line.a", "line.b").join(spread, ["a", "b"]).join(copied, ["_spread_k", "_spread_n"], "left")
+    elsewhere = touched.filter("_spread_copied IS NULL AND _spread_sited").select("a", "b", "_spread_site").distinct().groupBy("a", "b").agg(F.count("*").alias("_spread_sites"))
+    elsewhere.filter(F.col("_spread_sites") >= min_sites).select("a", "b", F.lit(True).alias("_spread_shared")).write.parquet(paths[2])
+    lost = touched.join(spark.read.parquet(paths[2]), ["a", "b"], "left").filter("_spread_copied IS NULL OR _spread_shared")
+    return _without(df, text, lost.groupBy("_spread_k", "_spread_n").agg(F.collect_set(F.struct("a", "b")).alias("_spread_gone")))

@@ -22,12 +22,12 @@ from comptoir.session import scratch_path
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Fixed patterns. A word before @ is tried once, from its first character or from the end of the match before.
-_EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators: addresses with spaces or written-out signs, and any group of seven or more digits and separators.
-_WIDE_ADDRESS = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++ {{0,2}}(?:@|[(\[]at[)\]]) {{0,2}}[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+"
+_WIDE_ADDRESS = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++ {{0,2}}(?:@|[(\[]at[)\]]) {{0,2}}[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)++"
 _WIDE_DIGITS = r"[+(]?[0-9][0-9\x20().-]{5,}[0-9]"
 
 FEATURES = ("kind", "digits", "spaces", "dashes", "dots", "brackets", "plus", "before", "after", "hint", "length")

@@ -105,7 +105,11 @@ def _telling(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarr
 
 def fit_rows(texts: list[str], grades: np.ndarray, *, epochs: int = 500, rate: float = 0.05, decay: float = 1e-2, clear: float | None = None) -> Model:
     """Full-batch Adam on the cumulative log-likelihood, over the features that tell grades apart (``_telling``)."""
-    parts = [features(t) for t in texts]
+    return fit_features([features(t) for t in texts], grades, epochs=epochs, rate=rate, decay=decay, clear=clear)
+
+
+def fit_features(parts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, epochs: int = 500, rate: float = 0.05, decay: float = 1e-2, clear: float | None = None) -> Model:
+    """``fit_rows`` on the features of the texts."""
     size = np.array([len(i) for i, _ in parts])
     row, col, val = np.repeat(np.arange(len(parts)), size), np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
     used = _telling(row, col, val, grades, clear)
@@ -135,20 +139,36 @@ def fit_rows(texts: list[str], grades: np.ndarray, *, epochs: int = 500, rate: f
     return Model(theta[:SIZE].astype(np.float32), theta[SIZE] + np.concatenate([[0], np.cumsum(np.exp(theta[SIZE + 1 :]))]))
 
 
-def fit(rated: DataFrame, text: str = "text", grade: str = "grade", *, max_rated: int = MAX_RATED) -> Model | None:
-    """The model of at most ``max_rated`` rows of ``rated``, chosen by the hash of text and grade; rows with a null in either are left out.
+def grades_of(labels: DataFrame) -> DataFrame:
+    """Rows (doc_id, grade): 0, 1 or 2, one for good quality and one for not being toxic. Several ratings of a document are averaged down."""
+    grade = F.col("quality") + 1 - F.col("toxic")
+    return labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.floor(F.avg("grade")).cast("int").alias("grade"))
+
+
+def fit(df: DataFrame, grades: DataFrame, id_column: str = "doc_id", text: str = "text", *, max_rated: int = MAX_RATED) -> Model | None:
+    """The model of the rows of ``df`` with at most ``max_rated`` of the ids in ``grades`` (doc_id, grade), those of least hash of id and grade.
 
-    None if fewer than two grades are left.
+    The ids are chosen before any text is read, and only theirs, at most ``max_rated``, are sent to the tasks, which give back features;
+    so no text is shuffled or collected. Null texts, ids and grades are left out, and of equal features with one grade all but one. None
+    if fewer than two grades are left.
     """
-    rows = rated.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{grade}`").cast("int").alias("g")).dropna()
-    least = rows.withColumn("h", F.xxhash64("t", "g")).dropDuplicates(["h"]).orderBy("h").limit(max_rated).select("t", "g").toLocalIterator()
-    texts, grades = [], []
-    for t, g in least:
-        texts.append(t)
-        grades.append(g)
-    if len(set(grades)) < 2 or min(grades) < 0:
+    known = df.select(F.col(f"`{id_column}`").alias("doc_id")).dropna().distinct()
+    rated = grades.select("doc_id", F.col("grade").cast("int").alias("grade")).dropna().join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", "grade"))
+    chosen = F.broadcast(rated.orderBy("h", "doc_id").limit(max_rated))
+    rows = df.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t")).dropna().join(chosen, "doc_id").select("h", "grade", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [features(t.as_py()) for t in batch.column(2)]
+            arrays = [pa.array([p[k].astype(kind).tobytes() for p in parts], pa.binary()) for k, kind in ((0, np.int64), (1, np.float64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["h", "grade", "i", "v"])
+
+    found = {(r.grade, bytes(r.i), bytes(r.v)): r.h for r in rows.mapInArrow(run, "h long, grade int, i binary, v binary").toLocalIterator()}
+    ordered = sorted((h, *key) for key, h in found.items())
+    labels = [o[1] for o in ordered]
+    if len(set(labels)) < 2 or min(labels) < 0:
         return None
-    return fit_rows(texts, np.array(grades))
+    return fit_features([(np.frombuffer(i, dtype=np.int64), np.frombuffer(v, dtype=np.float64)) for _, _, i, v in ordered], np.array(labels))
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

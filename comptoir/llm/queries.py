@@ -79,7 +79,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents the classifier selects, with expected grade and probability of the top grade."""
     docs = _table(spark, sf_dir, "documents")
-    model = quality.fit(corpus_pipeline.rated(docs, _table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, quality.grades_of(_table(spark, sf_dir, "labels")))
     chosen = quality.select(docs.select("doc_id", "text"), model)
     return chosen.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_top", 6).alias("p_top"))
 
@@ -100,12 +100,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-@_register
-def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.remove_all_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-
-
 @_register
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations rebuilt on the first turns of every twentieth, as a tree of prefixes."""
@@ -206,25 +200,6 @@ FROM turns GROUP BY conv_id
 """
 
 SQL["op10_line_dedup"] = r"""
-WITH cut AS (
-  SELECT DISTINCT source, unnest(string_split(text, chr(10))) AS line FROM documents
-), spread AS (
-  SELECT line FROM cut WHERE trim(line) <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10
-), named AS (
-  SELECT list(line) AS spread FROM spread
-), kept AS (
-  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT list_contains(coalesce(spread, []), x)) AS k FROM documents, named
-), joined AS (
-  SELECT *, array_to_string(k, chr(10)) AS rest FROM kept
-), judged AS (
-  SELECT *, length(text) - length(rest) <= 0.5 * length(text) AND len(k) < len(l) AS gone FROM joined
-)
-SELECT doc_id, len(l)::BIGINT AS n_lines, CASE WHEN gone THEN len(l) - len(k) ELSE 0 END::BIGINT AS n_removed, sha256(CASE WHEN gone THEN rest ELSE text END) AS text_sha256
-FROM judged
-"""
-
-SQL["op10_line_dedup_all"] = r"""
 WITH cut AS (
   SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
 ), copied AS (

@@ -220,7 +220,14 @@ def test_quality_orders_grades(spark):
     assert (np.diff(tails, axis=1) <= 1e-9).all()
     df = spark.createDataFrame([(1, None), (2, ""), (3, texts[0]), (3, texts[0])], "doc_id long, text string").withColumn("p_top", F.lit("x"))
     assert quality.score(df, model).count() == 4
-    assert quality.fit(df.withColumn("grade", F.lit(1))) is None and quality.select(df, None).count() == 4
+    one = spark.createDataFrame([(1, 1), (3, 1), (None, 0)], "doc_id long, grade int")
+    assert quality.fit(df, one) is None and quality.select(df, None).count() == 4
+    assert quality.fit(df.where("false"), one) is None and quality.score(df.where("false"), model).count() == 0
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:600])] + [(0, texts[0]), (None, "x"), (601, None)], "doc_id long, text string").withColumn("grade", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, g in enumerate(grades[:700])] + [(None, 1, 1), (5, None, 1)], "doc_id long, quality int, toxic int")
+    found = quality.fit(docs, quality.grades_of(labels))
+    assert ((np.array([found.tails(t)[1] for t in texts[600:]]) >= 0.5) == (np.array(grades[600:]) == 2)).mean() > 0.97
+    assert quality.score(spark.createDataFrame([(1, "word " * 60000)], "doc_id long, text string"), found).count() == 1
 
 
 @pytest.mark.parametrize("n", [400, 2000])
@@ -263,22 +270,11 @@ def test_chat_escapes(turns):
 
 
 def test_lines(spark):
-    rows = [(i, f"unique {i}\nshared by all\n\nanother {i}", f"s{i % 12}") for i in range(60)]
-    rows += [(100 + i, "nine sites only\nlong line that stays here", f"s{i}") for i in range(9)] + [(200 + i, "shared by all", f"s{i}") for i in range(3)]
-    rows += [(300, None, "s1"), (301, "", "s1"), (302, "shared by all\nkept text that is long", None), (303, "null site\nx x x x", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("x"))
-    out = {r.doc_id: r for r in lines.remove_spread_lines(df).collect()}
-    assert out[0].text == "unique 0\n\nanother 0" and (out[0].n_lines, out[0].n_removed) == (4, 1)
-    assert out[100].text == rows[60][1] and out[200].text == "shared by all" and out[302].text == "kept text that is long"
-    assert out[300].text is None and out[300].n_lines == 0 and out[301].text == "" and len(out) == len(rows)
-
-
-def test_all_spread_lines(spark):
     rows = [(i, f"own {i}\nshared by all, a long boilerplate line", f"s{i % 12}") for i in range(60)]
     rows += [(100 + i, "a copied document\nshared by all, a long boilerplate line\nof three lines", f"s{i}") for i in range(11)]
     rows += [(200 + i, "shared by all, a long boilerplate line", f"s{i}") for i in range(3)] + [(300, "of three lines\nand one", None), (301, None, "s1"), (302, "", "s1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_removed", F.lit("x"))
-    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_all_spread_lines(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_removed": F.lit("x"), "_k": F.lit(1), "_n": F.lit(2), "_gone": F.lit(3), "a": F.lit(4)})
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_spread_lines(df).collect()}
     assert all(out[i] == (f"own {i}", 2, 1) for i in range(60))
     assert all(out[100 + i] == ("a copied document\nof three lines", 3, 1) for i in range(11))
     assert all(out[200 + i] == ("", 1, 1) for i in range(3)) and out[300] == ("and one", 2, 1)
@@ -496,3 +492,19 @@ def test_words_are_counted(spark):
     assert spelling.variants(none).count() == 0
     with pytest.raises(ValueError, match="letters"):
         spelling.variants(spark.createDataFrame([("abcd", 3)], "word string, n long"))
+
+
+def test_long_dotted_addresses(spark):
+    text = "a@b" + ".c" * 20000 + " and a (at) b" + " dot c" * 3 + " x@y.zz"
+    found = pii.find(spark.createDataFrame([(1, text), (2, "a@" + "b-" * 50000 + ".c")], "doc_id long, text string")).collect()
+    assert {r.doc_id: len(r.base) for r in found} == {1: 2, 2: 1}
+
+
+def test_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, same), (1, "an unlike clean text with the same id as another"), (2, same), (None, same), (None, "no id but words of its own here"), (3, ""), (3, ""), (4, None), (5, same + " x"), (5, same + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert out == sorted([(1, same), (1, rows[1][1]), (None, rows[4][1]), (3, ""), (3, ""), (4, None)], key=str)
