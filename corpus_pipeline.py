@@ -11,42 +11,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from comptoir.llm import jaccard, lines, quality, tiling, tokenizer
-from comptoir.session import scratch_path
+from comptoir.session import cut_lineage, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a grade of 0, 1 or 2: one for good quality and one for not being toxic. Several ratings of a document are averaged down."""
-    grade = F.col("quality") + 1 - F.col("toxic")
-    one = labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.floor(F.avg("grade")).cast("int").alias("grade"))
-    return docs.select("doc_id", "text").join(one, "doc_id").select("text", "grade")
-
-
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the rated ones of the input, selects; all without ratings of two grades."""
-    model = quality.fit(rated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = quality.fit(docs, quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.select(docs, model).select(*COLUMNS)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand on many sites, however much of a text they are; ``n_chars`` follows the text."""
-    return _sized(lines.remove_all_spread_lines(docs))
+    return _sized(lines.remove_spread_lines(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near duplicates; of rows with that id, the least text.
+    """One row of every group of near duplicates: that with the least id, null being the last, and of those the least by hash of its text.
 
-    Documents without words stay, and so do rows without an id, since no id can stand for them.
+    A row is judged by its own group, also where another row has its id. Rows without words are like no other and stay.
     """
-    first = jaccard.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    kept = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return kept.select(*COLUMNS).unionAll(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    row = {"_row": F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"), "_size": F.octet_length("text")}
+    told = cut_lineage(jaccard.near_duplicates(docs.select("doc_id", "text").withColumns(row), key_column="_group").select("doc_id", "_row", "_size", "_group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "_size")).alias("f")
+    kept = told.filter("_group IS NOT NULL").groupBy("_group").agg(first).select("f._row", "f._size")
+    worded = told.filter("_group IS NOT NULL").select("_row", "_size").distinct().withColumn("_words", F.lit(True))
+    marked = worded.join(kept.withColumn("_kept", F.lit(True)), ["_row", "_size"], "left")
+    rows = docs.withColumns(row).join(marked, ["_row", "_size"], "left").filter("_words IS NULL OR _kept")
+    order = Window.partitionBy("_row", "_size").orderBy("lang", "source", "n_chars")
+    one = rows.filter("_words").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return one.select(*COLUMNS).unionAll(rows.filter("_words IS NULL").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
