@@ -1,6 +1,6 @@
 """Near duplicates among embeddings with one hierarchical navigable small-world graph per shard.
 
-Equal vectors are one vector with a count first. The others are dealt by hash into shards of at most some 65 000, and each shard gets a graph: every
+Equal vectors are one vector with a count first. The others are dealt by hash into shards of at most some 32 000, and each shard gets a graph: every
 node has a level, drawn from a hash of its place, and the nodes of a level and above are linked on it. A search goes down from the top
 level with a beam of one and walks the lowest level with a beam of ``beam`` nodes.
 
@@ -28,7 +28,7 @@ from comptoir.session import cut_lineage
 
 #: Vectors of a shard and single-precision bytes of them at most, links of a node above and on the lowest level, beam while building, queries
 #: worked on at once.
-SHARD, SHARD_BYTES, LINKS, LOWEST_LINKS, BUILD_BEAM, TOGETHER = 1 << 16, 1 << 24, 8, 16, 16, 512
+SHARD, SHARD_BYTES, LINKS, LOWEST_LINKS, BUILD_BEAM, TOGETHER = 1 << 15, 1 << 24, 8, 16, 28, 512
 #: Queries that pass one copy of a shard's graph, queries of the audit, and the beams it tries before whole shards.
 STREAM, AUDITED, BEAMS = 1 << 18, 2048, (8, 16, 32, 64, 128, 256, 512, 1024)
 #: How far single precision may be off the cosine.
@@ -161,6 +161,7 @@ class Graph:
         return at
 
     def near(self, queries: np.ndarray, beam: int, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search`` on the lowest level, from where the levels above lead, or from ``entry``."""
         return search(self.unit, self.levels[0], queries, self.descend(queries, 0) if entry is None else entry, beam)
 
     def linked(self, raw: np.ndarray, vectors: np.ndarray, at_least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +268,8 @@ def _beams(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, re
     """The smallest beams, for queries to their own shard and to others, whose searches find ``recall`` of the links of the audited queries
     there, on the mean of those that have any.
 
-    The audited queries are those of least hash, at most ``AUDITED``; each shard compares them with all its vectors. A query starts from
-    itself in its own shard, so it needs a smaller beam there. Where no beam of ``BEAMS`` passes, whole shards are compared.
+    The audited queries are those of least hash, at most ``AUDITED``; each shard compares them with all its vectors. In its own shard
+    a query starts from itself, and a link may be found from either end, so a smaller beam does there. Where no beam of ``BEAMS`` passes, whole shards are compared.
     """
     asked = vectors.select("dims", "node", "v").orderBy(F.xxhash64("node")).limit(AUDITED).collect()
     by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -285,15 +286,25 @@ def _beams(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, re
 
             for mine in (own < 0, own >= 0):
                 asked, start = queries[mine], own[mine] if (own[mine] >= 0).any() else None
-                there = np.bincount(graph.linked(raw, asked, at_least, len(raw), start)[0], minlength=len(asked))
+                row, node = graph.linked(raw, asked, at_least, len(raw), start)
+                truth, there = row * len(raw) + node, np.bincount(row, minlength=len(asked))
                 some = np.flatnonzero(there)
-                found, hits = [], np.zeros(len(some), dtype=np.int64)
+                found, missing = [], truth
                 for beam in BEAMS:
-                    if beam >= len(raw) or (hits == there[some]).all():
-                        hits = there[some]
-                    else:
-                        hits = np.bincount(graph.linked(raw, asked[some], at_least, beam, None if start is None else start[some])[0], minlength=len(some))
-                    found.append(hits)
+                    if beam >= len(raw):
+                        missing = missing[:0]
+                    if len(missing):
+                        wanted = np.unique(missing // len(raw))
+                        row, node = graph.linked(raw, asked[wanted], at_least, beam, None if start is None else start[wanted])
+                        missing = truth[~np.isin(truth, wanted[row] * len(raw) + node)]
+                        missing = missing[np.isin(missing // len(raw), wanted)]
+                    if len(missing) and start is not None:
+                        # Inside a shard a link may be found from its other end.
+                        other = missing % len(raw)
+                        far, back = np.unique(other, return_inverse=True)
+                        row, node = graph.linked(raw, raw[far], at_least, beam, far)
+                        missing = missing[~np.isin(back * len(raw) + start[missing // len(raw)], row * len(raw) + node)]
+                    found.append((there - np.bincount(missing // len(raw), minlength=len(asked)))[some])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[mine][some]), pa.array(np.full(len(some), start is not None)), pa.array(there[some]), *[pa.array(h) for h in found]], names=["node", "own", "links", *names])
 
     names = [f"found_{b}" for b in BEAMS]
@@ -309,7 +320,7 @@ def _beams(index: DataFrame, vectors: DataFrame, kind: type, at_least: float, re
 
 class _Stream:
     """Queries that pass one graph. Links inside the shard are found from both ends, so they are kept as bits, one row for a node that has any:
-    at most 512 MB if all vectors of the largest shard have some."""
+    at most 128 MB if all vectors of a shard have some."""
 
     def __init__(self, row: dict, kind: type, at_least: float, beams: tuple[int, int]) -> None:
         self.graph, self.raw, self.nodes, self.copies = _opened(row, kind)

@@ -118,7 +118,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), at_least=0.9, recall=0.99)
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), at_least=0.9, recall=0.98)
 
 
 @_register
