@@ -1,28 +1,30 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries inside Spark partitions.
 
-Spark splits texts into words with the tokenizer's pattern. Each task gives its distinct words to an in-process DuckDB: rows
-(word, position, token) join the merge table, and a recursive query contracts the leftmost pair of least rank of every word until no pair
-is in the table. An ordered aggregation joins the bytes of a word's tokens again. Words already seen are kept in a bounded memo, which
-saves work and changes no result.
+Spark splits texts into words with the tokenizer's pattern. Each task gives the distinct words of an Arrow batch to an in-process DuckDB:
+rows (word, position, token) join the merge table, and a recursive query contracts the leftmost pair of least rank of every word until no
+pair is in the table. An ordered aggregation joins the bytes of a word's tokens again. Long words are first cut where no token of the
+vocabulary could lie across, so that no merge is lost and the pieces contract side by side. What DuckDB cannot hold in its memory limit
+goes to a folder of the task that ends with it.
 """
 
 from __future__ import annotations
 
 import base64
+import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as the tokenizer's pattern means it (the Unicode property); Java's \s covers only ASCII.
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Words given to one DuckDB query, and words remembered by one task.
-WORDS_PER_QUERY = 50_000
-MEMO = 150_000
+#: Bytes of words given to one DuckDB query.
+BYTES_PER_QUERY = 1 << 19
 
 CONTRACT = """
 WITH RECURSIVE step(it, w, pos, id) AS (
@@ -43,22 +45,30 @@ WITH RECURSIVE step(it, w, pos, id) AS (
 )
 SELECT w, pos, id FROM final ORDER BY w, pos
 """
-#: For long words: every pair of the least rank at once, left to right, none twice. This equals one pair at a time when a merged token
-#: ranks above both of its parts, which is checked on the merge table.
+#: For long pieces: the pairs of least rank from left to right in one step, none twice, up to and with the first whose merging puts a pair
+#: of still lower rank beside it. Until then the next pair one at a time would be the next of these, so the tokens are the same.
 CONTRACT_LONG = """
 WITH RECURSIVE step(it, w, pos, id) AS (
     SELECT 0::INTEGER, w, pos, id FROM start
     UNION ALL (
         WITH paired AS (
-            SELECT it, w, pos, id, lead(id) OVER seq AS right_id, row_number() OVER seq AS ix
+            SELECT it, w, pos, id, lag(id) OVER seq AS before, lead(id) OVER seq AS right_id, lead(id, 2) OVER seq AS after, row_number() OVER seq AS ix
             FROM step WINDOW seq AS (PARTITION BY w ORDER BY pos)
         ), ranked AS (
-            SELECT p.w, p.ix, m.rank, min(m.rank) OVER (PARTITION BY p.w) AS least
+            SELECT p.w, p.ix, p.before, p.after, m.rank, min(m.rank) OVER (PARTITION BY p.w) AS least
             FROM paired p JOIN merges m ON m.left_id = p.id AND m.right_id = p.right_id
         ), hits AS (
-            SELECT w, ix, rank, ix - row_number() OVER (PARTITION BY w ORDER BY ix) AS run FROM ranked WHERE rank = least
+            SELECT w, ix, before, after, rank, ix - row_number() OVER (PARTITION BY w ORDER BY ix) AS run FROM ranked WHERE rank = least
+        ), odd AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY ix) AS k FROM hits) WHERE k % 2 = 1
+        ), beside AS (
+            SELECT w, ix, rank, after, CASE WHEN lag(ix) OVER (PARTITION BY w ORDER BY ix) = ix - 2 THEN rank ELSE before END AS before FROM odd
+        ), falling AS (
+            SELECT b.w, min(b.ix) AS ix FROM beside b
+            LEFT JOIN merges l ON l.left_id = b.before AND l.right_id = b.rank LEFT JOIN merges r ON r.left_id = b.rank AND r.right_id = b.after
+            WHERE l.rank < b.rank OR r.rank < b.rank GROUP BY b.w
         ), chosen AS (
-            SELECT w, ix, rank FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY ix) AS k FROM hits) WHERE k % 2 = 1
+            SELECT b.w, b.ix, b.rank FROM beside b LEFT JOIN falling f ON f.w = b.w WHERE f.ix IS NULL OR b.ix <= f.ix
         )
         SELECT p.it + 1, p.w, p.pos, coalesce(c.rank, p.id)
         FROM paired p LEFT JOIN chosen c ON c.w = p.w AND c.ix = p.ix LEFT JOIN chosen g ON g.w = p.w AND g.ix = p.ix - 1
@@ -69,8 +79,9 @@ WITH RECURSIVE step(it, w, pos, id) AS (
 )
 SELECT w, pos, id FROM final ORDER BY w, pos
 """
+#: Pieces of more bytes than this go through ``CONTRACT_LONG``; it only sets the number of steps.
 LONG = 48
-DECODE = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM coded JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
+DECODE = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM coded JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,37 +89,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def _merge_tables(path: str) -> tuple[dict[bytes, int], bool, pa.Table, pa.Table]:
-    """Ranks, whether merged ranks always exceed their parts', the merge table and the vocabulary."""
-    ranks = read_ranks(path)
-    left, right, rank = [], [], []
-    for token, merged in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                left.append(a), right.append(b), rank.append(merged)
-    rising = all(n > a and n > b for a, b, n in zip(left, right, rank, strict=True))
-    merges = pa.table({k: pa.array(v, pa.int32()) for k, v in (("left_id", left), ("right_id", right), ("rank", rank))})
-    return ranks, rising, merges, pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([token.hex() for token in ranks])})
+class _Tables:
+    """What all tasks of a worker read: ranks, merges, the vocabulary, and every first part of a token."""
+
+    def __init__(self, path: str) -> None:
+        self.ranks = read_ranks(path)
+        left, right, rank = [], [], []
+        for token, merged in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    left.append(a), right.append(b), rank.append(merged)
+        self.merges = pa.table({k: pa.array(v, pa.int32()) for k, v in (("left_id", left), ("right_id", right), ("rank", rank))})
+        self.tokens = pa.array(list(self.ranks), pa.large_binary())
+        self.ids = np.array(list(self.ranks.values()), dtype=np.int32)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.starts = {token[:n] for token in self.ranks for n in range(1, len(token) + 1)}
+
+
+_tables: dict[str, _Tables] = {}
 
 
-_tables: dict[str, tuple[dict[bytes, int], bool, pa.Table, pa.Table]] = {}
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)])
+
+
+def _ragged(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The runs of ``data`` between consecutive ``ends`` (counted in elements), as binary values."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends * data.itemsize)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and bytes of an array of binary values without nulls."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return ends - ends[0], raw
 
 
 class Codec:
-    """The rank table, a DuckDB connection and the memo of one task. A Python worker outlives its task and keeps only the rank tables."""
+    """The tables of a vocabulary and a DuckDB connection of one task. A Python worker outlives its task and keeps only the tables."""
 
     def __init__(self, path: str) -> None:
         import duckdb
 
         if path not in _tables:
-            _tables[path] = _merge_tables(path)
-        self.ranks, self.rising, merges, vocabulary = _tables[path]
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        self._table("merges", merges)
-        self._table("vocabulary", vocabulary)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+            _tables[path] = _Tables(path)
+        self.tables = _tables[path]
+        self.scratch = tempfile.TemporaryDirectory(prefix="bpe-", ignore_cleanup_errors=True)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": self.scratch.name})
+        self._table("merges", self.tables.merges)
+        self._table("vocabulary", pa.table({"id": self.tables.ids, "hex": pa.array([token.hex() for token in self.tables.ranks])}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -116,66 +147,88 @@ class Codec:
         self.db.unregister("rows_in")
 
     def close(self) -> None:
-        self.memo.clear()
         self.db.close()
+        self.scratch.cleanup()
         pa.default_memory_pool().release_unused()
 
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words in a row, and the number of tokens of each word."""
-        size = np.array([len(word) for word in words], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    def cuts(self, word: bytes) -> np.ndarray:
+        """Places inside ``word`` that no token of the vocabulary, read anywhere in it, lies across; no merge can cross them."""
+        starts, ranks, n = self.tables.starts, self.tables.ranks, len(word)
+        reach = np.arange(1, n + 1)
+        for i in range(n):
+            end = i + 2
+            while end <= n and word[i:end] in starts:
+                if word[i:end] in ranks:
+                    reach[i] = end
+                end += 1
+        return np.flatnonzero(np.maximum.accumulate(reach)[:-1] == np.arange(1, n)) + 1
+
+    def _contract(self, size: np.ndarray, ids: np.ndarray, query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces of ``size`` bytes each, in a row, and the number of tokens of each piece."""
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
         at = (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        ids = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         self.db.register("start", pa.table({"w": owner, "pos": at, "id": ids}))
-        out = self.db.execute(CONTRACT_LONG if self.rising and max(map(len, words)) > LONG else CONTRACT).fetchnumpy()
+        out = self.db.execute(query).fetchnumpy()
         self.db.unregister("start")
-        return np.asarray(out["id"], dtype=np.int32), np.bincount(np.asarray(out["w"]), minlength=len(words))
-
-    def contract_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``contract``; long words go into a query of their own."""
-        tokens: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        for part in ([i for i, word in enumerate(words) if len(word) <= LONG], [i for i, word in enumerate(words) if len(word) > LONG]):
-            if part:
-                ids, counts = self.contract([words[i] for i in part])
-                for i, found in zip(part, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    tokens[i] = found
-        return np.concatenate([*tokens, np.zeros(0, np.int32)]), np.array([len(found) for found in tokens], dtype=np.int64)
-
-    def join_tokens(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        return np.asarray(out["id"], dtype=np.int32), np.bincount(np.asarray(out["w"]), minlength=len(size))
+
+    def contract(self, ends: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words between ``ends`` in a row, and the number of tokens of each word."""
+        size = np.diff(ends)
+        borders = [ends[:-1]]
+        for i in np.flatnonzero(size > LONG).tolist():
+            borders.append(self.cuts(raw[ends[i] : ends[i + 1]].tobytes()) + ends[i])
+        begin = np.sort(np.concatenate(borders))
+        piece = np.diff(np.append(begin, ends[-1]))
+        ids = self.tables.byte_ids[raw]
+        long = piece > LONG
+        counts = np.zeros(len(piece), dtype=np.int64)
+        found = []
+        for chosen, query in ((~long, CONTRACT), (long, CONTRACT_LONG)):
+            if chosen.any():
+                tokens, counts[chosen] = self._contract(piece[chosen], ids[np.repeat(chosen, piece)], query)
+                found.append((chosen, tokens))
+        out = np.empty(int(counts.sum()), dtype=np.int32)
+        for chosen, tokens in found:
+            out[np.repeat(chosen, counts)] = tokens
+        return out, np.add.reduceat(counts, np.searchsorted(begin, ends[:-1]))
+
+    def join_tokens(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Bytes of each run of tokens; ``counts`` gives the runs' lengths."""
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        at = np.arange(len(ids), dtype=np.int64)
-        self.db.register("coded", pa.table({"w": owner, "pos": at, "id": ids.astype(np.int32)}))
-        out = self.db.execute(DECODE).fetchnumpy()
+        self.db.register("coded", pa.table({"w": owner, "pos": np.arange(len(ids), dtype=np.int64), "id": ids}))
+        out = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("coded")
-        found = dict(zip(out["w"].tolist(), out["hex"].tolist(), strict=True))
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(counts))]
-
-    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each word its token ids (as 32-bit integers) and the bytes these decode to."""
-        memo = self.memo
-        new = [word for word in dict.fromkeys(words) if word not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), WORDS_PER_QUERY):
-            part = new[i : i + WORDS_PER_QUERY]
-            coded = [word.encode("utf-8", "surrogatepass") for word in part]
-            whole = [self.ranks.get(word) for word in coded]
-            loose = [word for word, rank in zip(coded, whole, strict=True) if rank is None]
-            ids, counts = self.contract_all(loose)
-            all_counts = np.ones(len(part), dtype=np.int64)
-            is_loose = np.array([rank is None for rank in whole])
-            all_counts[is_loose] = counts
-            all_ids = np.empty(int(all_counts.sum()), dtype=np.int32)
-            mask = np.repeat(is_loose, all_counts)
-            all_ids[mask] = ids
-            all_ids[~mask] = [rank for rank in whole if rank is not None]
-            ends = np.cumsum(all_counts)
-            raw = all_ids.tobytes()
-            for word, end, count, decoded in zip(part, ends.tolist(), all_counts.tolist(), self.join_tokens(all_ids, all_counts), strict=True):
-                memo[word] = (raw[4 * (end - count) : 4 * end], decoded)
-        return [memo[word] for word in words]
+        found = out.column("bytes").combine_chunks().cast(pa.large_binary())
+        if len(found) == len(counts):
+            return found
+        at = np.full(len(counts), -1)
+        at[out.column("w").to_numpy()] = np.arange(len(found))
+        return found.take(pa.array(at, mask=at < 0)).fill_null(b"")
+
+    def words(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each word its token ids (as the bytes of 32-bit integers) and the bytes these decode to."""
+        words = words.cast(pa.large_binary())
+        coded, decoded = [], []
+        begin, ends = 0, _flat(words)[0]
+        while begin < len(words):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BYTES_PER_QUERY, "right")) - 1)
+            part = words.slice(begin, end - begin)
+            whole = pc.index_in(part, value_set=self.tables.tokens)
+            is_loose = whole.is_null().to_numpy(zero_copy_only=False)
+            counts = np.ones(len(part), dtype=np.int64)
+            loose = np.zeros(0, np.int32)
+            if is_loose.any():
+                loose, counts[is_loose] = self.contract(*_flat(part.filter(pa.array(is_loose))))
+            ids = np.empty(int(counts.sum()), dtype=np.int32)
+            mask = np.repeat(is_loose, counts)
+            ids[mask] = loose
+            ids[~mask] = self.tables.ids[whole.drop_null().to_numpy()]
+            coded.append(_ragged(_ends(counts), ids))
+            decoded.append(self.join_tokens(ids, counts))
+            begin = end
+        none = [pa.array([], pa.large_binary())]
+        return pa.concat_arrays(coded or none), pa.concat_arrays(decoded or none)
 
 
 @contextmanager
@@ -192,11 +245,10 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", rf"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
 
 
-def _join(parts: list[bytes], indices: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
-    """For each document, the joined parts of its words: 64-bit ends and the bytes."""
-    size = np.array([len(part) for part in parts], dtype=np.int64)
-    ends = np.concatenate([[0], np.cumsum(size[indices])]) if len(indices) else np.zeros(1, np.int64)
-    return ends[offsets], pa.py_buffer(b"".join([parts[i] for i in indices.tolist()]))
+def _join(parts: pa.Array, indices: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document, the joined parts of its words: ends and the bytes."""
+    ends, raw = _flat(parts.take(indices))
+    return ends[offsets], raw
 
 
 def encode(df: DataFrame, text: str = "text", *, vocabulary: str, pattern: str, ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -204,7 +256,7 @@ def encode(df: DataFrame, text: str = "text", *, vocabulary: str, pattern: str,
 
     ``vocabulary`` is a rank file, ``pattern`` the expression whose matches are encoded each on its own, without special tokens. Rows stay
     as they are and where they are: there is no shuffle. Null text counts as empty and has no ids. Other columns are kept; columns of
-    ``df`` that carry the names of new ones are replaced. Memory is bounded by one Arrow batch and the memo.
+    ``df`` that carry the names of new ones are replaced. Memory is bounded by one Arrow batch and DuckDB's limit.
     """
     keep = [c for c in df.columns if c not in (ids, decoded)]
     split = df.select(*[F.col(f"`{c}`") for c in keep], F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("_words"))
@@ -213,20 +265,21 @@ def encode(df: DataFrame, text: str = "text", *, vocabulary: str, pattern: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(vocabulary) as tool:
             for whole in batches:
+                lists = whole.column(whole.num_columns - 1)
+                offsets = np.asarray(lists.offsets, dtype=np.int64)
+                values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+                offsets = offsets - offsets[0]
+                coded, joined = tool.words(values.dictionary)
                 for at in range(0, whole.num_rows, 1000):
                     batch = whole.slice(at, 1000)
-                    lists = batch.column(batch.num_columns - 1)
-                    offsets = np.asarray(lists.offsets, dtype=np.int64)
-                    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-                    offsets = offsets - offsets[0]
-                    pairs = tool.words(values.dictionary.to_pylist())
-                    indices = np.asarray(values.indices)
-                    ends, raw = _join([pair[0] for pair in pairs], indices, offsets)
+                    rows = offsets[at : at + batch.num_rows + 1]
+                    indices = values.indices.slice(rows[0], rows[-1] - rows[0])
+                    ends, raw = _join(coded, indices, rows - rows[0])
                     out = list(batch.columns[:-1])
-                    out.append(pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, raw])))
+                    out.append(pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, pa.py_buffer(raw)])))
                     if decoded:
-                        ends, raw = _join([pair[1] for pair in pairs], indices, offsets)
-                        out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw]))
+                        ends, raw = _join(joined, indices, rows - rows[0])
+                        out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)]))
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return split.mapInArrow(run, schema)
@@ -244,9 +297,9 @@ def decode(df: DataFrame, ids: str = "ids", *, vocabulary: str, decoded: str = "
                     batch = whole.slice(at, 1000)
                     lists = [np.array(x or [], dtype=np.int32) for x in batch.column(keep.index(ids)).to_pylist()]
                     flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-                    if len(flat) and (flat.min() < 0 or flat.max() >= len(tool.ranks)):
+                    if len(flat) and (flat.min() < 0 or flat.max() >= len(tool.tables.ranks)):
                         raise ValueError("an id is not in the vocabulary")
                     texts = tool.join_tokens(flat, np.array([len(x) for x in lists], dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.binary())], names=schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

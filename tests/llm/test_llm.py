@@ -9,6 +9,7 @@ import string
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -112,6 +113,8 @@ def test_remove_repeats(spark):
 
 def test_tokenizer_matches_library_and_decodes(spark):
     rows = _texts() + [(1, "don't I'LL  x　y  \n\n z"), (2, "x" * 3000), (3, "½²Ⅷ 12³ 🎉👍🏽"), (4, "".join(random.Random(5).choices(string.ascii_letters, k=700)))]
+    rng = random.Random(6)
+    rows += [(5, "x" * 60_000), (6, "".join(rng.choices(string.ascii_lowercase, k=60_000))), (7, "".join(rng.choices("etaoins", k=20_000)))]
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.read_ranks(VOCABULARY), special_tokens={})
     df = spark.createDataFrame([(k, t, "x") for k, (_, t) in enumerate(rows)], "k long, text string, ids string")
     coded = tokenizer.encode(df, vocabulary=VOCABULARY, pattern=public_tokenizers.PATTERN, decoded="decoded")
@@ -121,6 +124,20 @@ def test_tokenizer_matches_library_and_decodes(spark):
         assert bytes(out[k].decoded) == bytes(out[k].again) == (t or "").encode()
 
 
+def test_steps_of_many_pairs_equal_one_at_a_time(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices(rng.choice(["a", "ab", "etaoin", "-=_*", "=-", "éàe", string.ascii_lowercase[:16]]), k=rng.randint(1, 150))) for _ in range(1500)]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.read_ranks(VOCABULARY), special_tokens={})
+    want = [library._core_bpe.encode_single_piece(word.encode()) for word in words]
+    for long in (1, 48, 1000):
+        monkeypatch.setattr(tokenizer, "LONG", long)
+        with tokenizer.codec(VOCABULARY) as tool:
+            coded, decoded = tool.words(pa.array(words))
+            assert tool.words(pa.array([], pa.string()))[0].to_pylist() == []
+        assert [np.frombuffer(x, np.int32).tolist() for x in coded.to_pylist()] == want
+        assert decoded.to_pylist() == [word.encode() for word in words]
+
+
 def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(rng.choice([8, 8, 5]))]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(60)]
