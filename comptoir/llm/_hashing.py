@@ -1,8 +1,9 @@
 """Hashes of words, word shingles and byte windows of one text, computed with numpy on its UTF-8 bytes.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Hashes have 64 bits; two different words or
-shingles of a corpus of 10^8 shingles share a hash with a probability of about 3 in 10 000. Memory is some 60 bytes for each byte of the
-longest text, since one text is worked on at a time.
+A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Bytes are summed modulo two primes, so strings of
+two letters that cancel modulo a power of two (Thue-Morse strings) differ here. Two given words or shingles share a hash with a probability
+of about 2^-62, any two of 10^8 with one of about 1 in 1000. Memory is some 100 bytes for each byte of the longest text, since one text is
+worked on at a time.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -20,18 +20,33 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+#: Two primes: a hash modulo both is one modulo their product, of some 2^62, and products of two remainders fit into 64 bits.
+_PRIMES = tuple(np.uint64(p) for p in ((1 << 31) - 1, (1 << 31) - 19))
+_BASES = 1_160_269_981, 1_884_377_639
+_S32 = np.uint64(32)
 
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+_inverses: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of them."""
+
+def _series(base: int, prime: np.uint64, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo ``prime``, by doubling."""
+    out = np.ones(n, dtype=np.uint64)
+    width = 1
+    while width < n:
+        step = np.uint64(pow(base, width, int(prime)))
+        out[width : 2 * width] = out[: min(width, n - width)] * step % prime
+        width *= 2
+    return out
+
+
+def _tables(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Powers of the bases and of their inverses modulo the two primes, at least ``n`` of each."""
     global _powers, _inverses
-    if len(_powers) < n:
+    if len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _BASE, dtype=np.uint64))])
-            _inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _INVERSE, dtype=np.uint64))])
+        _powers = [_series(b, p, size) for b, p in zip(_BASES, _PRIMES, strict=True)]
+        _inverses = [_series(pow(b, -1, int(p)), p, size) for b, p in zip(_BASES, _PRIMES, strict=True)]
     return _powers, _inverses
 
 
@@ -44,19 +59,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = the sum of (byte + 1) * base^position over positions i..j-1."""
+    """Two rows S, one for each prime, with S[j] - S[i] = the sum of (symbol + 1) * base^position over positions i..j-1; symbols are below 2^32."""
     powers, _ = _tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=out[1:])
+    out = np.zeros((2, len(data) + 1), dtype=np.uint64)
+    symbols = data.astype(np.uint64) + np.uint64(1)
+    for row, power, prime in zip(out, powers, _PRIMES, strict=True):
+        np.cumsum(symbols * power[: len(data)] % prime, out=row[1:])
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes start..end-1, the same wherever they stand."""
-    _, inverses = _tables(len(sums))
+    """Hash of the symbols start..end-1, the same wherever they stand."""
+    _, inverses = _tables(sums.shape[1])
+    one, two = ((row[end] - row[start]) % prime * inverse[start] % prime for row, inverse, prime in zip(sums, inverses, _PRIMES, strict=True))
     with np.errstate(over="ignore"):
-        return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64) * _STEP)
+        return mix((one << _S32 | two) + (end - start).astype(np.uint64) * _STEP)
 
 
 _LETTER = np.zeros(256, dtype=bool)

@@ -244,12 +244,15 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     if not 2 * threshold[0] >= threshold[1] >= threshold[0] > 0:
         raise ValueError("the threshold must lie between 1/2 and 1")
-    kept = df.drop("set_key", "n_shingles", "component_id")
-    keyed = cut_lineage(shingle_keys(kept, text, n=n))
+    kept = [c for c in df.columns if c != text and c.lower() not in ("n_shingles", "component_id")]
+    inner = [f"in{i}" for i in range(len(kept))]  # no input name can clash with the operator's own
+    own_id = inner[kept.index(id_column)]
+    keyed = cut_lineage(shingle_keys(df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], F.col(f"`{text}`").alias("text")), n=n))
     roots = similar_sets(df.select(F.col(f"`{text}`").cast("string").alias("text")), n=n, threshold=threshold)
-    ids = keyed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.col(f"`{id_column}`")).alias("_id"))
+    ids = keyed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(own_id).alias("_id"))
     rooted = ids.join(roots, ids["set_key"] == roots["node"], "left").select("set_key", "_id", F.coalesce("root", "set_key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
-    names = rooted.join(least, "root").select("set_key", "component_id", *([F.col("root").alias(key_column)] if key_column else []))
-    joined = keyed.join(names, "set_key", "left")
-    return joined.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col(f"`{id_column}`")).otherwise(F.col("component_id"))).drop("set_key")
+    joined = keyed.join(rooted.join(least, "root").select("set_key", "component_id", "root"), "set_key", "left")
+    named = F.when(F.col("set_key").isNull(), F.col(own_id)).otherwise(F.col("component_id")).alias("component_id")
+    out = [F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)]
+    return joined.select(*out, "n_shingles", named, *([F.col("root").alias(key_column)] if key_column else []))

@@ -77,20 +77,21 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]],
     ``listed`` has canonical URLs in its column ``canonical``; nulls and repetitions in it do nothing. A rule's verdict stands; else a listed
     URL is blocked and any other allowed. Repeated rows of ``pages`` stay; columns named like new ones are replaced.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    inner = [f"in{i}" for i in range(len(keep))]  # no input name can clash with the operator's own
     listed = listed.select("canonical").filter("canonical IS NOT NULL").distinct()
     blocks = max(1, -(-listed.count() * BITS // BLOCK_BITS))
     table = bloom_filter(listed, blocks)
     value = F.col(f"`{url}`")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], host(value).alias("host"), path(value).alias("path"), canonical(value).alias("_canonical"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], host(value).alias("host"), path(value).alias("path"), canonical(value).alias("_canonical"))
     rows = rows.withColumns({"rule": rule, "_ruled": verdict})
     rows = rows.select("*", *_place(F.col("_canonical"), blocks))
     probed = rows.join(F.broadcast(table) if blocks * 40 <= BROADCAST_BYTES else table, "block", "left")
     possible = F.coalesce(F.expr(" AND ".join(f"word{i} & bit{i} <> 0" for i in range(8))), F.lit(False)) & F.col("_canonical").isNotNull() & F.col("_ruled").isNull()
-    probed = probed.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "_ruled", "_canonical", possible.alias("_possible"))
+    probed = probed.select(*inner, "host", "path", "rule", "_ruled", "_canonical", possible.alias("_possible"))
     clear = probed.filter(~F.col("_possible")).withColumn("verdict", F.coalesce("_ruled", F.lit("allow")))
     exact = listed.select(F.col("canonical").alias("_canonical"), F.lit("block").alias("_listed"))
     hits = probed.filter("_possible").join(exact, "_canonical", "left").withColumn("verdict", F.coalesce("_listed", F.lit("allow")))
-    out = [*[F.col(f"`{c}`") for c in keep], F.col("host"), F.col("path"), F.col("rule"), F.col("verdict")]
+    out = [*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], F.col("host"), F.col("path"), F.col("rule"), F.col("verdict")]
     return clear.select(*out).unionAll(hits.select(*out))
