@@ -42,7 +42,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = told.filter("_group IS NOT NULL").groupBy("_group").agg(first).select("f._row", "f._size")
     worded = told.filter("_group IS NOT NULL").select("_row", "_size").distinct().withColumn("_words", F.lit(True))
     marked = worded.join(kept.withColumn("_kept", F.lit(True)), ["_row", "_size"], "left")
-    rows = docs.withColumns(row).join(marked, ["_row", "_size"], "left").filter("_words IS NULL OR _kept")
+    rows = docs.select(*COLUMNS).withColumns(row).join(marked, ["_row", "_size"], "left").filter("_words IS NULL OR _kept")
     order = Window.partitionBy("_row", "_size").orderBy("lang", "source", "n_chars")
     one = rows.filter("_words").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     return one.select(*COLUMNS).unionAll(rows.filter("_words IS NULL").select(*COLUMNS))
