@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from comptoir.llm import chat, hnsw, jaccard, lines, pii, quality, spelling, suffix, tiling, tokenizer, topk, trie, urls
+from comptoir.llm import _hashing, chat, hnsw, jaccard, lines, pii, quality, spelling, suffix, tiling, tokenizer, topk, trie, urls
 from comptoir.llm._graph import components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,6 +91,48 @@ def test_suffix_array(values):
     want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
     assert suffix.suffix_array(s).tolist() == want
     assert suffix._doubled(s).tolist() == want
+    shared = [0] * len(s)
+    for a, b in zip(want, want[1:], strict=False):
+        shared[b] = next(k for k in range(len(s)) if s[a + k] != s[b + k])
+    assert suffix.common_prefixes(s, np.array(want)).tolist() == shared
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=3, max_size=30).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=6))
+def test_repeated_windows(regions):
+    seen = Counter(r[i : i + 3] for r in regions for i in range(len(r) - 2))
+    assert [m.tolist() for m in suffix.repeated_windows(regions, 3)] == [[seen[r[i : i + 3]] > 1 for i in range(len(r) - 2)] for r in regions]
+
+
+def test_long_runs_are_sorted():
+    for region in (b"a" * 60_000, b"ab" * 30_000):
+        assert suffix.repeated_windows([region], 200)[0].all()
+    assert not suffix.repeated_windows([b"a" * 200, b"a" * 199 + b"b"], 200)[1].any()
+
+
+def test_strings_that_cancel_modulo_a_power_of_two(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+    pool = [one.encode(), other.encode()]
+    assert len({int(_hashing.range_hash(_hashing.prefix_sums(np.frombuffer(p, np.uint8)), np.array([0]), np.array([len(p)]))[0]) for p in pool}) == 2
+
+
+CLASHING = ("set_key", "key", "_key", "text_", "_text", "covered", "block", "word0", "bit0", "canonical", "_canonical", "_ruled", "_possible", "_listed", "node", "root", "_id", "in0", "in1")
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", "t"), (1, "http://a.com/x", "t"), (None, None, None)], "doc_id long, text string, other string").withColumns({c: F.lit(c) for c in CLASHING})
+    listed = spark.createDataFrame([("a.com/x",)], "canonical string")
+    made = {
+        "n_shingles component_id": jaccard.near_duplicates(df), "n_bytes removed kept": suffix.remove_repeats(df), "host path rule verdict": urls.judge(df, listed, (), url="text")}
+    for new, out in made.items():
+        assert out.columns == [c for c in df.columns if c != "text" or "host" in new] + new.split()
+        assert all(r[c] == c for r in out.collect() for c in CLASHING) and out.count() == 3
+    assert sorted(r.verdict for r in made["host path rule verdict"].collect()) == ["allow", "block", "block"]
 
 
 def test_remove_repeats(spark):
