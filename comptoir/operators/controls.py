@@ -12,7 +12,7 @@ from comptoir.functions.money import MONEY, amount, count_if, exact_sum, ratio,
 from comptoir.functions.text import blank, none_if_blank
 from comptoir.operators.quality import count_over
 from comptoir.operators.rules import reasons
-from comptoir.plans.ordered import accumulate, match_null_safe
+from comptoir.plans.ordered import accumulate, match_null_safe, partition_count
 
 
 
@@ -56,10 +56,17 @@ def self_validated(ops: DataFrame) -> DataFrame:
 
 def orphans(ops: DataFrame, lines: DataFrame) -> DataFrame:
     """Ledger operations without an operation, and operations without ledger lines."""
-    written = lines.select("operation_id").distinct()
-    known = ops.select("operation_id").distinct()
-    a = written.join(known, "operation_id", "left_anti").withColumn("motif", F.lit("Ecriture sans operation"))
-    return a.unionByName(known.join(written, "operation_id", "left_anti").withColumn("motif", F.lit("Operation sans ecriture")))
+    sides = lines.select("operation_id", F.lit(True).alias("written")).unionByName(ops.select("operation_id", F.lit(False).alias("written")))
+    written, known = F.bool_or("written"), F.bool_or(~F.col("written"))
+    # Bare identifiers shrink so much in a shuffle that partitions merged by their bytes would hold millions of them.
+    dealt = sides.repartition(partition_count(sides), "operation_id")
+    seen = dealt.groupBy("operation_id").agg(written.alias("written"), known.alias("known"))
+    # An empty identifier matches nothing, not even another one.
+    alone = F.col("operation_id").isNull()
+    motives = F.array_compact(F.array(
+        F.when(F.col("written") & (~F.col("known") | alone), "Ecriture sans operation"),
+        F.when(F.col("known") & (~F.col("written") | alone), "Operation sans ecriture")))
+    return seen.select("operation_id", F.explode(motives).alias("motif"))
 
 
 def unbalanced(summary: DataFrame) -> DataFrame:

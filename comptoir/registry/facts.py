@@ -240,7 +240,7 @@ def q4(spark, sf):
 SELECT DISTINCT operation_id, 'Ecriture sans operation' AS motif FROM v_ledger WHERE operation_id NOT IN (SELECT operation_id FROM v_operations WHERE NOT annule)
 UNION ALL SELECT operation_id, 'Operation sans ecriture' FROM v_operations WHERE NOT annule AND operation_id NOT IN (SELECT operation_id FROM v_ledger)""", ("v_ledger", "v_operations"))
 def q5(spark, sf):
-    return Q.orphans(V.operations(spark, sf).where("NOT annule"), V.ledger(spark, sf))
+    return Q.orphans(V.operations(spark, sf).where("NOT annule"), V.ledger_operations(spark, sf))
 
 
 @register("Q6_unbalanced", f"""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from comptoir.plans.ordered import partition_count
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,7 +62,8 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON
 
 
 def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = clients(spark, sf_dir).select("client_id", "nom_client", "agence", "devise", "agent_credit")
+    # The clients are hashed: the far more numerous orders are not sorted.
+    people = clients(spark, sf_dir).select("client_id", "nom_client", "agence", "devise", "agent_credit").hint("shuffle_hash")
     orders = table(spark, sf_dir, "orders")
     key, price, status = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
     return orders.join(people, orders.o_custkey == people.client_id).select(
@@ -110,6 +113,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each operation of ``ledger`` once: the lines are made distinct before they meet the orders, not after."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("operation_id"))
+    lines = lines.repartition(partition_count(lines), "operation_id").distinct()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("operation_id"))
+    return lines.join(orders, "operation_id", "left_semi")
+
+
 LEDGER_SQL = """
 SELECT l.l_orderkey AS operation_id, l.l_suppkey AS compte_id, l.l_extendedprice AS montant,
        CASE WHEN l.l_quantity < 2 THEN NULL WHEN l.l_linestatus = 'F' THEN 'D' ELSE 'C' END AS sens,
@@ -120,7 +131,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = clients(spark, sf_dir)
+    people = clients(spark, sf_dir).hint("shuffle_hash")
     orders = table(spark, sf_dir, "orders")
     key, owner = F.col("o_orderkey"), F.col("o_custkey")
     return orders.join(people, orders.o_custkey == people.client_id).select(
@@ -246,7 +257,12 @@ FROM events
 
 
 def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").withColumn("fixed", F.explode(F.array(F.lit(0), F.lit(1))))
+    return savings_of(table(spark, sf_dir, "customer"))
+
+
+def savings_of(customers: DataFrame, *carried: str) -> DataFrame:
+    """A current and a fixed account of each customer row; ``carried`` names columns of the row to keep."""
+    customer = customers.withColumn("fixed", F.explode(F.array(F.lit(0), F.lit(1))))
     key, balance, fixed = F.col("c_custkey"), F.col("c_acctbal"), F.col("fixed") == 1
     return customer.select(
         (key * 2 + F.col("fixed")).alias("savings_id"),
@@ -258,6 +274,7 @@ def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("balance"),
         F.lit("2001-02-01").cast("date").alias("date_approved"),
         F.when(fixed, F.date_add(F.lit("2001-08-01").cast("date"), (key % 150 - 20).cast("int"))).alias("maturity_date"),
+        *carried,
     )
 
 
