@@ -18,7 +18,7 @@ from comptoir.operators import wallet as W
 from comptoir.operators.common import has, stamp
 from comptoir.operators.filters import as_of as rows_as_of
 from comptoir.operators.rules import Rule, reasons
-from comptoir.plans.ordered import accumulate, match_null_safe, quantile_by
+from comptoir.plans.ordered import accumulate, join_known, match_null_safe, quantile_by
 
 KEY = ("customer_id", "currency_code")
 
@@ -57,7 +57,9 @@ def link_loans(loans: DataFrame, savings: DataFrame) -> DataFrame:
     by_id = savings.groupBy(F.col("savings_id").alias("savings_account_id")).agg(
         F.count("*").alias("d_n"), F.min("customer_id").alias("d_customer"), F.min("currency_code").alias("d_cur"), F.min("msisdn").alias("d_phone"))
     by_key = open_accounts(savings).groupBy(*KEY).agg(F.count("*").alias("c_n"), F.min("savings_id").alias("c_id"), F.min("msisdn").alias("c_phone"))
-    joined = loans.join(by_id, "savings_account_id", "left").join(by_key, list(KEY), "left")
+    # Most loans name no account.
+    named = loans.select("loan_id", *KEY, "savings_account_id", *(["msisdn1"] if has(loans, "msisdn1") else []))
+    joined = join_known(join_known(named, by_id, ["savings_account_id"]), by_key, KEY)
     any_savings = savings.agg(F.count("*").alias("n")).scalar() > 0
     direct_wanted = F.col("savings_account_id").isNotNull()
     direct = direct_wanted & (F.col("d_n") == 1)

@@ -29,6 +29,19 @@ def match_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: s
     return left.join(renamed, condition, how).drop(*[f"__r_{c}" for c in on])
 
 
+def join_known(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join with at most one right-hand row per key.
+
+    Left rows lacking a key match nothing; they are dealt out by their other values instead of meeting in one task. The right-hand side is
+    hashed, so the many rows of the left are not sorted.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    dealt = left.withColumn("__dealt", F.when(known, 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 15)).cast("int")))
+    # Always 0, but not a constant: the optimizer would take that out of the join keys.
+    partners = right.withColumn("__dealt", F.pmod(F.xxhash64(*on), F.lit(1)).cast("int"))
+    return dealt.join(partners.hint("shuffle_hash"), [*on, "__dealt"], "left").drop("__dealt")
+
+
 def partition_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

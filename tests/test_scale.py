@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from comptoir.operators import controls as Q
 from comptoir.operators import portfolio as P
+from comptoir.operators import positions as S
+from comptoir.plans.ordered import join_known
 from comptoir.registry import views as V
 
 
@@ -63,6 +65,33 @@ def test_orphans_of_repeated_and_empty_identifiers(spark):
     assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
 
 
+def test_rows_without_a_key_are_dealt_out(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 8 == 0, F.col("id")).alias("k"))
+    right = spark.range(0, 4000, 16).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    found = join_known(left, right, ["k"])
+    assert rows(found.select("id", "k", "v")) == rows(left.join(right, "k", "left").select("id", "k", "v"))
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [len(part) for part in join_known(left, right, ["k"]).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert max(sizes) < 0.5 * sum(sizes)
+
+
+def test_loans_without_an_account_number_do_not_meet_in_one_task(spark):
+    loans = spark.createDataFrame([(1, 1, "USD", "p1", 10), (2, 1, "USD", "p1", None), (3, 2, "USD", "p2", None), (4, None, "USD", "p4", None), (5, 1, "USD", "p1", 99)],
+                                  "loan_id long, customer_id long, currency_code string, msisdn1 string, savings_account_id long")
+    savings = spark.createDataFrame([(10, 1, "USD", "p1", "NORMAL SAVINGS"), (11, 2, "USD", "x", "NORMAL SAVINGS"), (12, None, "USD", "p4", "NORMAL SAVINGS")],
+                                    "savings_id long, customer_id long, currency_code string, msisdn string, account_type string")
+    found = S.link_loans(loans, savings)
+    assert {r["loan_id"]: (r["savings_id_correspondant"], r["statut_controle"], r["motif_controle"]) for r in found.collect()} == {
+        1: (10, "Conforme", None), 2: (10, "Conforme", None), 3: (11, "A revoir", "Ecart de telephone"), 4: (None, "A revoir", "Aucun compte courant"),
+        5: (None, "A revoir", "Identifiant direct introuvable")}
+    plan = plan_of(found)
+    assert "__dealt" in plan and "SortMergeJoin" not in plan
+
+
 def test_orders_are_not_sorted_to_meet_their_clients(spark, tables):
     for view in (V.dossiers, V.operations):
         assert "ShuffledHashJoin" in plan_of(view(spark, tables))
