@@ -583,7 +583,7 @@ def usable_deposits(report: DataFrame) -> DataFrame:
 
 
 def savings_ratios(df: DataFrame, rate: float) -> DataFrame:
-    """Mean deposit, share of term deposits, accounts per manager, from one aggregation of the accounts."""
+    """Mean deposit, share of term deposits, accounts per manager. Sums and distinct accounts are taken apart: a task keeps no sums by account."""
     rate = float(rate) if rate > 0 else 1.0
     agents = "agent_credit" if has(df, "agent_credit") else None
     lines = report_lines(df).withColumn("famille", L.regulatory_family(F.col("produits")))
@@ -591,10 +591,10 @@ def savings_ratios(df: DataFrame, rate: float) -> DataFrame:
     groups = {"whole": F.lit(True), "dat": dat, **{f"f{i}": F.col("famille") == f for i, f in enumerate(L.USABLE_SHARE)}}
     sums = lines.agg(
         *[total("solde", where & (F.col("devise") == c)).alias(f"{name}_{c}")
-          for name, where in groups.items() for c in ("USD", "CDF")],
-        F.count_distinct("compte_id").alias("accounts"),
-        F.count_distinct(F.when(F.col("solde") != 0, F.col("compte_id"))).alias("nonzero"),
-    )
+          for name, where in groups.items() for c in ("USD", "CDF")])
+    per_account = df.select("compte_id", (number_or_zero(df, "solde_compte") != 0).alias("filled")).groupBy("compte_id").agg(F.bool_or("filled").alias("filled"))
+    counts = per_account.agg(F.count("compte_id").alias("accounts"), F.count(F.when(F.col("filled"), F.col("compte_id"))).alias("nonzero"))
+    sums = sums.crossJoin(counts)
 
     def usd(name: str) -> Column:
         return F.col(f"{name}_USD") + F.col(f"{name}_CDF") / rate

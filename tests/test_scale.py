@@ -10,6 +10,7 @@ from comptoir.operators import controls as Q
 from comptoir.operators import portfolio as P
 from comptoir.operators import positions as S
 from comptoir.plans.ordered import join_known
+from comptoir.registry import portfolio as RP
 from comptoir.registry import views as V
 
 
@@ -95,3 +96,27 @@ def test_loans_without_an_account_number_do_not_meet_in_one_task(spark):
 def test_orders_are_not_sorted_to_meet_their_clients(spark, tables):
     for view in (V.dossiers, V.operations):
         assert "ShuffledHashJoin" in plan_of(view(spark, tables))
+
+
+def test_accounts_are_made_after_the_profile_is_joined(spark, tables):
+    found = RP.accounts(spark, tables)
+    owner = V.clients(spark, tables).drop("solde_compte")
+    wanted = V.savings(spark, tables).select(F.col("customer_id").alias("client_id"), F.col("savings_id").alias("compte_id"), F.col("balance").alias("solde_compte")).join(owner, "client_id")
+    assert rows(found.select(*wanted.columns)) == rows(wanted)
+    assert found.count() == 16
+    plan = plan_of(found)
+    assert plan.index("Generate explode") < plan.index("Join")
+
+
+def accounts(spark):
+    return spark.createDataFrame(
+        [("USD", 1, 10, 5.0, "DAT", "G1"), ("USD", 1, 10, 5.0, "DAT", "G1"), ("USD", 2, 11, 0.0, "Compte Epargne Ordinaire USD", "G2"), ("CDF", 2, None, 2800.0, "Autre", None),
+         (None, None, 12, 1.5, "DAT", "G1"), ("CDF", 3, 10, 0.0, "Autre", "G1")],
+        "devise string, client_id long, compte_id long, solde_compte double, type_produit string, agent_credit string")
+
+
+def test_savings_ratios_keep_no_sums_beside_identifiers(spark):
+    found = P.savings_ratios(accounts(spark).withColumn("source_currency", F.col("devise")), 2800.0)
+    row = found.first()
+    assert (row["comptes_actifs"], row["comptes_par_gestionnaire"], row["total_depots_usd"]) == (3, 1.0, 12.5)
+    assert "Expand" not in plan_of(found)
