@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from comptoir.functions.money import count_if, exact_sum, mean, ratio, total
 from comptoir.functions.text import contains_any
+from comptoir.plans.ordered import match_null_safe
 
 PAR_FLOORS = (1, 30, 90, 180)
 
@@ -48,10 +49,14 @@ def savings_measures(accounts: DataFrame) -> DataFrame:
     current = contains_any(label, ["COURANT", "ORDINAIRE"])
     term = F.contains(label, F.lit("DAT"))
     whole, cur, dat = exact_sum("solde_compte"), exact_sum("solde_compte", current), exact_sum("solde_compte", term)
-    clients, count = F.count_distinct("client_id"), F.count_distinct("compte_id")
-    return accounts.groupBy("devise").agg(
-        clients.alias("clients"), count.alias("comptes"), whole.cast("double").alias("epargne"), ratio(whole, count).alias("solde_moyen"),
-        ratio(whole, clients).alias("solde_moyen_epargnant"), cur.cast("double").alias("encours_courant"), dat.cast("double").alias("encours_dat"),
+    # Taken apart, a task keeps one narrow row per client or account; in one aggregation it would keep all sums beside each of them.
+    sums = accounts.groupBy("devise").agg(whole.alias("whole"), cur.alias("cur"), dat.alias("dat"))
+    clients, count = (accounts.groupBy("devise").agg(F.count_distinct(c).alias(name)) for c, name in (("client_id", "clients"), ("compte_id", "comptes")))
+    joined = match_null_safe(match_null_safe(sums, clients, ["devise"], "inner"), count, ["devise"], "inner")
+    whole, cur, dat = F.col("whole"), F.col("cur"), F.col("dat")
+    return joined.select(
+        "devise", "clients", "comptes", whole.cast("double").alias("epargne"), ratio(whole, F.col("comptes")).alias("solde_moyen"),
+        ratio(whole, F.col("clients")).alias("solde_moyen_epargnant"), cur.cast("double").alias("encours_courant"), dat.cast("double").alias("encours_dat"),
         (whole - cur - dat).cast("double").alias("autres_epargnes"), ratio(dat, whole).alias("part_dat"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comptoir.operators import controls as Q
+from comptoir.operators import facts as R
 from comptoir.operators import portfolio as P
 from comptoir.operators import positions as S
 from comptoir.plans.ordered import join_known
@@ -115,6 +116,13 @@ def accounts(spark):
         "devise string, client_id long, compte_id long, solde_compte double, type_produit string, agent_credit string")
 
 
+def test_savings_measures_keep_no_sums_beside_identifiers(spark):
+    found = R.savings_measures(accounts(spark))
+    assert {r["devise"]: (r["clients"], r["comptes"], r["epargne"], r["solde_moyen"], r["encours_dat"], r["part_dat"]) for r in found.collect()} == {
+        "USD": (2, 2, 10.0, 5.0, 10.0, 1.0), "CDF": (2, 1, 2800.0, 2800.0, 0.0, 0.0), None: (0, 1, 1.5, 1.5, 1.5, 1.0)}
+    assert "Expand" not in plan_of(found)
+
+
 def test_savings_ratios_keep_no_sums_beside_identifiers(spark):
     found = P.savings_ratios(accounts(spark).withColumn("source_currency", F.col("devise")), 2800.0)
     row = found.first()
