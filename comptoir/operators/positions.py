@@ -18,7 +18,7 @@ from comptoir.operators import wallet as W
 from comptoir.operators.common import has, stamp
 from comptoir.operators.filters import as_of as rows_as_of
 from comptoir.operators.rules import Rule, reasons
-from comptoir.plans.ordered import accumulate, join_known, match_null_safe, quantile_by
+from comptoir.plans.ordered import accumulate, join_known, match_null_safe, partition_count, quantile_by
 
 KEY = ("customer_id", "currency_code")
 
@@ -47,6 +47,12 @@ def term_deposits(savings: DataFrame) -> DataFrame:
     return savings.where(F.col("account_type") == W.FIXED)
 
 
+def dealt(savings: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the accounts, dealt out by number: what a task aggregates does not follow the size of a file's split."""
+    kept = list(dict.fromkeys([*(["savings_id"] if has(savings, "savings_id") else []), *columns]))
+    return savings.select(*kept).repartition(partition_count(savings), *kept)
+
+
 # --- reconciliations ------------------------------------------------------------------------------------------
 
 def link_loans(loans: DataFrame, savings: DataFrame) -> DataFrame:
@@ -54,9 +60,10 @@ def link_loans(loans: DataFrame, savings: DataFrame) -> DataFrame:
 
     Anything ambiguous is left for review; without any savings account nothing can be said.
     """
-    by_id = savings.groupBy(F.col("savings_id").alias("savings_account_id")).agg(
+    by_id = dealt(savings, *KEY, "msisdn").groupBy(F.col("savings_id").alias("savings_account_id")).agg(
         F.count("*").alias("d_n"), F.min("customer_id").alias("d_customer"), F.min("currency_code").alias("d_cur"), F.min("msisdn").alias("d_phone"))
-    by_key = open_accounts(savings).groupBy(*KEY).agg(F.count("*").alias("c_n"), F.min("savings_id").alias("c_id"), F.min("msisdn").alias("c_phone"))
+    by_key = dealt(open_accounts(savings), *KEY, "msisdn").groupBy(*KEY).agg(
+        F.count("*").alias("c_n"), F.min("savings_id").alias("c_id"), F.min("msisdn").alias("c_phone"))
     # Most loans name no account.
     named = loans.select("loan_id", *KEY, "savings_account_id", *(["msisdn1"] if has(loans, "msisdn1") else []))
     joined = join_known(join_known(named, by_id, ["savings_account_id"]), by_key, KEY)
@@ -92,8 +99,9 @@ def client_positions(loans: DataFrame, savings: DataFrame) -> DataFrame:
     """Loans, open accounts and positive term deposits side by side per customer and currency."""
     lent = loans.groupBy(*KEY).agg(
         F.count("*").alias("nombre_credits"), exact_sum("loan_amount").alias("m"), exact_sum(loan_balance(loans)).alias("e"))
-    opened = open_accounts(savings).groupBy(*KEY).agg(F.count("*").alias("comptes_ouverts"), exact_sum("balance").alias("o"))
-    blocked = term_deposits(savings).where("balance > 0").groupBy(*KEY).agg(F.count("*").alias("nombre_dat"), exact_sum("balance").alias("d"))
+    opened = dealt(open_accounts(savings), *KEY, "balance").groupBy(*KEY).agg(F.count("*").alias("comptes_ouverts"), exact_sum("balance").alias("o"))
+    blocked = dealt(term_deposits(savings).where("balance > 0"), *KEY, "balance").groupBy(*KEY).agg(
+        F.count("*").alias("nombre_dat"), exact_sum("balance").alias("d"))
     joined = lent.join(opened, list(KEY), "full_outer").join(blocked, list(KEY), "full_outer")
 
     def value(c: str) -> Column:

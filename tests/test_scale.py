@@ -94,6 +94,34 @@ def test_loans_without_an_account_number_do_not_meet_in_one_task(spark):
     assert "__dealt" in plan and "SortMergeJoin" not in plan
 
 
+def test_accounts_are_dealt_out_before_they_are_aggregated(spark):
+    loans = spark.createDataFrame([(1, 1, "USD", "p1", 10, 8.0, 4.0), (2, 1, "USD", "p1", None, 2.0, 1.0), (3, None, "USD", "p2", None, 1.0, 1.0), (4, 3, "CDF", "p3", 14, 5.0, 5.0)],
+                                  "loan_id long, customer_id long, currency_code string, msisdn1 string, savings_account_id long, loan_amount double, loan_balance double")
+    savings = spark.createDataFrame(
+        [(10, 1, "USD", "p1", "NORMAL SAVINGS", 5.0), (11, 1, "USD", "p1", "FIXED SAVINGS", 2.5), (11, 1, "USD", "p1", "FIXED SAVINGS", 2.5), (12, None, "USD", "p2", "NORMAL SAVINGS", 7.0),
+         (12, None, "USD", "p2", "NORMAL SAVINGS", 7.0), (13, 2, "CDF", "p9", "FIXED SAVINGS", 0.0), (14, 3, "CDF", "p3", "NORMAL SAVINGS", None), (14, 3, "CDF", "p3", "NORMAL SAVINGS", None),
+         (None, 4, None, "p4", "NORMAL SAVINGS", 3.0)],
+        "savings_id long, customer_id long, currency_code string, msisdn string, account_type string, balance double").coalesce(1)
+    linked, held = S.link_loans(loans, savings), S.client_positions(loans, savings)
+    # Groups and sums are taken of accounts that came by number, not of a whole split.
+    for plan in (plan_of(linked), plan_of(held)):
+        assert plan.count("REPARTITION_BY_NUM") == 2
+    assert {r["loan_id"]: (r["savings_id_correspondant"], r["motif_controle"]) for r in linked.collect()} == {
+        1: (10, None), 2: (10, None), 3: (None, "Aucun compte courant"), 4: (None, "Plusieurs comptes pour l'identifiant direct")}
+    wanted = sorted([(1, "USD", 2, 1, 2, 10.0, 5.0, 5.0, 5.0, 10.0), (None, "USD", 1, 0, 0, 1.0, 1.0, 0.0, 0.0, 0.0), (None, "USD", 0, 2, 0, 0.0, 0.0, 14.0, 0.0, 14.0),
+                     (3, "CDF", 1, 2, 0, 5.0, 5.0, 0.0, 0.0, 0.0), (4, None, 0, 1, 0, 0.0, 0.0, 3.0, 0.0, 3.0)], key=str)
+    assert sorted(map(tuple, held.collect()), key=str) == wanted
+    assert sorted(map(tuple, S.client_positions(loans, savings.drop("savings_id")).collect()), key=str) == wanted
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = spark.range(4000).select(F.col("id").alias("savings_id"), F.lit(None).cast("long").alias("customer_id"), F.lit("USD").alias("currency_code")).coalesce(1)
+        sizes = [len(part) for part in S.dealt(many, *S.KEY).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert max(sizes) < 0.5 * sum(sizes) == 2000
+
+
 def test_orders_are_not_sorted_to_meet_their_clients(spark, tables):
     for view in (V.dossiers, V.operations):
         assert "ShuffledHashJoin" in plan_of(view(spark, tables))
